@@ -1,0 +1,21 @@
+"""The library's named queries over the shared tables, each with its DuckDB SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queries()["assemble_lines"](spark, sf_dir)
+
+
+def queries() -> dict[str, Query]:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
