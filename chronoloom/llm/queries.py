@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup
+from . import minhash, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.link(table(spark, sf_dir, "documents"), minhash.Shape(words=3, percent=85))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removals(table(spark, sf_dir, "documents"), width=35).drop("spans")
 
@@ -40,9 +44,34 @@ FROM w LEFT JOIN gone USING (doc_id)
 """
 
 
+_OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+),
+sets AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' '))) END AS s FROM w
+),
+item AS MATERIALIZED (SELECT doc_id, hash(unnest(s)) AS h FROM sets),
+pair AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM item a JOIN item b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL
+),
+edge AS MATERIALIZED (
+  SELECT a, b FROM pair JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE 100 * common >= 85 * (len(x.s) + len(y.s) - common)
+),
+near AS (SELECT a AS p, b AS q FROM edge UNION ALL SELECT b, a FROM edge),
+reach AS (SELECT doc_id AS p, doc_id AS r FROM sets UNION SELECT near.q, reach.r FROM reach JOIN near ON near.p = reach.p),
+root AS (SELECT p, min(r) AS r FROM reach GROUP BY p)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, r AS component_id, doc_id = r AS kept FROM sets JOIN root ON p = doc_id
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op9_substring_dedup": op9_substring_dedup}
+    return {
+        "op1_minhash_dedup": op1_minhash_dedup,
+        "op9_substring_dedup": op9_substring_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_substring_dedup": _OP9_SQL}
+    return {"op1_minhash_dedup": _OP1_SQL, "op9_substring_dedup": _OP9_SQL}
