@@ -166,14 +166,15 @@ def spread(docs: DataFrame, blocks: int, *keys: str) -> DataFrame:
     return docs.withColumn("_block", F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int")).repartition(max(blocks, 1), "_block")
 
 
-def mapped(df: DataFrame, function, schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Keep Arrow batches small in this session: one holds `rows` rows and `size` bytes at most,
+    so that long texts and large binary values can't fill a worker."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(name)
+        if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= most:
+            spark.conf.set(name, str(most))
 
 
 def blob(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()
-
-
-def first_column(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that further columns of clashing names can do no harm."""
-    return df.select(*[df[n] for n in names])

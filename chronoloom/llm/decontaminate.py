@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Words, materialize, steps
+from .common import Words, bounded_batches, materialize, steps
 from .fm_index import FMIndex
 
 #: Bytes of benchmark text in one block, apart from a single longer item.
@@ -142,6 +142,7 @@ def _blocks(benchmark: DataFrame, limit: int):
 
 def _scan(docs: DataFrame, row: list, benchmark: DataFrame, width: int, limit: int) -> DataFrame:
     """_row (the named columns), n_words, spans (maximal hit word intervals), n_hit, item_ids."""
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     frame = docs.select(F.struct(*row).alias("_row"), docs["text"].alias("_text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<array<int>>").alias("hits"), F.array().cast("array<string>").alias("items"))
     schema = frame.schema

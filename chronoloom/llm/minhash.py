@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import STEP_BYTES, Words, blob, materialize, mix, parts, steps, text_bytes
+from .common import Words, blob, bounded_batches, materialize, mix, parts, steps
 from .components import components
 
 _U = np.uint64
@@ -118,7 +118,7 @@ def _stars(entries: np.ndarray):
     return heads, np.unique(np.stack([entries["doc"], hub], axis=1)[~new], axis=0) if len(entries) else np.zeros((0, 2), dtype=np.int64)
 
 
-def _deal(half: int, buckets: int, rows: int = 16384):
+def _deal(half: int, buckets: int, rows: int = 8192):
     """Map side: (doc, keys) to entries by bucket, or candidate pairs (bucket -1)."""
 
     def emit(ids, keys):
@@ -251,6 +251,7 @@ def _explode_keys(half: int):
 
 def link(docs: DataFrame, shape: Shape, id_column: str = "doc_id") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
+    bounded_batches(docs.sparkSession)
     source = docs.select(docs[id_column].cast("long").alias("doc"), docs["text"].alias("text"))
     every = materialize(source.mapInArrow(_signatures(shape), "doc long, n long, set_hash long, keys binary"))
     rows = every.count()

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BLOCK_BYTES, Words, blob, mix, parts, rolling, spread, steps, text_bytes
+from .common import BLOCK_BYTES, Words, blob, bounded_batches, mix, parts, rolling, spread, steps, text_bytes
 
 _U = np.uint64
 _B1, _B2 = 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
@@ -132,6 +132,7 @@ def _spans(mask: np.ndarray) -> list[list[int]]:
 
 def _run(docs: DataFrame, keep: list[str], width: int, emit, schema: str) -> DataFrame:
     """docs: id column, text and `keep`; emit(table, rows) makes the result of one block."""
+    bounded_batches(docs.sparkSession)
     total = text_bytes(docs)
     blocks, buckets = parts(total, BLOCK_BYTES), parts(total, BLOCK_BYTES)
     dealt = spread(docs, blocks, *keep)
