@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, minhash, substring_dedup
+from . import bpe, decontaminate, minhash, substring_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,14 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.link(table(spark, sf_dir, "documents"), minhash.Shape(words=3, percent=85))
 
 
+def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), limit=2048)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removals(table(spark, sf_dir, "documents"), width=35).drop("spans")
 
@@ -99,6 +107,8 @@ FROM d LEFT JOIN agg USING (doc_id)
 def queries() -> dict[str, Query]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
+        "op3_bpe_round_trip": op3_bpe_round_trip,
+        "op6_token_counts": op6_token_counts,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_decontaminate": op10_decontaminate,
     }
