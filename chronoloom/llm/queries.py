@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, minhash, substring_dedup, token_counts
+from . import bpe, decontaminate, minhash, substring_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), limit=2048)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removals(table(spark, sf_dir, "documents"), width=35).drop("spans")
 
@@ -109,6 +113,7 @@ def queries() -> dict[str, Query]:
         "op1_minhash_dedup": op1_minhash_dedup,
         "op3_bpe_round_trip": op3_bpe_round_trip,
         "op6_token_counts": op6_token_counts,
+        "op8_toxicity": op8_toxicity,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_decontaminate": op10_decontaminate,
     }
