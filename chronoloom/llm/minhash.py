@@ -303,3 +303,11 @@ def link(docs: DataFrame, shape: Shape, id_column: str = "doc_id") -> DataFrame:
     out = whole.join(comp.select(F.col("doc").alias("rep"), "component"), "rep", "left")
     same = out.select("doc", "n", F.coalesce("component", "rep", "doc").alias("component_id"))
     return same.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", (F.col("doc") == F.col("component_id")).alias("kept"))
+
+
+def keep_first(docs: DataFrame, shape: Shape) -> DataFrame:
+    """docs without those linked to a smaller doc_id, and of rows that repeat a kept doc_id
+    and its text, one. Documents without words and rows of null doc_id all stay."""
+    gone = link(docs, shape).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    return left.where("doc_id is null").unionAll(left.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
