@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, minhash, neighbours, substring_dedup, token_counts, toxicity, warc
+from . import bpe, context_tree, decontaminate, minhash, neighbours, substring_dedup, token_counts, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), limit=2048)
 
 
+def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), least=0)
 
@@ -140,6 +144,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
         "op3_bpe_round_trip": op3_bpe_round_trip,
+        "op4_context_tree": op4_context_tree,
         "op5_warc": op5_warc,
         "op7_neighbours": op7_neighbours,
         "op6_token_counts": op6_token_counts,
