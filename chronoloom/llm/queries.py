@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, context_tree, decontaminate, minhash, neighbours, substring_dedup, token_counts, toxicity, warc
+from . import bpe, context_tree, decontaminate, licences, minhash, neighbours, substring_dedup, token_counts, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,11 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.link(table(spark, sf_dir, "documents"), minhash.Shape(words=3, percent=85))
 
 
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents"), least=0.8)
+    return found.select("doc_id", F.array_join("licences", ",").alias("licences"), "n_matches", "best_score")
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -121,6 +126,36 @@ FROM d LEFT JOIN agg USING (doc_id)
 """
 
 
+def _op2_sql(least: float = 0.8) -> str:
+    """The same coefficient by a join of distinct bigrams, without size bounds or arrays."""
+    values = ", ".join(f"({k}, '{name}', '{b}')" for k, (name, own) in enumerate(licences.templates()) for b in own)
+    return rf"""
+WITH tb(t, name, bigram) AS (VALUES {values}),
+ts AS (SELECT t, name, count(*) AS n FROM tb GROUP BY t, name),
+low AS (SELECT doc_id, regexp_replace(translate(coalesce(text, ''), '{licences.UPPER}', '{licences.LOWER}'), '[^a-z0-9
+]+', ' ', 'g') AS x FROM documents),
+unit AS (
+  SELECT doc_id, row_number() OVER () AS u, string_split(unit, ' ') AS w FROM (
+    SELECT DISTINCT doc_id, trim(unit, ' ') AS unit FROM (
+      SELECT doc_id, unnest(string_split(x, chr(10))) AS unit FROM low
+      UNION ALL SELECT doc_id, translate(unnest(string_split_regex(x, '
+ ?(?:
+ ?)+')), chr(10), ' ') FROM low
+      UNION ALL SELECT doc_id, translate(x, chr(10), ' ') FROM low))
+),
+ub AS MATERIALIZED (SELECT doc_id, u, unnest(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS bigram FROM unit WHERE len(w) > 1),
+us AS (SELECT u, count(*) AS n FROM ub GROUP BY u),
+m AS (
+  SELECT ub.doc_id, ub.u, ts.name, 2.0::DOUBLE * count(*) / (us.n + ts.n) AS d
+  FROM ub JOIN tb USING (bigram) JOIN us USING (u) JOIN ts ON ts.t = tb.t GROUP BY ub.doc_id, ub.u, tb.t, ts.name, us.n, ts.n
+),
+best AS (SELECT doc_id, u, max(d) AS d, arg_min(name, (-d, name)) AS name FROM m WHERE d >= {least} GROUP BY doc_id, u),
+good AS (SELECT doc_id, count(*) AS n_matches, max(d) AS best_score, array_to_string(list_sort(list_distinct(list(name))), ',') AS licences FROM best GROUP BY doc_id)
+SELECT doc_id, coalesce(licences, '') AS licences, coalesce(n_matches, 0) AS n_matches, coalesce(best_score, 0.0) AS best_score
+FROM documents LEFT JOIN good USING (doc_id)
+"""
+
+
 _OP5_SQL = r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS hex, max(page_id) OVER (PARTITION BY html) AS last FROM p)
@@ -143,6 +178,7 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
 def queries() -> dict[str, Query]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
+        "op2_licence_scan": op2_licence_scan,
         "op3_bpe_round_trip": op3_bpe_round_trip,
         "op4_context_tree": op4_context_tree,
         "op5_warc": op5_warc,
@@ -157,6 +193,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_minhash_dedup": _OP1_SQL,
+        "op2_licence_scan": _op2_sql(),
         "op5_warc": _OP5_SQL,
         "op7_neighbours": _OP7_SQL,
         "op9_substring_dedup": _OP9_SQL,
