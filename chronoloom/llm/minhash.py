@@ -12,11 +12,10 @@ Candidates are verified on full shingle sets, and links make components:
 2. In each table's bucket everyone is a candidate of the bucket's smallest member,
    first within a map task and then across tasks, so a bucket that holds a third
    of all rows reaches a reducer as one entry for each task.
-3. One candidate for each document is verified, and then all whose ends are not
-   yet in one component.
-4. Buckets whose members still lie in several components are gone through again:
-   every pair across components whose keys and sizes do not rule out the
-   similarity is verified. This repeats until nothing joins.
+3. One candidate for each document, its smallest, is verified.
+4. Families (documents that candidate pairs hold together) whose members still lie in
+   several components are gone through once more: every member outside the family's
+   largest component is compared with all others, in blocks, and only links leave.
 
 Defined results: documents without words (null or empty text included) have no
 shingles, link with nothing and stand alone; a document of fewer words than the
@@ -209,44 +208,85 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long")
 
 
-def _across(half: int, percent: int, step: int = 512):
-    """A bucket's members (doc, n, component, keys) to the pairs across components that
-    neither sizes nor keys rule out. Two documents in one bucket agree in one key of each
-    collection already; all pairs are looked at in tiles and only survivors leave."""
-
-    def run(table: pa.Table) -> pa.Table:
-        doc, n, comp = (np.asarray(table.column(c).combine_chunks(), dtype=np.int64) for c in ("doc", "n", "component"))
-        out = []
-        if len(np.unique(comp)) > 1:
-            for i in range(0, len(doc), step):
-                for j in range(0, i + 1, step):
-                    a, b = slice(i, i + step), slice(j, j + step)
-                    ok = (comp[a, None] != comp[None, b]) & (doc[a, None] > doc[None, b])
-                    ok &= 100 * np.minimum(n[a, None], n[None, b]) >= percent * np.maximum(n[a, None], n[None, b])
-                    x, y = np.nonzero(ok)
-                    out.append(np.stack([doc[a][x], doc[b][y]], axis=1))
-                    if i != j:
-                        ok = (comp[a, None] != comp[None, b]) & (doc[a, None] < doc[None, b])
-                        ok &= 100 * np.minimum(n[a, None], n[None, b]) >= percent * np.maximum(n[a, None], n[None, b])
-                        x, y = np.nonzero(ok)
-                        out.append(np.stack([doc[b][y], doc[a][x]], axis=1))
-        p = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), dtype=np.int64)
+def _common(left: list[np.ndarray], right: list[np.ndarray], chunk: int = 2048) -> np.ndarray:
+    """Intersection sizes of all sets of two lists, as a matrix product over the values in both."""
+    x, y = np.concatenate(left), np.concatenate(right)
+    values = np.intersect1d(x, y)
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+
+    def places(sets, flat):
+        at = np.minimum(np.searchsorted(values, flat), len(values) - 1)
+        good = values[at] == flat
+        return np.repeat(np.arange(len(sets)), [len(s) for s in sets])[good], at[good]
+
+    if len(values):
+        (rx, cx), (ry, cy) = places(left, x), places(right, y)
+        ox, oy = np.argsort(cx, kind="stable"), np.argsort(cy, kind="stable")
+        rx, cx, ry, cy = rx[ox], cx[ox], ry[oy], cy[oy]
+        for at in range(0, len(values), chunk):
+            i, j = np.searchsorted(cx, (at, at + chunk)), np.searchsorted(cy, (at, at + chunk))
+            a, b = np.zeros((len(left), chunk), dtype=np.float32), np.zeros((len(right), chunk), dtype=np.float32)
+            a[rx[i[0] : i[1]], cx[i[0] : i[1]] - at] = 1
+            b[ry[j[0] : j[1]], cy[j[0] : j[1]] - at] = 1
+            out += a @ b.T
+    return out
+
+
+def _cell(percent: int):
+    """One cell's odd members (left) against members of the same families (right): for each
+    odd member and each other component that it links to, one link."""
+
+    def read(table: pa.Table):
+        sets = [np.frombuffer(x.as_buffer(), dtype=_U) for x in table.column("shingles")]
+        return [np.asarray(table.column(c).combine_chunks(), dtype=np.int64) for c in ("family", "doc", "component")], sets
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [np.zeros((0, 2), dtype=np.int64)]
+        if left.num_rows and right.num_rows:
+            (fa, da, ca), sa = read(left)
+            (fb, db, cb), sb = read(right)
+            oa, ob = np.argsort(fa, kind="stable"), np.argsort(fb, kind="stable")
+            for family in np.unique(fa):
+                i = oa[np.searchsorted(fa[oa], family) : np.searchsorted(fa[oa], family, side="right")]
+                j = ob[np.searchsorted(fb[ob], family) : np.searchsorted(fb[ob], family, side="right")]
+                if not len(j):
+                    continue
+                na, nb = np.array([len(sa[k]) for k in i]), np.array([len(sb[k]) for k in j])
+                common = _common([sa[k] for k in i], [sb[k] for k in j]).astype(np.int64)
+                ok = (ca[i][:, None] != cb[j][None, :]) & (100 * common >= percent * (na[:, None] + nb[None, :] - common))
+                x, y = np.nonzero(ok)
+                if len(x):
+                    found = np.stack([da[i][x], db[j][y], cb[j][y]], axis=1)
+                    found = found[np.lexsort((found[:, 1], found[:, 2], found[:, 0]))]
+                    new = np.ones(len(found), dtype=bool)
+                    new[1:] = (found[1:, 0] != found[:-1, 0]) | (found[1:, 2] != found[:-1, 2])
+                    out.append(found[new][:, :2])
+        p = np.concatenate(out)
         return pa.table({"a": pa.array(p[:, 0]), "b": pa.array(p[:, 1])})
 
     return run
 
 
-def _explode_keys(half: int):
-    def run(batches):
-        for batch in batches:
-            keys = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=_U).reshape(-1, 2 * half)
-            if not len(keys):
-                continue
-            table = _table_keys(keys, half)
-            pick = pa.array(np.tile(np.arange(len(keys)), len(table)))
-            yield pa.RecordBatch.from_arrays([pa.array(table.ravel().view(np.int64)), *[batch.column(k).take(pick) for k in range(3)]], names=["key", "doc", "n", "component"])
-
-    return run
+def _across(near: DataFrame, comp: DataFrame, sets: DataFrame, percent: int, odd_block: int = 256, block: int = 1024) -> DataFrame:
+    """Links between different components of one family. A family is what candidate pairs
+    hold together; its largest component needs no comparison with itself, so each other
+    member (an odd one) is compared with all. Blocks of odd members meet blocks of members
+    in cells; small families share a cell. Only links leave, one for each member and component."""
+    label = components(near).withColumnRenamed("component", "family").join(comp, "doc", "left").select("doc", "family", F.coalesce("component", "doc").alias("component"))
+    label = materialize(label)
+    size = label.groupBy("family", "component").agg(F.count("*").alias("n"))
+    family = size.groupBy("family").agg(F.sum("n").alias("total"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    family = family.withColumn("odd_blocks", F.ceil((F.col("total") - F.col("most")) / odd_block).cast("int")).withColumn("blocks", F.ceil(F.col("total") / block).cast("int"))
+    members = materialize(label.join(family, "family").join(sets, "doc"))
+    shards = parts(members.count(), 2000)
+    mine = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    small = F.col("odd_blocks") * F.col("blocks") == 1
+    cell = F.when(small, F.pmod(F.xxhash64("family"), F.lit(shards))).otherwise(F.xxhash64("family", "ob", "mb")).alias("cell")
+    columns = ["family", "doc", "component", "shingles"]
+    left = members.where("component <> main").withColumn("ob", mine("odd_blocks")).withColumn("mb", every("blocks")).select(cell, *columns)
+    right = members.withColumn("mb", mine("blocks")).withColumn("ob", every("odd_blocks")).select(cell, *columns)
+    return left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(_cell(percent), "a long, b long")
 
 
 def link(docs: DataFrame, shape: Shape, id_column: str = "doc_id") -> DataFrame:
@@ -269,35 +309,11 @@ def link(docs: DataFrame, shape: Shape, id_column: str = "doc_id") -> DataFrame:
 
     first = pairs.where("fit").groupBy("a").agg(F.min("b").alias("b"))
     links = materialize(_verify(first, sets, shape.percent))
-    comp = components(links)
-
-    def apart(candidates: DataFrame, labels: DataFrame) -> DataFrame:
-        """Candidates whose ends lie in different components."""
-        c = labels.select("doc", "component")
-        left = candidates.join(c.select(F.col("doc").alias("a"), F.col("component").alias("ca")), "a", "left")
-        both = left.join(c.select(F.col("doc").alias("b"), F.col("component").alias("cb")), "b", "left")
-        return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-    tested = first
-    rest = materialize(apart(pairs.where("fit").select("a", "b").join(first, ["a", "b"], "left_anti"), comp))
-    found = materialize(_verify(rest, sets, shape.percent))
-    links = materialize(links.unionAll(found))
     comp = materialize(components(links))
-    tested = materialize(tested.unionAll(rest))
-
-    # buckets that still hold several components: only those with a candidate that failed
-    odd = apart(pairs.select("a", "b"), comp)
-    if odd.limit(1).count():
-        ends = odd.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-        near = pairs.join(ends.select(F.col("doc").alias("b")), "b", "left_semi").select(F.explode(F.array("a", "b")).alias("doc")).unionAll(pairs.join(ends.select(F.col("doc").alias("a")), "a", "left_semi").select(F.explode(F.array("a", "b")).alias("doc"))).distinct()
-        members = reps.join(near, "doc", "left_semi").join(comp, "doc", "left").select("doc", "n", F.coalesce("component", "doc").alias("component"), "keys")
-        entries = members.mapInArrow(_explode_keys(shape.half), "key long, doc long, n long, component long")
-        # one entry for each component and size would do to see that a bucket is settled
-        mixed = entries.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        more = entries.join(mixed, "key", "left_semi").groupBy("key").applyInArrow(_across(shape.half, shape.percent), "a long, b long").distinct()
-        more = materialize(more.join(tested, ["a", "b"], "left_anti"))
-        found = materialize(_verify(more, sets, shape.percent))
-        links = links.unionAll(found)
+    # families whose members still lie in several components
+    near = pairs.where("fit").select("a", "b")
+    if near.limit(1).count():
+        links = materialize(links.unionAll(_across(near, comp, sets, shape.percent)))
         comp = materialize(components(links))
 
     out = whole.join(comp.select(F.col("doc").alias("rep"), "component"), "rep", "left")
