@@ -311,7 +311,7 @@ def link(docs: DataFrame, shape: Shape, id_column: str = "doc_id") -> DataFrame:
     links = materialize(_verify(first, sets, shape.percent))
     comp = materialize(components(links))
     # families whose members still lie in several components
-    near = pairs.where("fit").select("a", "b")
+    near = pairs.select("a", "b")  # of any sizes: two members of a bucket may fit where its smallest fits neither
     if near.limit(1).count():
         links = materialize(links.unionAll(_across(near, comp, sets, shape.percent)))
         comp = materialize(components(links))
