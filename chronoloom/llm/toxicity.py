@@ -5,8 +5,8 @@ share, each weighted by `DECAY` to the power of the span it takes in either word
 (Lodhi et al., 2002), and is normalised. A gap or an inserted character only adds
 to the span, so "id-iot" and "idxiot" stay near "idiot".
 
-Training: labelled rows give each word's document counts by class (in Spark, over
-all training rows); words that toxic documents hold far more often than chance are
+Training uses a bounded sample of the labelled rows (`SAMPLE` rows, by a hash of
+doc_id). They give each word's document counts by class; words that toxic documents hold far more often than chance are
 the positive examples, common and randomly drawn words of clean documents the
 negative ones. Landmarks are picked from the positives by pivoted Cholesky steps
 and, for contrast, from the negatives. A linear SVM on the Nyström features is fit
@@ -15,7 +15,7 @@ weighted sum of kernels to the landmarks, it is a weight for each subsequence:
 scoring a word looks its subsequences up in one table.
 
 A document's score comes from its three highest words, through a logistic curve fit on
-a bounded sample of training rows (`SAMPLE` rows, by a hash of doc_id). Runs of single
+the same rows. Runs of single
 letters ("i d i o t") are read as one more word.
 
 Defined results: null and empty texts and texts without letters have the score of
@@ -39,7 +39,7 @@ DECAY = 0.7
 #: Letters that a word is read in at a time, and how far the next piece starts.
 PIECE, STRIDE = 12, 4
 #: Bounds of the training sample: words of each class, landmarks, and documents for the curve.
-WORDS, LANDMARKS, SAMPLE = 4000, 96, 20_000
+WORDS, LANDMARKS, SAMPLE = 4000, 96, 24_000
 FOLDS = 5
 #: Words that a document is judged by, and the least value that one counts with.
 TOP, FLOOR = 3, -3.0
@@ -306,8 +306,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     spark = docs.sparkSession
     bounded_batches(spark)
     marks = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).join(marks, "doc_id").where("text is not null")
-    sample = materialize(source.withColumn("h", F.xxhash64("doc_id")))
+    # a bounded sample by a hash of doc_id: its ids fit a broadcast, so no text is shuffled to meet its label
+    marks = marks.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(SAMPLE)
+    source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).join(F.broadcast(marks), "doc_id").where("text is not null")
+    sample = materialize(source)
     # near copies speak once: of equal label and equal two smallest word hashes, one document counts
     sketch = sample.select("doc_id", "toxic", "text").mapInArrow(_sketches, "doc_id long, toxic int, low long, high long")
     once = sketch.groupBy("toxic", "low", "high").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
@@ -334,7 +336,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     for _ in range(2):  # once more with the clean words that come nearest to the positive ones
         negative = [*dict.fromkeys(negative + _nearest(model, clean))]
         model = Model(*fit_words(positive, negative), np.zeros(TOP + 1))
-    return Model(model.weights, model.bias, _curve(model, sample.orderBy("h", "doc_id").limit(SAMPLE)))
+    return Model(model.weights, model.bias, _curve(model, sample))
 
 
 def _nearest(model: Model, words: DataFrame) -> list[bytes]:
