@@ -101,7 +101,10 @@ def _slug(name: str | None) -> str:
     return "" if out in RESERVED_NAMES else out
 
 
-@F.pandas_udf("string")
-def slug(names: pd.Series) -> pd.Series:
+def slug(name) -> Column:
     """Folder-safe ASCII name (Spark has no NFKD, so this is a pandas UDF)."""
-    return names.map(_slug)
+
+    def run(names: pd.Series) -> pd.Series:
+        return names.map(_slug)
+
+    return F.pandas_udf(run, "string")(_c(name))

@@ -92,7 +92,7 @@ def byte_label(size, largest: str = "TB") -> Column:
     out = F.when(s.isNull() | (s <= 0), "—")
     for unit, power in (("TB", 4), ("GB", 3), ("MB", 2), ("KB", 1)):
         if unit != "TB" or largest == "TB":
-            out = out.when(s >= 1024**power, F.format_string(f"%.1f {unit}", s / 1024**power))
+            out = out.when(s >= 1024**power, F.format_string(f"%.1f {unit}", F.bround(s / 1024**power, 1)))
     return out.otherwise(F.format_string("%d bytes", _long(s)))
 
 

@@ -1,0 +1,58 @@
+"""Reading what models answer: JSON in text, wrappers, coercion and alignment."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..functions.text import UNKNOWN, confidence, picture_label
+
+# Keys that answers are wrapped in.
+WRAPPERS = ("frames", "results", "descriptions", "data", "items", "output")
+
+
+def extract_json(text: Column) -> Column:
+    """The answer as a variant: the whole text, the first fenced block that parses, or the
+    outermost brackets or braces; null if none parses."""
+    fences = F.transform(F.regexp_extract_all(text, F.lit(r"(?s)```(?:json)?\s*(.*?)```"), F.lit(1)), lambda x: F.try_parse_json(F.trim(x)))
+    fenced = F.get(F.filter(fences, lambda x: x.isNotNull()), F.lit(0))
+    outer = lambda a, b: F.try_parse_json(F.nullif(F.regexp_extract(text, rf"(?s)(\{a}.*\{b})", 1), F.lit("")))
+    return F.coalesce(F.try_parse_json(F.trim(text)), fenced, outer("[", "]"), outer("{", "}"))
+
+
+def unwrap(answer: Column) -> Column:
+    """A list of variants: the answer, the list under a wrapper key, or the object alone."""
+    lists = [F.try_variant_get(answer, f"$.{key}", "array<variant>") for key in WRAPPERS]
+    alone = F.when(F.try_variant_get(answer, "$", "map<string,variant>").isNotNull(), F.array(answer))
+    return F.coalesce(F.try_variant_get(answer, "$", "array<variant>"), *lists, alone)
+
+
+def coerce_text(value: Column) -> Column:
+    """Null and blank are the sentinel; lists join by "; ", objects by "key: value"; others as text."""
+    items = F.try_variant_get(value, "$", "array<string>")
+    pairs = F.try_variant_get(value, "$", "map<string,string>")
+    joined = F.array_join(F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != ""), "; ")
+    named = F.array_join(F.transform(F.map_entries(pairs), lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("None")))), "; ")
+    out = F.when(items.isNotNull(), joined).when(pairs.isNotNull(), named).otherwise(F.trim(F.try_variant_get(value, "$", "string")))
+    return F.coalesce(F.nullif(out, F.lit("")), F.lit(UNKNOWN))
+
+
+def alignment(sent: Column, got: Column) -> Column:
+    """Why labels don't match what was sent: duplicate, then unexpected, then missing; null if they match."""
+    return (
+        F.when(F.size(got) > F.size(F.array_distinct(got)), "duplicate")
+        .when(F.size(F.array_except(got, sent)) > 0, "unexpected")
+        .when(F.size(F.array_except(sent, got)) > 0, "missing")
+    )
+
+
+def normalise(answers: DataFrame, fields: list[str]) -> DataFrame:
+    """request_id, raw_text to one row for each described picture: label, fields, confidence."""
+    rows = answers.select("request_id", F.posexplode_outer(unwrap(extract_json(F.col("raw_text")))).alias("place", "item"))
+    get = lambda name: F.try_variant_get("item", f"$.{name}", "variant")
+    label = picture_label(F.try_variant_get("item", "$.index", "string"))
+    return rows.select("request_id", "place", label.alias("label"), *[coerce_text(get(f)).alias(f) for f in fields], confidence(F.try_variant_get("item", "$.confidence", "string")).alias("confidence"))
+
+
+def skip_rows(batches: DataFrame) -> DataFrame:
+    """A failed batch (video_id, first, last, reason, attempts) as one row for each picture."""
+    return batches.select("video_id", F.explode(F.sequence("first", "last")).alias("index"), "reason", "attempts")

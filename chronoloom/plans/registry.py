@@ -1,21 +1,601 @@
-"""The library's named queries over the shared tables, each with its DuckDB SQL."""
+"""The library's named queries over the shared tables, each with its DuckDB SQL.
+
+Every query runs over whole tables. Names start with the operator's identifier in
+the coverage list (see README)."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import redact as X, text as T, timefmt as C
+from ..operators import citation, costs, enrich, model_output, packing, rerun, sampling, silence, state, timeline
+from ..sources import views as V
+from . import oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
 
+HOURS = 3600.0
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["assemble_lines"](spark, sf_dir)
+
+def query(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, sql in oracle.SQL.items() if name in _QUERIES}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assemble_lines(spark, sf_dir)
+
+
+# ------------------------------------------------------------------ helpers
+
+
+def _durations(s, d):
+    """video_id, duration: an hour past the last picture."""
+    return V.descriptions(s, d).groupBy("video_id").agg((F.max("seconds") + HOURS).alias("duration"))
+
+
+def _gaps(s, d, least: float = 6 * HOURS):
+    """Stretches of six hours and more without a picture stand for silences."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("video_id").orderBy("index")
+    x = V.descriptions(s, d).select("video_id", F.col("seconds").alias("start"), F.lead("seconds").over(w).alias("end"))
+    return x.where(F.col("end") - F.col("start") >= least)
+
+
+def _sections(s, d):
+    return enrich.segments(V.descriptions(s, d), _durations(s, d), 6 * HOURS)
+
+
+def _speech_entries(s, d):
+    """Entries with end and confidence, for the exporters."""
+    t, p = V.transcript(s, d), V.descriptions(s, d)
+    said = t.select("video_id", F.col("start_seconds").alias("seconds"), F.when(F.col("is_silence"), "silence").otherwise("speech").alias("kind"), F.trim("text").alias("text"), F.col("end_seconds").alias("end"), F.lit(None).cast("string").alias("confidence"), F.col("line").cast("long").alias("tie"))
+    seen = p.select("video_id", "seconds", F.lit("description").alias("kind"), F.when(T.readable("action"), F.col("action")).otherwise("").alias("text"), F.lit(None).cast("double").alias("end"), "confidence", F.col("index").cast("long").alias("tie"))
+    return said.unionByName(seen)
+
+
+def _moments(s, d):
+    """Moments to cite: one for each video of conversations, in the middle of its words."""
+    t = V.transcript(s, d).groupBy("video_id").agg((F.max("end_seconds") / 2).alias("seconds"))
+    return t.select(F.col("video_id").alias("moment_id"), "video_id", "seconds")
+
+
+def _stage_history(s, d):
+    r = V.stage_runs(s, d)
+    return r.where("status = 'completed'").select("stage", "run_id", F.col("started_at").alias("finished_at"), F.col("total").cast("double").alias("seconds"), F.col("done").alias("items"))
+
+
+# ------------------------------------------------------------------ sources, time and text
+
+
+@query
+def s8_silence_log(s, d):
+    return silence.parse_log(V.silence_log(s, d))
+
+
+@query
+def s9_trailing_silence(s, d):
+    log = V.silence_log(s, d)
+    return silence.close_trailing(log, silence.parse_log(log), log.groupBy("video_id").agg(F.lit(1e9).alias("duration")))
+
+
+@query
+def s10_picture_names(s, d):
+    p = sampling.plan(V.job_videos(s, d).where("active and sequence = 0").select(F.col("job_id").alias("video_id"), "seconds"), 60_000)
+    index = F.regexp_extract("name", r"^(\d+)_t\d+\.jpg$", 1).cast("int")
+    hh = lambda k: F.regexp_extract("name", r"_t(\d+)(\d{2})(\d{2})\.jpg$", k).cast("int")
+    return p.select("video_id", index.alias("number"), (hh(1) * 3600 + hh(2) * 60 + hh(3)).alias("at"))
+
+
+@query
+def s13_collection_sources(s, d):
+    """Missing documents keep a row with a placeholder."""
+    want = V.load(s, d, "labels").select("doc_id")
+    docs = V.documents(s, d).where("sequence % 3 <> 0")
+    return want.join(docs, "doc_id", "left").select("doc_id", F.coalesce(F.col("collection"), F.lit("none")).alias("collection"), F.length(F.coalesce("text", F.lit("(this document is missing)"))).alias("n_chars"))
+
+
+@query
+def s17_path_list(s, d):
+    """Lines of texts as a path list: quotes stripped, blanks and comments dropped."""
+    x = V.load(s, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    clean = F.trim(F.trim(F.col("line")), F.lit("\"'"))
+    return x.select("doc_id", clean.alias("path")).where("path <> '' and not startswith(path, '#')").groupBy("doc_id").agg(F.count("*").alias("paths"), F.max(F.length("path")).alias("longest"))
+
+
+@query
+def s24_speech_windows(s, d):
+    t = V.transcript(s, d)
+    return t.select("video_id", "line", F.greatest(F.lit(0.0), F.col("start_seconds") - 5).alias("start"), F.trim("text").alias("text")).where("text <> ''")
+
+
+@query
+def f_time_labels(s, d):
+    """F1-F10, F12: labels of times, sizes and what is left."""
+    e = V.load(s, d, "events")
+    x = F.col("value")
+    t = x * 137.0
+    return e.select(
+        "event_id", C.hms(t).alias("hms"), C.hms_rounded(t).alias("hms_rounded"), C.file_token(t).alias("token"), C.subtitle_time(x).alias("srt"), C.subtitle_time(x, ".").alias("vtt"), C.clock(t).alias("clock"),
+        C.elapsed(t).alias("elapsed"), C.span(t).alias("span"), C.relative(t * 3).alias("ago"), C.byte_label(x * x * x * 40).alias("bytes"), C.rough_duration(t).alias("rough"),
+        C.remaining(t, F.floor(x), F.lit(400), F.lit(20)).alias("left"),
+    )
+
+
+@query
+def f11_parse_time(s, d):
+    e = V.load(s, d, "events")
+    v = F.floor("value").cast("int")
+    forms = F.when(v % 7 == 0, F.lit("abc")).when(v % 7 == 1, F.concat(v.cast("string"), F.lit(":75"))).when(v % 7 == 2, F.concat_ws(":", v.cast("string"), F.lit("2"), F.lit("3"))).when(v % 7 == 3, F.concat(F.lit("-"), v.cast("string"))).when(v % 7 == 4, F.concat(v.cast("string"), F.lit(":07.5"))).when(v % 7 == 5, F.lit("1:2:3:4")).otherwise(v.cast("string"))
+    return e.select("event_id", forms.alias("given"), C.parse_time(forms).alias("seconds"))
+
+
+@query
+def f16_status_labels(s, d):
+    j = V.jobs(s, d)
+    return j.groupBy("status").agg(F.count("*").alias("n")).select("status", "n", state.status_label(F.col("status")).alias("label"), state.status_class(F.col("status")).alias("class"))
+
+
+@query
+def f20_tokens(s, d):
+    return V.load(s, d, "documents").select("doc_id", T.token_estimate(F.length("text")).alias("tokens"))
+
+
+@query
+def f21_slugs(s, d):
+    """Rows only: NFKD has no SQL counterpart."""
+    x = V.load(s, d, "documents").select("doc_id", T.slug(F.substring_index("text", "\n", 1)).alias("slug"))
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy("slug").orderBy("doc_id"))
+    return x.select("doc_id", F.when(n == 1, F.col("slug")).when(n < 100, F.concat("slug", F.lit("-"), n.cast("string"))).otherwise(F.concat("slug", F.lit("-"), F.col("doc_id").cast("string"))).alias("name"))
+
+
+@query
+def f27_file_names(s, d):
+    p = V.load(s, d, "pages")
+    return p.select("page_id", T.file_name("url").alias("name"), T.extension("url").alias("extension"))
+
+
+@query
+def f32_hashes(s, d):
+    return V.load(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), T.short_hash("text").alias("short"))
+
+
+@query
+def f36_backoff(s, d):
+    r = V.stage_runs(s, d)
+    return r.select("run_id", "attempt", T.backoff(F.col("attempt")).alias("wait"), T.backoff(F.col("attempt"), jitter=1.5).alias("longest"))
+
+
+@query
+def f37_labels(s, d):
+    e = V.load(s, d, "events")
+    n = F.floor("value").cast("int").cast("string")
+    given = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("IDX "), n)).when(F.col("event_id") % 4 == 1, F.concat(F.lit("idx_"), n)).when(F.col("event_id") % 4 == 2, n).otherwise("picture")
+    return e.select("event_id", T.picture_label(given).alias("label"))
+
+
+@query
+def f40_preview(s, d):
+    cut, more = T.preview("text", 1000)
+    return V.load(s, d, "documents").select("doc_id", cut.alias("preview"), more.alias("was_cut"))
+
+
+@query
+def e4_confidence(s, d):
+    e = V.load(s, d, "events")
+    given = F.when(F.col("event_id") % 5 == 0, "very high").when(F.col("event_id") % 5 == 1, "moderate").when(F.col("event_id") % 5 == 2, "junk").when(F.col("event_id") % 5 == 3, F.format_string("%.2f", F.bround(F.col("value") / 500, 2))).otherwise(F.floor("value").cast("string"))
+    return e.select("event_id", T.confidence(given).alias("confidence"))
+
+
+@query
+def x1_redact(s, d):
+    return V.load(s, d, "documents").select("doc_id", X.redact("text").alias("text"))
+
+
+@query
+def p13_sensitive_keys(s, d):
+    words = V.load(s, d, "events").select("event_id", F.concat_ws("_", F.element_at(F.array(*map(F.lit, ("token", "api", "auth", "user", "access"))), (F.col("event_id") % 5 + 1).cast("int")), F.element_at(F.array(*map(F.lit, ("limit", "key", "token", "name"))), (F.col("event_id") % 4 + 1).cast("int"))).alias("name"))
+    return words.select("name", X.sensitive_key("name").alias("sensitive")).distinct()
+
+
+# ------------------------------------------------------------------ sampling and silences
+
+
+@query
+def f30_picture_plan(s, d):
+    v = V.job_videos(s, d).where("active and sequence = 0").select(F.col("job_id").alias("video_id"), "seconds")
+    return sampling.plan(v, 30_000)
+
+
+@query
+def a13_preflight(s, d):
+    return sampling.preflight(V.job_videos(s, d).where("active"), 2_000, 20, 8 << 30)
+
+
+@query
+def w5_speech_windows(s, d):
+    return silence.invert(_gaps(s, d), _durations(s, d), padding=900.0)
+
+
+@query
+def a10_silence_totals(s, d):
+    return silence.totals(_gaps(s, d))
+
+
+@query
+def u2_woven_transcript(s, d):
+    t = V.transcript(s, d)
+    quiet = t.where("is_silence").select("video_id", F.col("start_seconds").alias("start"), F.col("end_seconds").alias("end"))
+    return timeline.weave(t.where("not is_silence"), quiet).select("video_id", "ordinal", "start_seconds", "text", "is_silence")
+
+
+# ------------------------------------------------------------------ enrichment and documents
+
+
+@query
+def p2_unknown_fields(s, d):
+    return V.descriptions(s, d).select("video_id", "index", enrich.unknown_count("instrument", "timeframe", "action").alias("unknown"), T.readable("action").alias("acts"))
+
+
+@query
+def w1_switches(s, d):
+    return enrich.switches(V.descriptions(s, d))
+
+
+@query
+def w2_sections(s, d):
+    return enrich.segments(V.descriptions(s, d), _durations(s, d), None)
+
+
+@query
+def w3_folded_sections(s, d):
+    return _sections(s, d)
+
+
+@query
+def pk11_emphasis(s, d):
+    e = enrich.emphasis(V.descriptions(s, d), ["instrument", "timeframe", "action"], _gaps(s, d))
+    return e.select("video_id", "index", "seconds", F.array_join("reasons", ", ").alias("reasons"))
+
+
+@query
+def a21_coverage(s, d):
+    return enrich.coverage(V.descriptions(s, d), ["instrument", "timeframe", "action", "confidence"])
+
+
+@query
+def assemble_lines(s, d):
+    """U1, O1, F1, F24, PK1: every line of every assembled document, in order."""
+    return timeline.lines(timeline.entries(V.transcript(s, d), V.descriptions(s, d), _sections(s, d)))
+
+
+@query
+def pk1_documents(s, d):
+    names = V.transcript(s, d).groupBy("video_id").agg(F.max("end_seconds").alias("duration")).select("video_id", F.format_string("video %d", "video_id").alias("name"), "duration")
+    text = timeline.document(timeline.entries(V.transcript(s, d), V.descriptions(s, d)), names)
+    return text.select("video_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("sha256"))
+
+
+@query
+def k4_jsonl(s, d):
+    return timeline.to_jsonl(_speech_entries(s, d))
+
+
+@query
+def k5_json(s, d):
+    j = timeline.to_json(_speech_entries(s, d))
+    return j.select("video_id", F.get_json_object("text", "$.entry_count").cast("long").alias("entries"), F.length("text").alias("n_chars"))
+
+
+@query
+def k6_markdown(s, d):
+    return timeline.to_markdown(_speech_entries(s, d))
+
+
+@query
+def k7_srt(s, d):
+    return timeline.to_subtitles(_speech_entries(s, d))
+
+
+@query
+def k7_vtt(s, d):
+    return timeline.to_subtitles(_speech_entries(s, d), ".")
+
+
+# ------------------------------------------------------------------ citations
+
+
+@query
+def j12_containing_section(s, d):
+    p = V.descriptions(s, d).select("video_id", "index", "seconds")
+    return citation.containing(p, _sections(s, d)).select("video_id", "index", "title")
+
+
+@query
+def j13_lines_nearby(s, d):
+    lines = V.transcript(s, d).select("video_id", F.col("start_seconds").alias("seconds"), "line")
+    return citation.near(_moments(s, d), lines, 15.0).select("moment_id", "line", F.col("at").alias("at"))
+
+
+@query
+def j15_nearest_picture(s, d):
+    return citation.nearest(_moments(s, d), V.descriptions(s, d))
+
+
+@query
+def pk13_resolve(s, d):
+    jobs = V.jobs(s, d).select(F.col("job_id").cast("string").alias("job_id"), F.format_string("job %d", F.col("job_id")).alias("name"))
+    r = V.load(s, d, "customer").select(F.col("c_custkey").alias("request"), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("job "), F.col("c_custkey").cast("string"))).when(F.col("c_custkey") % 3 == 1, F.concat(F.col("c_custkey").cast("string"), F.lit("00"))).otherwise(F.col("c_custkey").cast("string")).alias("ref"))
+    return citation.resolve(r, jobs)
+
+
+# ------------------------------------------------------------------ state
+
+
+@query
+def j1_pictures_sent(s, d):
+    v, j = V.job_videos(s, d), V.jobs(s, d)
+    x = v.join(j, "job_id").where("status <> 'ready'")
+    return x.groupBy("status").agg(F.count_distinct("job_id").alias("jobs"), F.sum(F.col("seconds").cast("decimal(18,2)")).cast("double").alias("seconds"))
+
+
+@query
+def j3_sources_left(s, d):
+    j = V.jobs(s, d)
+    v = V.job_videos(s, d).where("active and sequence = 0").select("job_id", "part")
+    return j.join(v, "job_id", "left").select("job_id", "part")
+
+
+@query
+def j4_citing_collections(s, d):
+    """Suppliers cited by finished jobs, each once."""
+    v, j = V.job_videos(s, d), V.jobs(s, d)
+    return v.join(j.where("status = 'completed'"), "job_id", "left_semi").select("supplier").distinct()
+
+
+@query
+def j5_completed_anywhere(s, d):
+    """Totals completed in any attempt of the same video and stage as a pending run."""
+    r = V.stage_runs(s, d)
+    waiting = r.where("status = 'pending'").select("video_id", "stage").distinct()
+    return r.where("status = 'completed'").join(waiting, ["video_id", "stage"], "left_semi").select("video_id", "stage", "total").distinct()
+
+
+@query
+def j6_latest_attempt(s, d):
+    return state.latest(V.stage_runs(s, d), "video_id", "stage").select("video_id", "stage", "attempt", "run_id")
+
+
+@query
+def j16_same_sources(s, d):
+    v, j = V.job_videos(s, d), V.jobs(s, d)
+    first = v.groupBy("job_id").agg(F.max("sequence").alias("m")).where("m = 0").select("job_id")
+    rows = v.where("active").join(first, "job_id", "left_semi").join(j.where("status = 'completed'").select("job_id", "created_at"), "job_id").select("job_id", "created_at", (F.col("part") % 10).alias("source"))
+    return state.same_sources(rows, [3])
+
+
+@query
+def j17_duplicates(s, d):
+    v = V.job_videos(s, d).select("job_id", "sequence", "version", F.col("part").alias("digest"))
+    return state.duplicates(v)
+
+
+@query
+def j19_siblings(s, d):
+    v = V.job_videos(s, d)
+    return rerun.siblings(v, v.where("version >= 3")).select("job_id", "sequence", "version", "active")
+
+
+@query
+def j20_costs(s, d):
+    r = V.stage_runs(s, d)
+    provider = F.element_at(F.array(*map(F.lit, ("anthropic", "google", "openai", "ollama_local", "elsewhere"))), (F.col("run_id") % 5 + 1).cast("int"))
+    work = r.select("run_id", provider.alias("provider"), F.col("done").alias("pictures"))
+    e = costs.estimate(work, costs.price_table(s))
+    return e.select("run_id", "provider", "pictures", "input_tokens", "output_tokens", "usd", costs.cost_label(F.col("usd")).alias("label"))
+
+
+@query
+def a1_counters(s, d):
+    return V.jobs(s, d).agg(*[F.count_if(F.col("status") == x).alias(x) for x in ("ready", "completed", "completed_with_gaps")], F.count("*").alias("every"))
+
+
+@query
+def a2_job_totals(s, d):
+    v = V.job_videos(s, d).groupBy("job_id").agg(F.count("*").alias("videos"), F.sum(F.col("seconds").cast("decimal(18,2)")).cast("double").alias("seconds"))
+    return V.jobs(s, d).select("job_id").join(v, "job_id", "left").select("job_id", F.coalesce("videos", F.lit(0)).alias("videos"), F.coalesce("seconds", F.lit(0.0)).alias("seconds"))
+
+
+@query
+def a3_items_by_stage(s, d):
+    return V.stage_runs(s, d).groupBy("stage").agg(F.sum(F.when(F.col("status") == "completed", F.col("done"))).cast("long").alias("finished_items"), F.sum("done").cast("long").alias("items"))
+
+
+@query
+def a5_percent(s, d):
+    return state.overall(V.stage_runs(s, d))
+
+
+@query
+def a6_next_numbers(s, d):
+    return V.stage_runs(s, d).groupBy("video_id", "stage").agg((F.coalesce(F.max("attempt"), F.lit(0)) + 1).alias("next_attempt"))
+
+
+@query
+def a8_median_rate(s, d):
+    return state.median_rate(_stage_history(s, d))
+
+
+@query
+def a16_savings(s, d):
+    x = V.load(s, d, "documents").select("doc_id", T.token_estimate(F.length("text")).alias("t"))
+    p = F.col("doc_id") % 4
+    return x.select("doc_id", F.bround(state.saving(F.col("t"), p), 6).alias("saving"))
+
+
+@query
+def a18_fingerprint(s, d):
+    return state.fingerprint(V.jobs(s, d), "job_id", "job_id", "status", "priority")
+
+
+@query
+def w7_budget(s, d):
+    x = V.descriptions(s, d)
+    b = x.groupBy("video_id", F.floor(F.col("index") / 20).cast("int").alias("batch")).agg((F.count("*") * F.lit(0.0096).cast("decimal(18,6)")).cast("decimal(18,6)").alias("estimate"))
+    out = state.budget_cutoff(b, 0.5)
+    return out.select("video_id", "batch", F.col("estimate").cast("double").alias("estimate"), F.col("spent").cast("double").alias("spent"), "sent")
+
+
+@query
+def w8_queue(s, d):
+    return state.queue(V.jobs(s, d)).select("job_id", F.col("place").cast("long").alias("place"))
+
+
+@query
+def f13_progress(s, d):
+    return state.progress(V.stage_runs(s, d))
+
+
+@query
+def p5_dashboard(s, d):
+    j = V.jobs(s, d).select("job_id", F.format_string("Job %d", F.col("job_id")).alias("name"), "status", "created_at")
+    return j.where(F.contains(F.lower("name"), F.lit("11")) & F.col("status").isin("completed", "completed_with_gaps")).select("job_id", "name", "status")
+
+
+@query
+def o6_newest(s, d):
+    return V.jobs(s, d).orderBy(F.desc("created_at"), "job_id").limit(20).select("job_id", "created_at")
+
+
+@query
+def o7_page(s, d):
+    """The third page of 120 pictures of each video."""
+    return V.descriptions(s, d).where("index >= 240 and index < 360").select("video_id", "index")
+
+
+@query
+def m2_pause_resume_cancel(s, d):
+    j = V.jobs(s, d)
+    c = F.col("status")
+    return j.select("job_id", state.pause(c).alias("paused"), state.resume(c).alias("resumed"), state.cancel(c).alias("cancelled"))
+
+
+@query
+def m3_run_next(s, d):
+    j = V.jobs(s, d)
+    chosen = j.where("status = 'ready'").agg(F.max("job_id")).first()[0]
+    return state.run_next(j, chosen)
+
+
+@query
+def m4_settle(s, d):
+    r = V.stage_runs(s, d).select(F.col("video_id").alias("job_id"), F.when(F.col("done") > 480, "needs_attention").when(F.col("done") > 450, "completed_with_gaps").otherwise("completed").alias("status"))
+    return state.settle(r)
+
+
+@query
+def m6_reconcile(s, d):
+    return state.reconcile(state.reconcile(V.stage_runs(s, d))).select("run_id", "status")
+
+
+@query
+def k3_upsert(s, d):
+    r = V.stage_runs(s, d).select(F.concat_ws("/", F.col("video_id").cast("string"), "stage").alias("path"), F.col("run_id").alias("at"), F.col("total").alias("size"), F.col("stage").alias("kind"))
+    return state.upsert(r.where("at % 2 = 0"), r.where("at % 2 = 1"), "path", "at", ("kind",))
+
+
+# ------------------------------------------------------------------ reruns
+
+
+@query
+def j7_never_described(s, d):
+    p = V.descriptions(s, d)
+    return rerun.targets(p, p.where("confidence <> 'Low'"), "missing")
+
+
+@query
+def j8_carried_over(s, d):
+    p = V.descriptions(s, d)
+    return rerun.carried(p, rerun.targets(p, p, "low")).select("video_id", "index", "confidence")
+
+
+@query
+def j9_merged(s, d):
+    p = V.descriptions(s, d)
+    new = p.where("index % 3 = 0").withColumn("action", F.lit("again"))
+    return rerun.merged(new, p.where("index % 2 = 0")).select("video_id", "index", "action")
+
+
+@query
+def pk12_rerun_range(s, d):
+    p = V.descriptions(s, d)
+    return rerun.targets(p, p, "range", 9, 3)
+
+
+@query
+def w12_versions(s, d):
+    v = V.job_videos(s, d)
+    return rerun.activate(v, v.where("version = 1 and sequence % 2 = 0")).select("job_id", "sequence", "version", "active")
+
+
+# ------------------------------------------------------------------ packing
+
+
+@query
+def pk2_full_document(s, d):
+    x = packing.full_document_lines(V.documents(s, d))
+    return x.select("collection", "sequence", "part", F.length("line").alias("n_chars"))
+
+
+@query
+def pk3_split(s, d):
+    x = packing.split_sections(V.load(s, d, "documents").select(F.col("doc_id").alias("key"), "text"), 2000)
+    return x.select("key", "piece", "pieces", F.length("chunk").alias("n_chars"), F.length("overlap").alias("n_overlap"))
+
+
+@query
+def pk4_packs(s, d):
+    return packing.next_fit(packing.costs(V.documents(s, d), 120), 4000)
+
+
+@query
+def pk7_manifest(s, d):
+    c = packing.costs(V.documents(s, d), 120)
+    return packing.pack_manifest(packing.next_fit(c, 4000), c)
+
+
+@query
+def e1_model_output(s, d):
+    """Rows only: answers of several shapes around the events' JSON."""
+    e = V.load(s, d, "events")
+    one = F.concat(F.lit('{"index": '), F.col("event_id").cast("string"), F.lit(', "action": ["a", " b "], "confidence": "0.9", "extra": '), F.col("props"), F.lit("}"))
+    raw = F.when(F.col("event_id") % 4 == 0, one).when(F.col("event_id") % 4 == 1, F.concat(F.lit("Here:\n```json\n["), one, F.lit("]\n```"))).when(F.col("event_id") % 4 == 2, F.concat(F.lit('{"frames": ['), one, F.lit("]}"))).otherwise(F.concat(F.lit("So ["), one, F.lit("] it is")))
+    return model_output.normalise(e.select(F.col("event_id").alias("request_id"), raw.alias("raw_text")), ["action", "extra", "missing"])
+
+
+@query
+def e7_skips(s, d):
+    x = V.descriptions(s, d).groupBy("video_id").agg(F.min("index").alias("first"), F.max("index").alias("last"))
+    return model_output.skip_rows(x.withColumn("reason", F.lit("refused")).withColumn("attempts", F.lit(3)))
+
+
+@query
+def u3_alignment(s, d):
+    """Sent: the turns of a conversation; answered: those of an even number, some twice."""
+    c = V.load(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("sent"))
+    got = F.when(F.col("conv_id") % 4 == 0, F.col("sent")).when(F.col("conv_id") % 4 == 1, F.concat("sent", "sent")).when(F.col("conv_id") % 4 == 2, F.concat("sent", F.array(F.lit(99).cast("long")))).otherwise(F.slice("sent", 2, 100))
+    return c.select("conv_id", model_output.alignment(F.col("sent"), got).alias("problem"))
