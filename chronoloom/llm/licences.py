@@ -74,9 +74,9 @@ def scan(docs: DataFrame, least: float = 0.8) -> DataFrame:
     `least`), n_matches (units that reach it) and best_score, the largest
     coefficient among them (0 without any: the size bounds leave smaller ones unknown)."""
     known = templates()
-    shortest = min(len(b) for _, b in known) * least / (2 - least)
-    longest = max(len(b) for _, b in known) * (2 - least) / least
-    ratio = least / (2 - least)
+    shortest = min(len(b) for _, b in known) * least / (2 - least) - 1e-6
+    longest = max(len(b) for _, b in known) * (2 - least) / least + 1e-6
+    ratio = least / (2 - least) - 1e-9  # a hair below: bounds prune, the coefficient decides
     # sizes first, by blanks: a unit's words are its blanks and one more; bigrams can repeat, so
     # only the lower bound holds before they are told apart
     sized = F.filter(units(docs["text"]), lambda u: F.length(u) - F.length(F.translate(u, " ", "")) >= F.lit(shortest))

@@ -25,6 +25,7 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from .common import BLOCK_BYTES, Words, blob, bounded_batches, mix, parts, rolling, spread, steps, text_bytes
 
@@ -130,7 +131,7 @@ def _spans(mask: np.ndarray) -> list[list[int]]:
     return np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], axis=1).tolist()
 
 
-def _run(docs: DataFrame, keep: list[str], width: int, emit, schema: str) -> DataFrame:
+def _run(docs: DataFrame, keep: list[str], width: int, emit, schema) -> DataFrame:
     """docs: id column, text and `keep`; emit(table, rows) makes the result of one block."""
     bounded_batches(docs.sparkSession)
     total = text_bytes(docs)
@@ -177,22 +178,21 @@ def dedup_texts(docs: DataFrame, width: int = 50) -> DataFrame:
     space included; of another, the kept stretches stay as they are and a cut
     leaves one line break. Null texts stay null."""
     columns = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    others = [docs[f"`{c}`"] for c in columns if c != "text"]
+    key = docs["doc_id"].cast("long") if "doc_id" in columns else F.xxhash64(docs["text"])
+    source = docs.select(F.struct(*others).alias("_row") if others else F.lit(None).cast("int").alias("_row"), key.alias("_key"), docs["text"].alias("text"))
 
     def emit(table: pa.Table, rows) -> pa.Table:
         texts = table.column("text").combine_chunks()
-        new = texts.to_pylist()
+        new, cut = texts.to_pylist(), [False] * len(texts)
         for i, gone in rows:
             if gone.any():
                 one = Words(texts.slice(i, 1), "space", lower=False)
                 raw = one.data.tobytes()
-                stays = _spans(~gone)
-                new[i] = "\n".join(raw[one.starts[a] : one.ends[b - 1]].decode() for a, b in stays)
-        out = {c: table.column(c) for c in columns}
-        out["text"] = pa.array(new, table.schema.field("text").type)
-        if "n_chars" in columns:
-            out["n_chars"] = pa.array([None if x is None else len(x) for x in new], pa.int64()).cast(table.schema.field("n_chars").type)
-        return pa.table(out)
-
-    key = "doc_id" if "doc_id" in columns else "text"
-    return _run(docs, [key], width, emit, schema).select(*[F.col(f"`{c}`") for c in columns])
+                new[i] = "\n".join(raw[one.starts[a] : one.ends[b - 1]].decode() for a, b in _spans(~gone))
+                cut[i] = True
+        return pa.table({"_row": table.column("_row"), "text": pa.array(new, pa.string()), "_cut": pa.array(cut, pa.bool_())})
+
+    out = _run(source, ["_key"], width, emit, StructType([source.schema["_row"], StructField("text", StringType()), StructField("_cut", BooleanType())]))
+    count = F.when(F.col("_cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars")) if "n_chars" in columns else None
+    return out.select(*[F.col("text") if c == "text" else count.alias(c) if c == "n_chars" else F.col(f"_row.`{c}`").alias(c) for c in columns])

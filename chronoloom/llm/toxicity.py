@@ -31,6 +31,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import Words, ascii_lower, bounded_batches, materialize, steps
 
@@ -393,8 +394,7 @@ def _scored(docs: DataFrame, row: list, model: Model | None) -> DataFrame:
             best = np.concatenate([np.zeros((0, TOP)), *highest(shared.value, batch.column(1))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.probability(best))], names=["_row", "score"])
 
-    row_type = frame.schema["_row"].dataType.simpleString()
-    return frame.mapInArrow(run, f"_row {row_type}, score double")
+    return frame.mapInArrow(run, StructType([frame.schema["_row"], StructField("score", DoubleType())]))
 
 
 def clean(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
