@@ -65,8 +65,8 @@ def units(text: Column) -> Column:
     """Normalised lines, paragraphs and the whole text: lower case, words of a-z and 0-9."""
     low = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), r"[^a-z0-9\n]+", " ")
     lines = F.split(low, "\n")
-    paragraphs = F.transform(F.split(low, r"\n ?(?:\n ?)+"), lambda p: F.translate(p, "\n", " "))
-    return F.array_distinct(F.transform(F.concat(lines, paragraphs, F.array(F.translate(low, "\n", " "))), lambda u: F.trim(u)))
+    paragraphs = F.transform(F.split(low, r"\n ?(?:\n ?)+"), lambda p: F.regexp_replace(p, r"[ \n]+", " "))
+    return F.array_distinct(F.transform(F.concat(lines, paragraphs, F.array(F.regexp_replace(low, r"[ \n]+", " "))), lambda u: F.trim(u)))
 
 
 def scan(docs: DataFrame, least: float = 0.8) -> DataFrame:

@@ -141,7 +141,7 @@ unit AS (
       UNION ALL SELECT doc_id, translate(unnest(string_split_regex(x, '
  ?(?:
  ?)+')), chr(10), ' ') FROM low
-      UNION ALL SELECT doc_id, translate(x, chr(10), ' ') FROM low))
+      UNION ALL SELECT doc_id, regexp_replace(x, '[ \n]+', ' ', 'g') FROM low))
 ),
 ub AS MATERIALIZED (SELECT doc_id, u, unnest(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS bigram FROM unit WHERE len(w) > 1),
 us AS (SELECT u, count(*) AS n FROM ub GROUP BY u),
