@@ -138,9 +138,7 @@ unit AS (
   SELECT doc_id, row_number() OVER () AS u, string_split(unit, ' ') AS w FROM (
     SELECT DISTINCT doc_id, trim(unit, ' ') AS unit FROM (
       SELECT doc_id, unnest(string_split(x, chr(10))) AS unit FROM low
-      UNION ALL SELECT doc_id, translate(unnest(string_split_regex(x, '
- ?(?:
- ?)+')), chr(10), ' ') FROM low
+      UNION ALL SELECT doc_id, regexp_replace(unnest(string_split_regex(x, '\n ?(?:\n ?)+')), '[ \n]+', ' ', 'g') FROM low
       UNION ALL SELECT doc_id, regexp_replace(x, '[ \n]+', ' ', 'g') FROM low))
 ),
 ub AS MATERIALIZED (SELECT doc_id, u, unnest(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS bigram FROM unit WHERE len(w) > 1),
