@@ -158,3 +158,16 @@ def fingerprint(rows: DataFrame, order: str, *columns: str) -> DataFrame:
     digest = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
     all_of = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), digest.alias("d")))), lambda x: x["d"]), "")
     return rows.agg(F.substring(F.sha2(all_of, 256), 1, 16).alias("fingerprint"))
+
+
+def throttle(events: DataFrame, gap: float) -> DataFrame:
+    """key, at: the first of each key and every later one at least `gap` after the last let through.
+    A fold, because each decision rests on the one before; keys fold in parallel."""
+    times = F.array_sort(F.collect_set("at"))
+    start = F.expr("named_struct('last', cast(null as double), 'kept', cast(array() as array<double>))")
+    kept = F.aggregate(
+        times, start,
+        lambda a, x: F.when(a["last"].isNull() | (x - a["last"] >= gap), F.struct(x.alias("last"), F.concat(a["kept"], F.array(x)).alias("kept"))).otherwise(a),
+        lambda a: a["kept"],
+    )
+    return events.groupBy("key").agg(kept.alias("kept")).select("key", F.explode("kept").alias("at"))

@@ -244,4 +244,19 @@ SQL = {
     "e7_skips": f"WITH {D} SELECT video_id, index, 'refused' AS reason, 3 AS attempts FROM d",
     "u3_alignment": "SELECT conv_id, CASE conv_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'duplicate' WHEN 2 THEN 'unexpected' ELSE 'missing' END AS problem FROM conversations GROUP BY conv_id",
 }
+PATHS = """l AS (SELECT page_id AS k, 'out/' || CASE WHEN page_id % 11 = 0 THEN 'analysis_input/' ELSE '' END || page_id AS folder, page_id * 10 AS size FROM pages),
+files AS (SELECT k, folder, size, folder || '/assembled.txt' AS path FROM l UNION ALL SELECT k, folder, size, folder || '/frames/000001_t000000.jpg' FROM l WHERE k % 3 <> 0
+  UNION ALL SELECT k, folder, size, folder || '/visual_results.json' FROM l WHERE k % 2 = 0 UNION ALL SELECT k, folder, size, folder || '/sound.wav' FROM l WHERE k % 5 = 0)"""
+SQL |= {
+    "w14_throttled": f"""WITH RECURSIVE {D}, f AS (SELECT video_id, min(seconds) AS at_s FROM d GROUP BY 1
+      UNION ALL SELECT video_id, (SELECT min(seconds) FROM d WHERE d.video_id = f.video_id AND seconds >= f.at_s + 7200) FROM f WHERE f.at_s IS NOT NULL)
+    SELECT video_id AS key, at_s AS "at" FROM f WHERE at_s IS NOT NULL""",
+    "t6_hourly_counts": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL",
+    "s11_importable": f"WITH {PATHS} SELECT folder FROM l WHERE k % 11 <> 0",
+    "s12_inspection": f"""WITH {PATHS} SELECT folder, concat_ws('; ', CASE WHEN k % 3 = 0 THEN 'the pictures are missing' END, CASE WHEN k % 2 <> 0 THEN 'no descriptions' END) AS warnings,
+      CASE WHEN k % 3 = 0 THEN 'missing_artifacts' WHEN k % 2 <> 0 THEN 'no_visual' ELSE 'ok' END AS compatibility FROM l WHERE k % 11 <> 0""",
+    "k2_redacted_json": f"""WITH j AS (SELECT '{{"doc_id":' || doc_id || ',"n":' || length(text) || ',"note":"token = {X.MASK}"}}' AS json FROM documents) SELECT json, sha256(json) AS sha256 FROM j""",
+    "k15_group_sizes": f"""WITH {PATHS} SELECT CASE WHEN path LIKE '%.jpg' THEN 'pictures' WHEN path LIKE '%.wav' THEN 'audio' WHEN path LIKE '%.txt' THEN 'documents' ELSE 'other' END AS "group", sum(size)::BIGINT AS bytes, count(*) AS files FROM files GROUP BY 1""",
+    "p19_verified": f"WITH {PATHS} SELECT path, CASE WHEN size % 30 = 0 THEN 'missing' WHEN size % 70 <> 0 AND size % 40 = 0 THEN 'changed' END AS problem FROM files",
+}
 SQL = {name: sql for name, sql in SQL.items() if sql}

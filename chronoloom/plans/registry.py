@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import redact as X, text as T, timefmt as C
 from ..operators import citation, costs, enrich, model_output, packing, rerun, sampling, silence, state, timeline
-from ..sources import views as V
+from ..sources import readers, sinks, views as V
+from ..streaming import events as streams
 from . import oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -599,3 +600,56 @@ def u3_alignment(s, d):
     c = V.load(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("sent"))
     got = F.when(F.col("conv_id") % 4 == 0, F.col("sent")).when(F.col("conv_id") % 4 == 1, F.concat("sent", "sent")).when(F.col("conv_id") % 4 == 2, F.concat("sent", F.array(F.lit(99).cast("long")))).otherwise(F.slice("sent", 2, 100))
     return c.select("conv_id", model_output.alignment(F.col("sent"), got).alias("problem"))
+
+
+# ------------------------------------------------------------------ throttling, streams, files
+
+
+@query
+def w14_throttled(s, d):
+    """Progress of each video's pictures, let through at most once in two hours."""
+    return state.throttle(V.descriptions(s, d).select(F.col("video_id").alias("key"), F.col("seconds").alias("at")), 2 * HOURS)
+
+
+@query
+def t6_hourly_counts(s, d):
+    """The event log as a stream, counted by hour and type over all there is."""
+    folder = s.conf.get("spark.checkpoint.dir", None) or "/tmp/chronoloom-streams"
+    counts = streams.totals_now(streams.hourly_counts(streams.read(s, d, "events.parquet")), folder)
+    return counts.select(F.col("hour").cast("timestamp_ntz").alias("hour"), "event_type", "n")
+
+
+def _paths(s, d):
+    """A listing of outputs: one folder for each page, some without pictures or descriptions."""
+    p = V.load(s, d, "pages").select("page_id")
+    name = lambda n, keep: p.where(keep).select(F.concat(F.when(F.col("page_id") % 11 == 0, F.lit("out/analysis_input/")).otherwise("out/"), F.col("page_id").cast("string"), F.lit("/" + n)).alias("path"), (F.col("page_id") * 10).alias("size"))
+    return name("assembled.txt", "true").unionAll(name("frames/000001_t000000.jpg", "page_id % 3 <> 0")).unionAll(name("visual_results.json", "page_id % 2 = 0")).unionAll(name("sound.wav", "page_id % 5 = 0"))
+
+
+@query
+def s11_importable(s, d):
+    return readers.importable(_paths(s, d))
+
+
+@query
+def s12_inspection(s, d):
+    p = _paths(s, d)
+    return readers.inspect(readers.importable(p), p).select("folder", F.array_join("warnings", "; ").alias("warnings"), "compatibility")
+
+
+@query
+def k2_redacted_json(s, d):
+    x = V.load(s, d, "documents").select("doc_id", F.length("text").alias("n"), F.concat(F.lit("token = "), F.substring(F.sha2("text", 256), 1, 12)).alias("note"))
+    return sinks.redacted_json(x)
+
+
+@query
+def k15_group_sizes(s, d):
+    return sinks.group_sizes(_paths(s, d))
+
+
+@query
+def p19_verified(s, d):
+    p = _paths(s, d).withColumn("sha256", F.when(F.col("size") % 70 != 0, F.sha2("path", 256)))
+    now = p.where("size % 30 <> 0").select("path", F.when(F.col("size") % 40 == 0, F.lit("x")).otherwise(F.sha2("path", 256)).alias("sha256"))
+    return sinks.verified(p, now)
