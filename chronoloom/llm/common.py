@@ -14,10 +14,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of text that one vectorised step looks at (one longer text is a step of its own).
-STEP_BYTES = 2 << 20
+STEP_BYTES = 512 << 10
 #: Bytes of text that one block of documents holds on average.
 BLOCK_BYTES = 8 << 20
 
+# freed memory goes back to the system instead of staying in each worker's pool
+pa.set_memory_pool(pa.system_memory_pool())
+
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _BASE_INV = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))

@@ -166,7 +166,7 @@ def _meet(table: pa.Table) -> pa.Table:
 
 def _star_pairs(signatures: DataFrame, half: int, rows: int) -> DataFrame:
     """Distinct candidate pairs (a, b), a > b, by the smallest member of each bucket."""
-    buckets = parts(rows * half * half * _ENTRY.itemsize, 16 << 20)
+    buckets = parts(rows * half * half * _ENTRY.itemsize, 8 << 20)
     dealt = materialize(signatures.select("doc", "keys").mapInArrow(_deal(half, buckets), "bucket int, entries binary"))
     within = dealt.where("bucket < 0").select("entries").mapInArrow(_unpack, "a long, b long")
     across = dealt.where("bucket >= 0").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet, "a long, b long")
