@@ -75,8 +75,8 @@ def queue(jobs: DataFrame) -> DataFrame:
     ready = jobs.where("status = 'ready'")
     w = Window.partitionBy("priority").orderBy("created_at", "job_id")
     before = ready.groupBy("priority").agg(F.count("*").alias("n"))
-    ahead = before.select(F.col("priority").alias("p"), "n")
-    start = before.join(F.broadcast(ahead), F.col("p") > F.col("priority"), "left").groupBy("priority").agg(F.coalesce(F.sum(ahead["n"]), F.lit(0)).alias("start"))
+    ahead = before.select(F.col("priority").alias("p"), F.col("n").alias("m"))
+    start = before.join(F.broadcast(ahead), F.col("p") > F.col("priority"), "left").groupBy("priority").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("start"))
     placed = ready.withColumn("k", F.row_number().over(w)).join(F.broadcast(start), "priority")
     return placed.select("job_id", "priority", "created_at", (F.col("start") + F.col("k")).alias("place"))
 
