@@ -43,7 +43,7 @@ def rerun_plans(spark: SparkSession, paths) -> DataFrame:
 
 def log_lines(spark: SparkSession, paths) -> DataFrame:
     """video_id, line_no, line of text logs: the place in the file orders the lines."""
-    t = spark.read.option("wholetext", True).text(paths).withColumn("video_id", F.element_at(F.split(F.input_file_name(), "/"), -2))
+    t = spark.read.text(paths, wholetext=True).withColumn("video_id", F.element_at(F.split(F.input_file_name(), "/"), -2))
     return t.select("video_id", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
 
 
