@@ -191,15 +191,15 @@ class Tree:
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, top: int = 2):
         self.keys, self.top = keys, top
-        self.levels: dict[tuple[int, int], Level] = {}
-        for depth in range(DEPTH, top - 1, -1):
-            numbers, n = _unique(shorten(keys, depth), counts)
-            for place in range(8):
-                level = self.levels[depth, place] = Level(numbers, n, place)
-                if depth == DEPTH:
-                    level.weigh(None)
-                else:
-                    level.weigh(self.sums(self.levels[depth + 1, place], level, place))
+        self.counted = {depth: _unique(shorten(keys, depth), counts) for depth in range(DEPTH, top - 1, -1)}
+
+    def at(self, place: int) -> dict[int, Level]:
+        """The weighted levels of one bit place, by depth; only one place is held at a time."""
+        levels: dict[int, Level] = {}
+        for depth in range(DEPTH, self.top - 1, -1):
+            level = levels[depth] = Level(*self.counted[depth], place)
+            level.weigh(None if depth == DEPTH else self.sums(levels[depth + 1], level, place))
+        return levels
 
     @staticmethod
     def sums(child: Level, level: Level, place: int) -> np.ndarray:
@@ -209,8 +209,7 @@ class Tree:
         """Probability of each key's bit at `place` by the depths DEPTH .. top."""
         bit = ((self.keys >> _U(7 - place)) & _U(1)).astype(bool)
         p = None
-        for depth in range(DEPTH, self.top - 1, -1):
-            level = self.levels[depth, place]
+        for depth, level in self.at(place).items():
             p = level.mixed(np.searchsorted(level.node, shorten(self.keys, depth) >> _U(8 - place)), bit, p)
         return p
 
@@ -220,7 +219,7 @@ def _roots(batches):
     for keys, counts in _contexts(batches):
         tree = Tree(keys, counts)
         for place in range(8):
-            level = tree.levels[2, place]
+            level = tree.at(place)[2]
             parent = level.parents(place)
             node, at = np.unique(parent, return_inverse=True)
             yield pa.RecordBatch.from_arrays(
@@ -229,7 +228,7 @@ def _roots(batches):
             )
 
 
-def _contexts(batches, least: int = 200_000):
+def _contexts(batches, least: int = 50_000):
     """Runs of keys that hold whole two-byte contexts, of `least` keys or one context at least."""
     held_k, held_n, size = [], [], 0
     for batch in batches:
