@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import Words, blob, bounded_batches, materialize, mix, parts, steps
 from .components import components
@@ -305,13 +305,18 @@ def link(docs: DataFrame, shape: Shape, id_column: str = "doc_id") -> DataFrame:
     sized = pairs.join(sizes.select(F.col("doc").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("doc").alias("b"), F.col("n").alias("nb")), "b")
     pairs = materialize(sized.withColumn("fit", F.least("na", "nb") * 100 >= shape.percent * F.greatest("na", "nb")).select("a", "b", "fit"))
     active = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    sets = materialize(source.join(active, "doc", "left_semi").mapInArrow(_set_rows(shape), "doc long, shingles binary").dropDuplicates(["doc", "shingles"]))
+    # always a merge join: the ids are a share of all documents and no table to broadcast
+    sets = materialize(source.join(active.hint("merge"), "doc", "left_semi").mapInArrow(_set_rows(shape), "doc long, shingles binary").dropDuplicates(["doc", "shingles"]))
 
     first = pairs.where("fit").groupBy("a").agg(F.min("b").alias("b"))
     links = materialize(_verify(first, sets, shape.percent))
     comp = materialize(components(links))
     # families whose members still lie in several components
-    near = pairs.select("a", "b")  # of any sizes: two members of a bucket may fit where its smallest fits neither
+    # (of any sizes: two members of a bucket may fit where its smallest fits neither). A document has
+    # at most one candidate for each table and task: its smallest takes the others before they are joined
+    m = F.min("b").over(Window.partitionBy("a"))
+    near = pairs.select("a", "b", m.alias("m"))
+    near = near.select("a", F.col("m").alias("b")).unionAll(near.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
     if near.limit(1).count():
         links = materialize(links.unionAll(_across(near, comp, sets, shape.percent)))
         comp = materialize(components(links))
