@@ -4,6 +4,7 @@ batches, bounded blocks of documents, and tables written to the shared folder.
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -154,6 +155,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop shuffle files that nothing refers to any more; it acts on what the
+    driver's collectors find, which by themselves may run long after the files have become useless."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(F.col(text))).alias("b")).first()[0] or 0
 

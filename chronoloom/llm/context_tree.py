@@ -28,8 +28,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BLOCK_BYTES, STEP_BYTES, Words, blob, bounded_batches, materialize, mix, parts, spread, steps, text_bytes
+from .common import STEP_BYTES, Words, blob, bounded_batches, materialize, mix, parts, release, spread, steps, text_bytes
 
+#: Bytes of text in a block: the longer, the fewer grams occur in several.
+BLOCK_BYTES = 16 << 20
 DEPTH = 5
 FOLDS = 10
 END = 0xFF
@@ -285,7 +287,7 @@ def _values(crown, buckets: int):
             order, cut = _by_bucket(keys, buckets)
             some = [k for k in range(buckets) if cut[k + 1] > cut[k]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(some, pa.int32()), *(pa.array([blob(x[order[cut[k] : cut[k + 1]]]) for k in some], pa.binary()) for x in (keys, value))], names=["bucket", "keys", "values"]
+                [pa.array(some, pa.int32()), *(pa.array([blob(x[order[cut[k] : cut[k + 1]]]) for k in some], pa.binary()) for x in (keys, value.astype(np.float32)))], names=["bucket", "keys", "values"]
             )
 
     return run
@@ -298,7 +300,9 @@ def _answer(asked: pa.Table, known: pa.Table) -> pa.Table:
     """Values for the keys of each block, in its order."""
     if not asked.num_rows:
         return pa.table({"_block": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "values": pa.array([], pa.binary())})
-    keys, values = np.concatenate(_blobs(known.column("keys"), _U)), np.concatenate(_blobs(known.column("values"), np.float64))
+    # log-probabilities in single precision, word counts in double
+    kind = np.float64 if known.column("words")[0].as_py() else np.float32
+    keys, values = np.concatenate(_blobs(known.column("keys"), _U)), np.concatenate(_blobs(known.column("values"), kind))
     order = np.argsort(keys)
     keys, values = keys[order], values[order]
     out = [blob(values[np.searchsorted(keys, k)]) for k in _blobs(asked.column("keys"), _U)]
@@ -312,7 +316,7 @@ def _finish(buckets: int, total: int, distinct: int, ends: int):
         return np.log10((c + 0.1) / floor)
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        known = {b: v for b, v in zip(answers.column("bucket").to_pylist(), _blobs(answers.column("values"), np.float64), strict=True)}
+        known = {b: np.frombuffer(v.as_buffer(), dtype=np.float64 if b >= buckets else np.float32) for b, v in zip(answers.column("bucket").to_pylist(), answers.column("values"), strict=True)}
         texts = table.column("text").combine_chunks()
         rows = len(texts)
         score, base = np.zeros(rows), np.zeros(rows)
@@ -355,10 +359,12 @@ def score(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
     size = text_bytes(docs)
-    blocks = buckets = parts(size, BLOCK_BYTES)
+    blocks, buckets = parts(size, BLOCK_BYTES), parts(size, BLOCK_BYTES // 2)
     dealt = spread(source, blocks, "doc_id")
     asked = materialize(dealt.groupBy("_block").applyInArrow(_ask(buckets), "_block int, bucket int, keys binary, counts binary"))
+    release(docs.sparkSession)
     counts = materialize(asked.repartition(2 * buckets, "bucket").groupBy("bucket").applyInArrow(_total, "bucket int, key long, n long"))
+    release(docs.sparkSession)
     words = counts.where(F.col("bucket") >= buckets)
     facts = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     ends = source.where(~F.col("held_out")).count()
@@ -368,7 +374,7 @@ def score(docs: DataFrame) -> DataFrame:
     crown = docs.sparkSession.sparkContext.broadcast(Crown(grams.mapInArrow(_roots, "place int, node long, n0 double, n1 double, below double").groupBy("place", "node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "below")]).collect()))
     values = grams.mapInArrow(_values(crown, buckets), "bucket int, keys binary, values binary")
     unigrams = words.groupBy("bucket").applyInArrow(_word_values, "bucket int, keys binary, values binary")
-    known = values.unionAll(unigrams)
+    known = values.unionAll(unigrams).withColumn("words", F.col("bucket") >= buckets)
     answers = asked.select("_block", "bucket", "keys").repartition(2 * buckets, "bucket").groupBy("bucket").cogroup(known.repartition(2 * buckets, "bucket").groupBy("bucket")).applyInArrow(_answer, "_block int, bucket int, values binary")
     total, distinct = facts["n"] + ends, facts["v"] + int(ends > 0)
     out = dealt.groupBy("_block").cogroup(answers.repartition(blocks, "_block").groupBy("_block")).applyInArrow(
