@@ -238,7 +238,7 @@ SQL = {
         SELECT *, CASE WHEN a > 0 THEN a WHEN b > 0 THEN b WHEN n > 0 THEN n ELSE 2000 END AS k FROM (
           SELECT doc_id, piece, rest, {_last("chr(10) || '── '")} AS a, {_last("chr(10) || chr(10)")} AS b, {_last("chr(10)")} AS n FROM (SELECT *, rest[1:2000] AS w FROM c WHERE rest <> '')))),
     p AS (SELECT doc_id, piece, chunk FROM c WHERE piece > 0 AND (piece = 1 OR rest <> '' OR trim(chunk, ' ' || chr(10) || chr(9)) <> ''))
-    SELECT doc_id AS key, piece::INTEGER AS piece, (count(*) OVER (PARTITION BY doc_id))::INTEGER AS pieces, length(chunk)::INTEGER AS n_chars, coalesce(least(2000, lag(length(chunk)) OVER (PARTITION BY doc_id ORDER BY piece)), 0)::INTEGER AS n_overlap FROM p""",
+    SELECT doc_id AS key, piece::INTEGER AS piece, (count(*) OVER (PARTITION BY doc_id))::INTEGER AS pieces, length(chunk)::INTEGER AS n_chars, least(2000, coalesce(lag(length(chunk)) OVER (PARTITION BY doc_id ORDER BY piece), 0))::INTEGER AS n_overlap FROM p""",
     "pk4_packs": f"WITH RECURSIVE {FOLDING} SELECT collection, sequence, part, over AS oversized FROM fold",
     "pk7_manifest": f"WITH RECURSIVE {FOLDING} SELECT collection, part, count(*) AS documents, sum(tokens)::BIGINT AS tokens, bool_or(over) AS oversized FROM fold JOIN cost USING (collection, sequence) GROUP BY ALL",
     "e7_skips": f"WITH {D} SELECT video_id, index, 'refused' AS reason, 3 AS attempts FROM d",
