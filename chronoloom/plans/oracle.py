@@ -217,7 +217,7 @@ SQL = {
     "f13_progress": f"""WITH {R} SELECT video_id, stage, floor({percent()})::INTEGER AS percent, CASE WHEN status = 'completed' THEN 'Done' WHEN total > 0 THEN format('{{:,}}', done) || ' of ' || format('{{:,}}', total) WHEN status = 'running' THEN 'Working' ELSE upper(status[1]) || status[2:] END AS detail, status = 'running' AND total <= 0 AS indeterminate FROM latest""",
     "p5_dashboard": f"WITH {J} SELECT job_id, 'Job ' || job_id AS name, status FROM jobs WHERE contains(lower('Job ' || job_id), '11') AND status LIKE 'completed%'",
     "o6_newest": f"WITH {J} SELECT job_id, created_at FROM jobs ORDER BY created_at DESC, job_id LIMIT 20",
-    "o7_page": f"WITH {D} SELECT video_id, index FROM d WHERE index BETWEEN 240 AND 359",
+    "o7_page": f"WITH {D} SELECT video_id, index FROM d WHERE index BETWEEN 40 AND 59",
     "m2_pause_resume_cancel": f"WITH {J} SELECT job_id, CASE WHEN status = 'ready' THEN 'paused' ELSE status END AS paused, status AS resumed, CASE WHEN status = 'ready' THEN 'cancelled' ELSE status END AS cancelled FROM jobs",
     "m3_run_next": f"""WITH {J}, c AS (SELECT max(job_id) AS id FROM jobs WHERE status = 'ready'), o AS (SELECT max(priority) AS top FROM jobs, c WHERE status = 'ready' AND job_id <> id)
     SELECT job_id, status, (CASE WHEN job_id = id AND priority <= top THEN top + 1 ELSE priority END)::INTEGER AS priority FROM jobs, c, o""",

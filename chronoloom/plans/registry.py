@@ -484,8 +484,8 @@ def o6_newest(s, d):
 
 @query
 def o7_page(s, d):
-    """The third page of 120 pictures of each video."""
-    return V.descriptions(s, d).where("index >= 240 and index < 360").select("video_id", "index")
+    """The third page of 20 pictures of each video."""
+    return V.descriptions(s, d).where("index >= 40 and index < 60").select("video_id", "index")
 
 
 @query
