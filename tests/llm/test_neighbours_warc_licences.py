@@ -89,3 +89,28 @@ def test_licences_against_brute_force(spark, docs, none, texts):
     got = {r.doc_id: (list(r.licences), r.n_matches, r.best_score) for r in licences.scan(df).collect()}
     assert got == {k: brute(t or "") for k, t in enumerate(given)}
     assert licences.scan(none).count() == 0 and licences.scan(docs).count() == len(texts)
+
+
+def test_notices_inside_longer_texts(spark):
+    text = {(n, len(t)): t for n, t in licences.TEMPLATES}
+    whole = lambda name: text[max(k for k in text if k[0] == name)]
+    bsd2, bsd3, header = whole("BSD-2-Clause"), whole("BSD-3-Clause"), whole("Apache-2.0")
+    numbered = bsd2.replace(": Redistributions", ":\n\n1. Redistributions").replace("disclaimer. Redis", "disclaimer.\n\n2. Redis")
+    other = " ".join(f"part {k} of the software is built under the tree {k}" for k in range(40))
+    given = {
+        "mid-line": ("Foo library (c) 2020 Jane Doe. Licensed under the MIT License. See the docs for details on how to build.", ["MIT"], 1),
+        "without line breaks": (f"{other} Licensed under CC BY-NC 4.0. {other} Licensed under the Apache License, Version 2.0. {other}", ["Apache-2.0", "CC-BY-NC-4.0"], 2),
+        "twice": (f"{other} Released under the MIT License. {other} Released under the MIT License. {other}", ["MIT"], 2),
+        "over lines": (f"{other}\nReleased under\nthe MIT License.\n{other}", ["MIT"], 1),
+        "two-clause file": (f"Copyright (c) 2020, Jane Doe\nEvery right is kept.\n\n{numbered}\n\nTHIS SOFTWARE IS PROVIDED AS IS. {other}", ["BSD-2-Clause"], 1),
+        "three-clause file": (f"Copyright (c) 2020, Jane Doe\n\n{bsd3}\n\n{other}", ["BSD-3-Clause"], 1),
+        "Apache header": (f"Copyright 2020 Jane Doe {header} Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language.", ["Apache-2.0"], 1),
+        "GPL 2": (f"{other} {whole('GPL-2.0')} {other}", ["GPL-2.0"], 1),
+        "LGPL 2.1": (f"{other} {whole('LGPL-2.1')} {other}", ["LGPL-2.1"], 1),
+        "another version": (f"{other} Licensed under the Apache License, Version 1.1. {other}", [], 0),
+        "own line": (f"{other}\nReleased under the MIT License.\n{other}", ["MIT"], 1),
+        "none": (other, [], 0),
+    }
+    df = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(given.values())], "doc_id long, text string")
+    got = {r.doc_id: (list(r.licences), r.n_matches) for r in licences.scan(df).collect()}
+    assert {n: got[k] for k, n in enumerate(given)} == {n: (names, count) for n, (_, names, count) in given.items()}
