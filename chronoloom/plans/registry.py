@@ -59,6 +59,18 @@ def _sections(s, d):
     return enrich.segments(V.descriptions(s, d), _durations(s, d), 6 * HOURS)
 
 
+def _every_picture(s, d):
+    """Plans of every active video at the production interval; video_id: job_id and sequence."""
+    return sampling.plan(V.job_videos(s, d).where("active").select(F.struct("job_id", "sequence").alias("video_id"), "seconds"), 2_000)
+
+
+def _named():
+    """number and at of a picture by its name."""
+    index = F.regexp_extract("name", r"^(\d+)_t\d+\.jpg$", 1).cast("int")
+    hh = lambda k: F.regexp_extract("name", r"_t(\d+)(\d{2})(\d{2})\.jpg$", k).cast("int")
+    return index.alias("number"), (hh(1) * 3600 + hh(2) * 60 + hh(3)).alias("at")
+
+
 def _speech_entries(s, d):
     """Entries with end and confidence, for the exporters."""
     t, p = V.transcript(s, d), V.descriptions(s, d)
@@ -95,9 +107,13 @@ def s9_trailing_silence(s, d):
 @query
 def s10_picture_names(s, d):
     p = sampling.plan(V.job_videos(s, d).where("active and sequence = 0").select(F.col("job_id").alias("video_id"), "seconds"), 60_000)
-    index = F.regexp_extract("name", r"^(\d+)_t\d+\.jpg$", 1).cast("int")
-    hh = lambda k: F.regexp_extract("name", r"_t(\d+)(\d{2})(\d{2})\.jpg$", k).cast("int")
-    return p.select("video_id", index.alias("number"), (hh(1) * 3600 + hh(2) * 60 + hh(3)).alias("at"))
+    return p.select("video_id", *_named())
+
+
+@query
+def s10_every_picture_name(s, d):
+    """The names of f30_every_picture, read again. Rows only: the SQL of s10_picture_names has one video a job."""
+    return _every_picture(s, d).select("video_id.*", *_named())
 
 
 @query
@@ -222,6 +238,12 @@ def f30_picture_plan(s, d):
     return sampling.plan(v, 30_000)
 
 
+@query
+def f30_every_picture(s, d):
+    """Rows only: the SQL of f30_picture_plan has one video a job."""
+    return _every_picture(s, d).select("video_id.*", "index", "at", "name", "batch", "batch_id")
+
+
 @query
 def a13_preflight(s, d):
     return sampling.preflight(V.job_videos(s, d).where("active"), 2_000, 20, 8 << 30)

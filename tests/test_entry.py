@@ -52,3 +52,24 @@ def test_entry_works_without_the_corpus_folders(tmp_path):
     code = "import __spark_entry__ as e; assert 'assemble_lines' in e.queries() and not any(k.startswith('op') or k == 'pipeline' for k in e.queries()); assert set(e.oracle_sql()) <= set(e.queries())"
     done = subprocess.run([sys.executable, "-c", f"import sys; sys.path.insert(0, {str(tmp_path)!r}); {code}"], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
+
+
+def test_every_active_video_has_a_plan(spark, tmp_path):
+    """Two jobs; the second place of the first has two versions of different lengths."""
+    import datetime
+
+    day = lambda k: datetime.date(2024, 1, k)
+    items = [(1, 1, 1.0, day(1)), (1, 2, 2.0, day(1)), (1, 2, 45.0, day(2)), (1, 3, 0.05, day(1)), (2, 2, 3.0, day(3)), (2, 3, 0.0, day(3))]
+    df = spark.createDataFrame([(j, n, q, d, 1, 1, 1.0) for j, n, q, d in items], "l_orderkey long, l_linenumber int, l_quantity double, l_shipdate date, l_partkey long, l_suppkey long, l_extendedprice double")
+    df.write.parquet(f"{tmp_path}/lineitem.parquet")
+    want, names = [], []
+    for job, place, quantity in [(1, 0, 1.0), (1, 1, 45.0), (1, 2, 0.05), (2, 1, 3.0)]:
+        k, length = 0, quantity * 60
+        while k == 0 or k * 2 < length:
+            t = k * 2
+            want.append((job, place, k, float(t), f"{k + 1:06d}_t{t // 3600:02d}{t // 60 % 60:02d}{t % 60:02d}.jpg", k // 20, f"batch_{k // 20 + 1:04d}"))
+            names.append((job, place, k + 1, t))
+            k += 1
+    found = registry.queries()
+    assert sorted(tuple(r) for r in found["f30_every_picture"](spark, str(tmp_path)).collect()) == want
+    assert sorted(tuple(r) for r in found["s10_every_picture_name"](spark, str(tmp_path)).collect()) == names
