@@ -75,3 +75,16 @@ def test_odd_rows(spark, docs, none, texts, labelled):
     assert len(rows) == len(texts) and all(r.score is not None for r in rows)
     assert {r.score for r in toxicity.score(docs, labels.limit(0)).collect()} == {0.0}
     assert toxicity.clean(docs, labels.limit(0)).columns == docs.columns
+
+
+def test_inserted_digits_and_signs_leave_a_word_its_value():
+    words = [b"idiot", b"id1iot", b"1d2i3o4t", b"id-iot", b"i9", b"2024", b"mp3"]
+    rng = np.random.default_rng(5)
+    model = toxicity.Model(rng.normal(size=toxicity._ALPHABET**toxicity.LENGTH), 0.1, np.zeros(toxicity.TOP + 1))
+    ends = np.cumsum([len(w) for w in words])
+    data = np.frombuffer(b"".join(words), dtype=np.uint8)
+    starts = np.concatenate([[0], ends[:-1]])
+    got, plain = model.words(data, starts, ends), model._read(toxicity._CLASS[data], starts, ends)
+    alone = lambda w: model._read(toxicity._CLASS[np.frombuffer(w, dtype=np.uint8)], np.array([0]), np.array([len(w)]))[0]
+    assert got[1] == max(plain[1], alone(b"idiot")) >= got[0] and got[2] == max(plain[2], alone(b"diot")) and got[3] == got[0] == plain[0]
+    assert list(got[4:6]) == list(plain[4:6]) and got[6] == max(plain[6], alone(b"mp"))
