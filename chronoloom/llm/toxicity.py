@@ -7,7 +7,7 @@ to the span, so "idxiot" stays near "idiot". Signs are left out before, and a wo
 digits is also read without them.
 
 Training uses a bounded sample of the labelled rows (`SAMPLE` rows, by a hash of
-doc_id). They give each word's document counts by class; words that toxic documents hold far more often than chance are
+doc_id), of which those with equal label and equal set of words count once. They give each word's document counts by class; words that toxic documents hold far more often than chance are
 the positive examples, common and randomly drawn words of clean documents the
 negative ones. Landmarks are picked from the positives by pivoted Cholesky steps
 and, for contrast, from the negatives. A linear SVM on the Nyström features is fit
@@ -299,7 +299,7 @@ def _word_rows(batches):
             toxic = np.bincount(use, weights=y[w.doc[pick]]).astype(np.int64)
             every = np.bincount(use)
             data = _LOWER[w.data].tobytes()
-            words = [data[w.starts[k] : w.ends[k]][:200] for k in pick[first]]
+            words = [data[w.starts[k] : w.ends[k]] for k in pick[first]]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(toxic), pa.array(every - toxic)], names=["word", "toxic", "clean"])
 
 
@@ -309,8 +309,9 @@ def _sketches(batches):
             w = Words(batch.column(2).slice(at, to - at), "space", lower=True)
             low, high = np.zeros(to - at, dtype=np.int64), np.zeros(to - at, dtype=np.int64)
             for k in range(to - at):
-                two = np.unique(w.hash[w.first[k] : w.first[k + 1]])[:2].view(np.int64)
-                low[k], high[k] = (two[0], two[-1]) if len(two) else (0, 0)
+                own = np.unique(w.hash[w.first[k] : w.first[k + 1]]).view(np.uint64)
+                # two sums over the set, the second of hashes mixed anew
+                low[k], high[k] = np.array([own.sum(), ((own ^ (own >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)).sum()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), pa.array(low), pa.array(high)], names=["doc_id", "toxic", "low", "high"])
 
 
@@ -323,7 +324,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     marks = marks.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(SAMPLE)
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).join(F.broadcast(marks), "doc_id").where("text is not null")
     sample = materialize(source)
-    # near copies speak once: of equal label and equal two smallest word hashes, one document counts
+    # copies speak once: of equal label and equal set of words, one document counts
     sketch = sample.select("doc_id", "toxic", "text").mapInArrow(_sketches, "doc_id long, toxic int, low long, high long")
     once = sketch.groupBy("toxic", "low", "high").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     single = materialize(sample.join(once, "doc_id", "left_semi"))

@@ -88,3 +88,16 @@ def test_inserted_digits_and_signs_leave_a_word_its_value():
     alone = lambda w: model._read(toxicity._CLASS[np.frombuffer(w, dtype=np.uint8)], np.array([0]), np.array([len(w)]))[0]
     assert got[1] == max(plain[1], alone(b"idiot")) >= got[0] and got[2] == max(plain[2], alone(b"diot")) and got[3] == got[0] == plain[0]
     assert list(got[4:6]) == list(plain[4:6]) and got[6] == max(plain[6], alone(b"mp"))
+
+
+def test_only_equal_sets_of_words_are_copies():
+    """Two texts with equal smallest hashes, a copy in another order, and long words with equal beginnings."""
+    import pyarrow as pa
+
+    base = [f"w{k}" for k in range(40)]
+    texts = [" ".join(base), " ".join([*reversed(base), "W1"]), *(" ".join([*base, f"x{k}"]) for k in range(20)), ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([0] * len(texts)), pa.array(texts)], names=["doc_id", "toxic", "text"])
+    found = [(r["low"], r["high"]) for b in toxicity._sketches([batch]) for r in b.to_pylist()]
+    assert found[0] == found[1] and len(set(found)) == len(texts) - 1
+    long = pa.RecordBatch.from_arrays([pa.array(["a" * 300 + "b " + "a" * 300 + "c"]), pa.array([1])], names=["text", "toxic"])
+    assert sorted(len(r["word"]) for b in toxicity._word_rows([long]) for r in b.to_pylist()) == [301, 301]
