@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import Words, blob, bounded_batches, materialize, mix, parts, steps
 from .components import components
@@ -327,8 +327,26 @@ def link(docs: DataFrame, shape: Shape, id_column: str = "doc_id") -> DataFrame:
 
 
 def keep_first(docs: DataFrame, shape: Shape) -> DataFrame:
-    """docs without those linked to a smaller doc_id, and of rows that repeat a kept doc_id
+    """docs without rows linked to a smaller doc_id, and of rows that repeat a kept doc_id
     and its text, one. Documents without words and rows of null doc_id all stay."""
-    gone = link(docs, shape).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    bounded_batches(docs.sparkSession)
+    key, digest = docs["doc_id"].cast("long"), F.xxhash64(docs["text"])
+    rows = docs.where("doc_id is not null").select(key.alias("_doc"), digest.alias("_text")).groupBy("_doc").agg(F.min("_text").alias("a"), F.max("_text").alias("b"))
+    if rows.where("a <> b").limit(1).count():
+        left = _rows_apart(docs, key, digest, shape)
+    else:
+        gone = link(docs, shape).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+        left = docs.join(gone, key == F.col("_gone"), "left_anti")
     return left.where("doc_id is null").unionAll(left.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
+
+
+def _rows_apart(docs: DataFrame, key: Column, digest: Column, shape: Shape) -> DataFrame:
+    """keep_first's rows where a doc_id has several texts: each text is linked by itself,
+    under numbers in the order of doc_id."""
+    texts = docs.where("doc_id is not null").select(key.alias("_doc"), digest.alias("_text")).distinct()
+    numbers = materialize(texts.orderBy("_doc", "_text").withColumn("_node", F.monotonically_increasing_id()))
+    found = docs.select(key.alias("_doc"), digest.alias("_text"), "text").join(numbers, ["_doc", "_text"])
+    linked = link(found.select(F.col("_node").alias("doc_id"), "text"), shape).where("not kept").select(F.col("doc_id").alias("_node"), "component_id").distinct()
+    first = numbers.select(F.col("_node").alias("component_id"), F.col("_doc").alias("_first"))
+    gone = linked.join(numbers, "_node").join(first, "component_id").where("_first < _doc").select(F.col("_doc").alias("_gone"), F.col("_text").alias("_gone_text"))
+    return docs.join(gone, (key == F.col("_gone")) & (digest == F.col("_gone_text")), "left_anti")

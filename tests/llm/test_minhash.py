@@ -47,6 +47,15 @@ def test_keep_first_keeps_columns_and_one_of_each_group(docs, texts):
     assert sorted(r.doc_id for r in out.collect()) == sorted(want)
 
 
+def test_keep_first_removes_only_the_linked_row_of_a_repeated_id(spark):
+    """Id 5 has an exact copy of 2, a near copy of 3 and texts of its own; 9 is a near copy of one of them."""
+    text = lambda name, n=60: " ".join(f"{name}{k}" for k in range(n))
+    near = lambda name: text(name) + " more"
+    rows = [(2, text("a")), (3, text("b")), (5, text("a")), (5, near("b")), (5, text("c")), (5, text("d")), (5, text("d")), (5, None), (9, near("c")), (9, text("e")), (None, text("a"))]
+    out = minhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"), minhash.Shape(3, 85))
+    assert sorted(map(str, out.collect())) == sorted(map(str, spark.createDataFrame([rows[k] for k in (0, 1, 4, 5, 7, 9, 10)], "doc_id long, text string").collect()))
+
+
 def test_components_of_a_chain(spark):
     pairs = spark.range(1, 40).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
     got = components.components(pairs.unionAll(pairs.select(F.lit(None).cast("long").alias("a"), "b"))).collect()
