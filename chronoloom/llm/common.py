@@ -4,8 +4,8 @@ batches, bounded blocks of documents, and tables written to the shared folder.
 
 from __future__ import annotations
 
-import gc
 import math
+import re
 import tempfile
 import uuid
 
@@ -139,9 +139,12 @@ def steps(texts: pa.Array, limit: int = STEP_BYTES):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one where it is unset (tests)."""
+    """The folder that spark.checkpoint.dir names. Where it is unset, a temporary one, if driver
+    and executors are one process (tests); on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="chronoloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -152,14 +155,27 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/chronoloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files that nothing refers to any more; it acts on what the
-    driver's collectors find, which by themselves may run long after the files have become useless."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what `materialize` wrote for these frames, once all that is read from them is written itself."""
+    for df in frames:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._written)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_by_weight(left: DataFrame, right: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """left with right's one row for each key, whose column `weight` is the number of left's rows
+    that have it (of `total`). Keys with a thousandth of all rows or more are at most 1,000 and are
+    broadcast, so that no hot key meets in one task; the others are merged."""
+    hot, cold = right.where(F.col("weight") * 1000 >= total), right.where(F.col("weight") * 1000 < total).drop("weight")
+    marked = left.join(F.broadcast(hot), key, "left")
+    rest = marked.where("weight is null").select(*left.columns).join(cold.hint("merge"), key, how)
+    return marked.where("weight is not null").drop("weight").unionByName(rest)
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _round(pairs: DataFrame, large: bool) -> DataFrame:
@@ -30,5 +30,6 @@ def components(pairs: DataFrame) -> DataFrame:
         if state["n"] == 0 or state == mark:
             break
         mark = state
-        now = materialize(_round(_round(now, True), False))
+        before, now = now, materialize(_round(_round(now, True), False))
+        discard(before)
     return now.select(F.col("a").alias("doc"), F.col("b").alias("component")).unionAll(now.select(F.col("b").alias("doc"), F.col("b").alias("component"))).distinct()

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import STEP_BYTES, Words, blob, bounded_batches, materialize, mix, parts, release, spread, steps, text_bytes
+from .common import STEP_BYTES, Words, blob, bounded_batches, materialize, mix, parts, spread, steps, text_bytes
 
 #: Bytes of text in a block: the longer, the fewer grams occur in several.
 BLOCK_BYTES = 16 << 20
@@ -362,9 +362,7 @@ def score(docs: DataFrame) -> DataFrame:
     blocks, buckets = parts(size, BLOCK_BYTES), parts(size, BLOCK_BYTES // 2)
     dealt = spread(source, blocks, "doc_id")
     asked = materialize(dealt.groupBy("_block").applyInArrow(_ask(buckets), "_block int, bucket int, keys binary, counts binary"))
-    release(docs.sparkSession)
     counts = materialize(asked.repartition(2 * buckets, "bucket").groupBy("bucket").applyInArrow(_total, "bucket int, key long, n long"))
-    release(docs.sparkSession)
     words = counts.where(F.col("bucket") >= buckets)
     facts = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     ends = source.where(~F.col("held_out")).count()

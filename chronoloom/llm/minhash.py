@@ -8,14 +8,18 @@ table with a probability of at most 2 * (1 - s ** depth) ** half.
 
 Candidates are verified on full shingle sets, and links make components:
 
-1. Documents of equal sets collapse into their smallest doc_id.
+1. Documents of equal sets (by a 128-bit cryptographic digest of the whole sorted set)
+   collapse into their smallest doc_id.
 2. In each table's bucket everyone is a candidate of the bucket's smallest member,
    first within a map task and then across tasks, so a bucket that holds a third
    of all rows reaches a reducer as one entry for each task.
 3. One candidate for each document, its smallest, is verified.
 4. Families (documents that candidate pairs hold together) whose members still lie in
-   several components are gone through once more: every member outside the family's
-   largest component is compared with all others, in blocks, and only links leave.
+   several components are gone through again. First some members of each, drawn by
+   hash, are compared with all: most of a family of near copies is one component then.
+   Of what is left, every member outside the family's largest component is compared with
+   all others. Both go by blocks, and a block returns a spanning forest of the components
+   that it links, so what leaves grows with the members and not with their pairs.
 
 Defined results: documents without words (null or empty text included) have no
 shingles, link with nothing and stand alone; a document of fewer words than the
@@ -26,11 +30,13 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import Words, blob, bounded_batches, materialize, mix, parts, steps
+from .common import Words, blob, bounded_batches, discard, join_by_weight, materialize, mix, parts, steps
 from .components import components
 
 _U = np.uint64
@@ -74,7 +80,7 @@ def shingle_sets(texts: pa.Array, words: int):
 
 
 def _signatures(shape: Shape):
-    """(doc_id, text) to (doc_id, n, set_hash, keys): keys are 2 * half 64-bit words."""
+    """(doc_id, text) to (doc_id, n, digest, keys): the whole set's digest, 2 * half 64-bit words."""
 
     def run(batches):
         for batch in batches:
@@ -83,10 +89,9 @@ def _signatures(shape: Shape):
                 n = np.diff(bounds)
                 full = np.flatnonzero(n)
                 keys = np.zeros((to - at, 2 * shape.half), dtype=_U)
-                total = np.zeros(to - at, dtype=_U)
+                digests = [hashlib.blake2b(values[bounds[k] : bounds[k + 1]], digest_size=16).digest() for k in range(to - at)]
                 if len(full):
                     start = bounds[:-1][full]
-                    total[full] = mix(np.add.reduceat(mix(values ^ _U(0x5851F42D4C957F2D)), start) + n[full].astype(_U))
                     for j in range(2 * shape.half):
                         key = np.full(len(full), j, dtype=_U)
                         for k in range(shape.depth):
@@ -96,7 +101,7 @@ def _signatures(shape: Shape):
                             key = mix(key * _U(0x9E3779B97F4A7C15) + low)
                         keys[full, j] = key
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, to - at), pa.array(n), pa.array(total.view(np.int64)), pa.array([blob(k) for k in keys], pa.binary())], names=["doc", "n", "set_hash", "keys"]
+                    [ids.slice(at, to - at), pa.array(n), pa.array(digests, pa.binary()), pa.array([blob(k) for k in keys], pa.binary())], names=["doc", "n", "digest", "keys"]
                 )
 
     return run
@@ -170,7 +175,9 @@ def _star_pairs(signatures: DataFrame, half: int, rows: int) -> DataFrame:
     dealt = materialize(signatures.select("doc", "keys").mapInArrow(_deal(half, buckets), "bucket int, entries binary"))
     within = dealt.where("bucket < 0").select("entries").mapInArrow(_unpack, "a long, b long")
     across = dealt.where("bucket >= 0").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet, "a long, b long")
-    return within.unionAll(across).distinct()
+    out = materialize(within.unionAll(across).distinct())
+    discard(dealt)
+    return out
 
 
 def _set_rows(shape: Shape):
@@ -232,9 +239,28 @@ def _common(left: list[np.ndarray], right: list[np.ndarray], chunk: int = 2048)
     return out
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Places of the pairs of labels that, in this order, join what was apart."""
+    above: dict[int, int] = {}
+
+    def root(x):
+        while (up := above.get(x, x)) != x:
+            above[x] = above.get(up, up)
+            x = up
+        return x
+
+    out = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = root(x), root(y)
+        if x != y:
+            above[max(x, y)] = min(x, y)
+            out.append(k)
+    return out
+
+
 def _cell(percent: int):
-    """One cell's odd members (left) against members of the same families (right): for each
-    odd member and each other component that it links to, one link."""
+    """One cell's drawn or odd members (left) against members of the same families (right):
+    links that make a spanning forest of the components that links join here."""
 
     def read(table: pa.Table):
         sets = [np.frombuffer(x.as_buffer(), dtype=_U) for x in table.column("shingles")]
@@ -256,70 +282,98 @@ def _cell(percent: int):
                 ok = (ca[i][:, None] != cb[j][None, :]) & (100 * common >= percent * (na[:, None] + nb[None, :] - common))
                 x, y = np.nonzero(ok)
                 if len(x):
-                    found = np.stack([da[i][x], db[j][y], cb[j][y]], axis=1)
-                    found = found[np.lexsort((found[:, 1], found[:, 2], found[:, 0]))]
-                    new = np.ones(len(found), dtype=bool)
-                    new[1:] = (found[1:, 0] != found[:-1, 0]) | (found[1:, 2] != found[:-1, 2])
-                    out.append(found[new][:, :2])
+                    x, y = i[x], j[y]
+                    _, first = np.unique(np.stack([ca[x], cb[y]]), axis=1, return_index=True)
+                    good = first[_forest(ca[x[first]], cb[y[first]])]
+                    out.append(np.stack([da[x[good]], db[y[good]]], axis=1))
         p = np.concatenate(out)
         return pa.table({"a": pa.array(p[:, 0]), "b": pa.array(p[:, 1])})
 
     return run
 
 
-def _across(near: DataFrame, comp: DataFrame, sets: DataFrame, percent: int, odd_block: int = 256, block: int = 1024) -> DataFrame:
-    """Links between different components of one family. A family is what candidate pairs
-    hold together; its largest component needs no comparison with itself, so each other
-    member (an odd one) is compared with all. Blocks of odd members meet blocks of members
-    in cells; small families share a cell. Only links leave, one for each member and component."""
-    label = components(near).withColumnRenamed("component", "family").join(comp, "doc", "left").select("doc", "family", F.coalesce("component", "doc").alias("component"))
-    label = materialize(label)
+#: Members of each family that are compared with all others first.
+DRAWN = 8
+
+
+def _meet_families(families: DataFrame, comp: DataFrame, sets: DataFrame, percent: int, rows: int, drawn: bool, odd_block: int = 256, block: int = 1024) -> DataFrame:
+    """Links between different components of one family, found by comparing its drawn members, or
+    else all outside its largest component (the odd ones), with all. Blocks of these meet blocks
+    of members in cells; small families share a cell."""
+    label = materialize(families.join(comp, "doc", "left").select("doc", "family", F.coalesce("component", "doc").alias("component")))
     size = label.groupBy("family", "component").agg(F.count("*").alias("n"))
-    family = size.groupBy("family").agg(F.sum("n").alias("total"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    family = family.withColumn("odd_blocks", F.ceil((F.col("total") - F.col("most")) / odd_block).cast("int")).withColumn("blocks", F.ceil(F.col("total") / block).cast("int"))
-    members = materialize(label.join(family, "family").join(sets, "doc"))
+    family = size.groupBy("family").agg(F.sum("n").alias("weight"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    family = family.withColumn("odd_blocks", F.lit(1) if drawn else F.ceil((F.col("weight") - F.col("most")) / odd_block).cast("int")).withColumn("blocks", F.ceil(F.col("weight") / block).cast("int"))
+    members = join_by_weight(label, materialize(family), "family", rows)
+    if drawn:
+        seeds = [F.min_by("doc", F.xxhash64("doc", F.lit(k))) for k in range(DRAWN)]
+        hubs = label.groupBy("family").agg(F.array_distinct(F.array(*seeds)).alias("hub")).select(F.explode("hub").alias("doc"), F.lit(True).alias("turn"))
+        members = members.join(hubs.hint("merge"), "doc", "left").withColumn("turn", F.coalesce("turn", F.lit(False)))
+    else:
+        members = members.withColumn("turn", F.col("component") != F.col("main"))
+    members = materialize(members.join(sets.hint("merge"), "doc"))
     shards = parts(members.count(), 2000)
     mine = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     small = F.col("odd_blocks") * F.col("blocks") == 1
     cell = F.when(small, F.pmod(F.xxhash64("family"), F.lit(shards))).otherwise(F.xxhash64("family", "ob", "mb")).alias("cell")
     columns = ["family", "doc", "component", "shingles"]
-    left = members.where("component <> main").withColumn("ob", mine("odd_blocks")).withColumn("mb", every("blocks")).select(cell, *columns)
+    left = members.where("turn").withColumn("ob", mine("odd_blocks")).withColumn("mb", every("blocks")).select(cell, *columns)
     right = members.withColumn("mb", mine("blocks")).withColumn("ob", every("odd_blocks")).select(cell, *columns)
-    return left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(_cell(percent), "a long, b long")
+    links = materialize(left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(_cell(percent), "a long, b long"))
+    discard(label, members)
+    return links
+
+
+def _classes(every: DataFrame, rows: int) -> DataFrame:
+    """(doc, n, digest, keys) to (doc, n, digest, rep, keys): rep is the smallest doc of the same
+    set, itself where no other has it, null without shingles; only rows of a rep keep their keys."""
+    classes = materialize(every.where("n > 0").groupBy("digest").agg(F.min("doc").alias("rep"), F.count("*").alias("weight")).where("weight > 1"))
+    found = join_by_weight(every, classes, "digest", rows, "left").withColumn("rep", F.when(F.col("n") > 0, F.coalesce("rep", "doc")))
+    out = materialize(found.select("doc", "n", "digest", "rep", F.when(F.col("doc") == F.col("rep"), F.col("keys")).alias("keys")))
+    discard(classes)
+    return out
 
 
 def link(docs: DataFrame, shape: Shape, id_column: str = "doc_id") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
     bounded_batches(docs.sparkSession)
     source = docs.select(docs[id_column].cast("long").alias("doc"), docs["text"].alias("text"))
-    every = materialize(source.mapInArrow(_signatures(shape), "doc long, n long, set_hash long, keys binary"))
+    every = materialize(source.mapInArrow(_signatures(shape), "doc long, n long, digest binary, keys binary"))
     rows = every.count()
-    # documents of one set collapse into the smallest
-    classes = every.where("n > 0").groupBy("set_hash").agg(F.min("doc").alias("rep"))
-    whole = materialize(every.select("doc", "n", "set_hash").join(classes, "set_hash", "left"))
-    reps = materialize(every.join(whole.where("doc = rep").select("doc", "set_hash").distinct(), ["doc", "set_hash"], "left_semi").dropDuplicates(["doc", "set_hash"]).select("doc", "n", "keys"))
+    whole = _classes(every, rows)
+    discard(every)
+    reps = whole.where("doc = rep").dropDuplicates(["doc", "digest"]).select("doc", "n", "keys")
 
     sizes = reps.select("doc", "n").groupBy("doc").agg(F.max("n").alias("n"))
-    pairs = _star_pairs(reps, shape.half, rows)
-    sized = pairs.join(sizes.select(F.col("doc").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("doc").alias("b"), F.col("n").alias("nb")), "b")
+    stars = _star_pairs(reps, shape.half, rows)
+    sized = stars.join(sizes.select(F.col("doc").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("doc").alias("b"), F.col("n").alias("nb")), "b")
     pairs = materialize(sized.withColumn("fit", F.least("na", "nb") * 100 >= shape.percent * F.greatest("na", "nb")).select("a", "b", "fit"))
+    discard(stars)
     active = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
     # always a merge join: the ids are a share of all documents and no table to broadcast
     sets = materialize(source.join(active.hint("merge"), "doc", "left_semi").mapInArrow(_set_rows(shape), "doc long, shingles binary").dropDuplicates(["doc", "shingles"]))
 
     first = pairs.where("fit").groupBy("a").agg(F.min("b").alias("b"))
     links = materialize(_verify(first, sets, shape.percent))
-    comp = materialize(components(links))
+    comp = components(links)
     # families whose members still lie in several components
     # (of any sizes: two members of a bucket may fit where its smallest fits neither). A document has
     # at most one candidate for each table and task: its smallest takes the others before they are joined
     m = F.min("b").over(Window.partitionBy("a"))
     near = pairs.select("a", "b", m.alias("m"))
     near = near.select("a", F.col("m").alias("b")).unionAll(near.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
-    if near.limit(1).count():
-        links = materialize(links.unionAll(_across(near, comp, sets, shape.percent)))
-        comp = materialize(components(links))
+    families = materialize(components(near).withColumnRenamed("component", "family"))
+    for drawn in (True, False):
+        # what is linked is one node from here on: only components, and links between them, are joined
+        met = _meet_families(families, comp, sets, shape.percent, rows, drawn)
+        if met.limit(1).count():
+            more = materialize(links.unionAll(met))
+            discard(links)
+            links, comp = more, components(more)
+        discard(met)
+    comp = materialize(comp)
+    discard(pairs, sets, links, families)
 
     out = whole.join(comp.select(F.col("doc").alias("rep"), "component"), "rep", "left")
     same = out.select("doc", "n", F.coalesce("component", "rep", "doc").alias("component_id"))

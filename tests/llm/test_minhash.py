@@ -1,5 +1,8 @@
+import random
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from chronoloom.llm import components, minhash
@@ -60,3 +63,34 @@ def test_components_of_a_chain(spark):
     pairs = spark.range(1, 40).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
     got = components.components(pairs.unionAll(pairs.select(F.lit(None).cast("long").alias("a"), "b"))).collect()
     assert {(r.doc, r.component) for r in got} == {(k, 0) for k in range(40)}
+
+
+def family(n, seed=3, words=70, edits=14):
+    """Copies of one text, each with some words changed: many are linked only through others."""
+    rng = random.Random(seed)
+    base = [f"w{k}" for k in range(words)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for k in rng.sample(range(words), rng.randrange(edits)):
+            w[k] = f"x{rng.randrange(30)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_families_of_several_components(spark):
+    rows = list(enumerate([*family(150), *family(40, 4, 30, 6), "a b c d"]))
+    rows += [(1000 + k, rows[k][1]) for k in range(0, 60, 7)]  # ties: equal sets in other rows
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    want = brute(rows, 3, 85)
+    assert len({v[1] for v in want.values()}) > 5
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.link(df, minhash.Shape(3, 85)).collect()}
+    assert got == want
+
+
+def test_a_cell_returns_a_forest():
+    """n equal members in n components leave n - 1 links."""
+    n = 60
+    shingles = pa.array([np.arange(20, dtype=np.uint64).tobytes()] * n, pa.binary())
+    table = pa.table({"family": pa.array([1] * n), "doc": pa.array(range(n)), "component": pa.array(range(n)), "shingles": shingles})
+    assert minhash._cell(85)(table, table).num_rows == n - 1
