@@ -21,6 +21,7 @@ become their token, as the library does it.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 
 import numpy as np
@@ -29,16 +30,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import vocabulary
 from .common import bounded_batches, mix, powers, steps
-from .token_counts import Counter
 
 _U = np.uint64
 SIGHT = 16
 #: A cut about every so many bytes, a power of two.
-CHUNK = 512
-#: Bytes of encoded pieces that a worker remembers; the table is emptied when full.
+CHUNK = 1024
+#: Bytes of encoded pieces that a worker remembers; the older half goes when the newer is full.
 CACHE_BYTES = 32 << 20
 #: Pre-tokens that a worker remembers, likewise.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 _BASE = 0xD6E8FEB86659FD93
 _VALUE = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.int64).astype(_U)
 
@@ -64,62 +64,73 @@ class Piece:
     def __init__(self, ids: bytes, text: bytes):
         self.ids, self.text = ids, text
 
-    @classmethod
-    def of(cls, ids: list[int], names: list[bytes]) -> Piece:
-        return cls(np.asarray(ids, dtype="<u4").tobytes(), b" ".join([names[i] for i in ids]))
-
 
 class Encoder:
     def __init__(self, path: str):
         self.library = vocabulary.library(path)
         if vocabulary.load(path).get("decoder") is not None:
             raise ValueError("only vocabularies without a decoder can be decoded piece by piece")
+        self.special = vocabulary.specials(path)
+        if any(any(c.isspace() for c in x) for x in self.special):
+            raise ValueError("special strings with white space could lie across two chunks")
         self.names = [(self.library.id_to_token(i) or "").encode() for i in range(self.library.get_vocab_size(with_added_tokens=True))]
         self.path = path
-        self.merges = Counter(path)
-        self.number = vocabulary.load(path)["model"]["vocab"]
-        self.words: dict[str, tuple[bytes, bytes]] = {}
+        self.letters = vocabulary.byte_letters()
+        # ids of each pre-token; the older half is dropped when the newer is full
+        self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.known: dict[str, Piece] = {}
+        self.older: dict[str, Piece] = {}
         self.held = 0
-
-    def _fresh(self, texts: list[str]) -> list[Piece]:
-        """Tokens of chunk texts: the stated split, then the merges of each distinct pre-token;
+        gc.set_threshold(200_000, 50, 100)  # lists of pre-tokens come and go; none is part of a cycle
+
+    def _learn(self, words: set[str]) -> None:
+        """Ids of pre-tokens that are not in the newer half of the table."""
+        if len(self.words) + len(words) > CACHE_WORDS // 2:
+            self.old, self.words = self.words, {}
+        own, old, tokenize, letters = self.words, self.old, self.library.model.tokenize, self.letters
+        for w in words:
+            if (ids := old.get(w)) is None:
+                ids = b"".join([x.id.to_bytes(4, "little") for x in tokenize("".join([letters[b] for b in w.encode()]))])
+            own[w] = ids
+
+    def _fresh(self, texts: list[str]) -> list[bytes]:
+        """Ids of chunk texts: the stated split, then the merges of each distinct pre-token;
         texts with special strings go to the library."""
-        special = [x for x in texts if "<|" in x]
-        whole = dict(zip(special, self.library.encode_batch_fast(special, add_special_tokens=False), strict=True)) if special else {}
-        split = [None if "<|" in x else vocabulary.pre_tokens(x, self.path) for x in texts]
-        words = self.words
-        new = list({w for parts in split if parts for w in parts if w not in words})
-        if new:
-            if len(words) + len(new) > CACHE_WORDS:
-                words.clear()
-                new = list({w for parts in split if parts for w in parts})
-            for w in new:
-                found = [x for x in self.merges.merged(w)[0] if x is not None]
-                words[w] = (np.asarray([self.number[x] for x in found], dtype="<u4").tobytes(), " ".join(found).encode())
-        out = []
-        for x, parts in zip(texts, split, strict=True):
-            if parts is None:
-                out.append(Piece.of(whole[x].ids, self.names))
-            else:
-                found = [words[w] for w in parts]
-                out.append(Piece(b"".join([f[0] for f in found]), b" ".join([f[1] for f in found])))
-        return out
+        special = [any(x in text for x in self.special) for text in texts]
+        some = [x for x, odd in zip(texts, special, strict=True) if odd]
+        whole = iter(self.library.encode_batch_fast(some, add_special_tokens=False) if some else ())
+        split = [None if odd else vocabulary.pre_tokens(x, self.path) for x, odd in zip(texts, special, strict=True)]
+        every = set().union(*(x for x in split if x))
+        if new := every - self.words.keys():
+            self._learn(new)
+            if missing := every - self.words.keys():  # the table has turned over
+                self._learn(missing)
+        ids = self.words.__getitem__
+        return [np.asarray(next(whole).ids, dtype="<u4").tobytes() if x is None else b"".join(map(ids, x)) for x in split]
+
+    def piece(self, ids: bytes) -> Piece:
+        return Piece(ids, b" ".join(map(self.names.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())))
 
     def pieces(self, texts: list[str]) -> dict[str, Piece]:
         """Each distinct text encoded once, from the table where it is there."""
-        out = {x: self.known.get(x) for x in texts}
+        out = {x: self.known.get(x) or self.older.get(x) for x in texts}
         new = [x for x, p in out.items() if p is None]
-        for x, p in zip(new, self._fresh(new), strict=True):
-            out[x] = p
-            size = len(x) + len(p.ids) + len(p.text) + 300
-            if self.held + size > CACHE_BYTES:
-                self.known.clear()
-                self.held = 0
-            self.known[x] = p
-            self.held += size
+        out |= zip(new, map(self.piece, self._fresh(new)), strict=True)
+        for x, p in out.items():
+            if x not in self.known:
+                size = len(x) + len(p.ids) + len(p.text) + 300
+                if self.held + size > CACHE_BYTES // 2:
+                    self.older, self.known, self.held = self.known, {}, 0
+                self.known[x] = p
+                self.held += size
         return out
 
+    def _join_agrees(self, left: str, join: str, right: str) -> bool:
+        """Tokens of the join with both edges are those of the three put together."""
+        whole, *apart = self._fresh([left + join + right, left, join, right])
+        return whole == b"".join(apart)
+
     @staticmethod
     def plan(raw: bytes, places: list[int]) -> list[bytes]:
         """Cores at even places, joins at odd ones (the text's ends make joins too)."""
@@ -136,32 +147,25 @@ class Encoder:
 
     def encode(self, raws: list[bytes], places: list[list[int]]) -> list[list[Piece]]:
         """For each text the pieces that make up its tokens."""
-        plans = [self.plan(raw, p) for raw, p in zip(raws, places, strict=True)]
+        texts = [[x.decode() for x in self.plan(raw, p)] for raw, p in zip(raws, places, strict=True)]
         wanted: dict[str, None] = {}
-        texts = [[x.decode() for x in plan] for plan in plans]
         for parts in texts:
             wanted.update(dict.fromkeys(x for x in parts if x))
-        checks = []
+        done = self.pieces(list(wanted))
+        joins = []
         for k, parts in enumerate(texts):
             for j in range(1, len(parts), 2):
                 # with one whole word of each side, unless blank edges already part the join from both
                 left, right = self._edge(parts[j - 1], 1, True), self._edge(parts[j + 1], 1, False) if j + 1 < len(parts) else ""
                 if parts[j]:
-                    checks.append((k, j, left, right))
-                    wanted.update(dict.fromkeys(x for x in (left, right, left + parts[j] + right) if x))
-        done = self.pieces(list(wanted))
+                    joins.append((k, j, left, parts[j], right))
+        fresh = iter(self._fresh([x for _, _, left, join, right in joins for x in (left + join + right, left, right)]))
         whole: set[int] = set()
-        for k, j, left, right in checks:
-            if k not in whole and not self._agrees(done, left, texts[k][j], right) and not self._widened(texts[k], j):
+        for k, j, left, join, right in joins:
+            both, one, two = next(fresh), next(fresh), next(fresh)
+            if k not in whole and both != one + done[join].ids + two and not self._widened(texts[k], j):
                 whole.add(k)
-        out = []
-        for k, parts in enumerate(texts):
-            if k in whole:
-                text = raws[k].decode()
-                out.append([Piece.of(self.library.encode(text, add_special_tokens=False).ids, self.names)])
-            else:
-                out.append([done[x] for x in parts if x])
-        return out
+        return [[self.piece(*self._fresh(["".join(parts)]))] if k in whole else [done[x] for x in parts if x] for k, parts in enumerate(texts)]
 
     @staticmethod
     def _edge(core: str, words: int, tail: bool) -> str:
@@ -179,17 +183,12 @@ class Encoder:
             at = core.index(w, at) + len(w)
         return core[:at]
 
-    @staticmethod
-    def _agrees(done: dict[str, Piece], left: str, join: str, right: str) -> bool:
-        parts = b"".join(done[x].ids for x in (left, join, right) if x)
-        return done[left + join + right].ids == parts
-
     def _widened(self, parts: list[str], j: int) -> bool:
         """Takes in one more word of each side until the join's tokens agree, or the cores end."""
         core_l, join, core_r = parts[j - 1], parts[j], parts[j + 1] if j + 1 < len(parts) else ""
         words, before = 2, None
         while (edges := (self._edge(core_l, words, True), self._edge(core_r, words, False))) != before:
-            if self._agrees(self.pieces([x for x in (*edges, join, edges[0] + join + edges[1]) if x]), edges[0], join, edges[1]):
+            if self._join_agrees(edges[0], join, edges[1]):
                 return True
             words, before = words + 1, edges
         return False

@@ -33,7 +33,8 @@ class Counter:
         self.suffix = model["end_of_word_suffix"] or ""
         self.letters = vocabulary.byte_letters()
         self.path = path
-        self.special = regex.compile("|".join(regex.escape(x) for x in vocabulary.specials(path)))
+        self.strings = vocabulary.specials(path)
+        self.special = regex.compile("|".join(regex.escape(x) for x in sorted(self.strings, key=len, reverse=True)))
         self.known: dict[str, int] = {}
 
     def merged(self, piece: str) -> tuple[list[str | None], int]:
@@ -83,7 +84,7 @@ class Counter:
 
     def count(self, text: str) -> int:
         """Tokens of a text; each special string inside it is one."""
-        if "<|" not in text:
+        if not any(x in text for x in self.strings):
             return self.plain(text)
         found = self.special.findall(text)
         return len(found) + sum(self.plain(x) for x in self.special.split(text))

@@ -52,9 +52,17 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
+#: Code points below this one are known here; others are left to the library.
+_PLANES = 0x20000
+
+
 def _same(c: str) -> bool:
-    """True for characters that all Unicode versions since 3.2 treat alike."""
+    """True for characters that all Unicode versions since 3.2 treat alike, and for those without
+    letter case, decomposition or order that are neither letter, number nor space (emoji, say):
+    a version that doesn't know them takes them for the same."""
     old = unicodedata.ucd_3_2_0
+    if unicodedata.category(c)[0] in "SP" and not unicodedata.decomposition(c) and not unicodedata.combining(c) and c.lower() == c:
+        return old.category(c)[0] in "SPC"
     return old.category(c) != "Cn" and all(getattr(old, f)(c) == getattr(unicodedata, f)(c) for f in ("category", "combining", "decomposition"))
 
 
@@ -62,13 +70,15 @@ def _same(c: str) -> bool:
 def _changed() -> re.Pattern:
     """Finds characters that a library of another Unicode version may treat otherwise."""
     ranges, start = [], None
-    for k in range(0x10000):
+    for k in range(_PLANES):
         good = not 0xD800 <= k < 0xE000 and _same(chr(k))
         if good and start is None:
             start = k
         if not good and start is not None:
             ranges.append(f"\\U{start:08x}-\\U{k - 1:08x}")
             start = None
+    if start is not None:
+        ranges.append(f"\\U{start:08x}-\\U{k:08x}")
     return re.compile("[^" + "".join(ranges) + "]")
 
 
@@ -77,10 +87,10 @@ def pre_tokens(text: str, path: str) -> list[str]:
     character by itself, then the stated pattern (which drops white space). Texts with
     characters that Unicode versions treat differently are split by the library."""
     if text.isascii():
-        return splitter(path).findall(text.lower())
+        return splitter(path, True).findall(text.lower())
     if not _changed().search(text):
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # str.lower() alone knows a final sigma
-        return splitter(path).findall(text.lower())
+        return splitter(path, False).findall(text.lower())
     own = library(path)
     back = _letter_bytes()
     return [bytes([back[c] for c in piece]).decode() for piece, _ in own.pre_tokenizer.pre_tokenize_str(own.normalizer.normalize_str(text))]
@@ -91,8 +101,14 @@ def _letter_bytes() -> dict[str, int]:
     return {c: b for b, c in enumerate(byte_letters())}
 
 
-@lru_cache(maxsize=2)
-def splitter(path: str):
-    """The pattern of the vocabulary's pre-tokeniser."""
+@lru_cache(maxsize=4)
+def splitter(path: str, ascii_only: bool):
+    """The pattern of the vocabulary's pre-tokeniser; for lower-case ASCII texts without Unicode
+    classes, which the standard library's engine runs faster."""
     steps = load(path)["pre_tokenizer"]["pretokenizers"]
-    return regex.compile(next(x["pattern"]["Regex"] for x in steps if x["type"] == "Split"))
+    pattern = next(x["pattern"]["Regex"] for x in steps if x["type"] == "Split")
+    if not ascii_only:
+        return regex.compile(pattern)
+    for kind, own in ((r"\p{L}", "a-z"), (r"\p{N}", "0-9"), (r"\s", r"\t-\r ")):
+        pattern = pattern.replace(f"[{kind}]", f"[{own}]").replace(kind, own)
+    return re.compile(pattern)
