@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from chronoloom.llm import context_tree as ct
@@ -76,6 +77,7 @@ def test_against_brute_force(spark, monkeypatch):
             r = got[k]
             assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == w[:4]
             assert r.base_score == pytest.approx(w[4]) and r.score == pytest.approx(w[5])
+            assert r.bits_per_byte == pytest.approx(-w[5] / math.log10(2) / (1 + len((dict(rows)[k] or "").encode())))
 
 
 def test_probabilities_sum_to_one():
@@ -104,3 +106,27 @@ def test_empty_and_untrained(spark, none):
     r = ct.score(spark.createDataFrame([(held, "ab")], "doc_id long, text string")).first()
     assert r.held_out and r.train_tokens == 0 and r.n_known == 0
     assert r.score == pytest.approx(3 * 8 * math.log10(0.5)) and r.base_score == pytest.approx(0.0)
+
+
+def test_hot_contexts_are_split_at_the_third_byte():
+    """Values by subtrees of two and of three bytes are those of one tree over all."""
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(0, 3, (4000, 6)).astype(np.uint64) @ (np.uint64(256) ** np.arange(6, dtype=np.uint64)))
+    counts = rng.integers(0, 4, len(keys))
+    one = ct.Tree(keys, counts, top=0)
+    want = sum(np.log10(one.mixed(place)) for place in range(8))
+    batch = pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["key", "n"])
+    two = np.unique(keys >> np.uint64(32))
+    for hot in (two[:0], two[::2], two):
+        rows = [r for b in ct._roots(hot)([batch]) for r in b.to_pylist()]
+        crown = ct.Crown(rows, hot)
+        got = {}
+        for k, n, top in ct._contexts([batch], hot):
+            tree = ct.Tree(k, n, top)
+            got |= zip(k.tolist(), sum(np.log10(crown.finish(k, place, tree.mixed(place), top)) for place in range(8)).tolist(), strict=True)
+        assert np.allclose([got[k] for k in keys.tolist()], want)
+
+
+def test_packed_keys():
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 999, dtype=np.int64).astype(np.uint64) * np.uint64(2))
+    assert np.array_equal(ct.unpack_sorted(ct.pack_sorted(keys)), keys) and len(ct.unpack_sorted(ct.pack_sorted(keys[:0]))) == 0
