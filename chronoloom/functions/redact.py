@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import re
 
-# The mask, and patterns with their replacements, applied in this order (Java syntax).
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+# The mask, and patterns with their replacements, applied in this order (Java syntax:
+# blanks, word edges and letter case by Unicode; four separators count as blanks too).
 MASK = "[REDACTED]"
+_W = r"\s\x1C-\x1F"
 RULES = [
     (r"\bsk-ant-[A-Za-z0-9_\-]{8,}", MASK),
     (r"\bsk-(?:proj-|svcacct-|admin-)?[A-Za-z0-9_\-]{16,}", MASK),
@@ -17,11 +21,14 @@ RULES = [
     (r"\bxox[abposr]-[A-Za-z0-9\-]{10,}", MASK),
     (r"\beyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}", MASK),
     (r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", MASK),
-    (r"://([^:/@\s]+):([^@/\s]+)@", "://$1:" + MASK + "@"),
-    (r"(?i)\b(authorization|proxy-authorization)\b(\s*[:=]\s*)(?:bearer\s+|basic\s+|token\s+)?[^\s,;'\"]+", "$1$2" + MASK),
-    (r"(?i)\b(x-api-key|x-goog-api-key|api[-_]?key|apikey)\b(\s*[:=]\s*)[^\s,;'\"]+", "$1$2" + MASK),
-    (r"(?i)\b([a-z0-9_\-]*(?:api[-_]?key|secret|token|password|passwd|credential)[a-z0-9_\-]*)(\s*[:=]\s*)(\"?)([^\s,;&'\"]{6,})(\"?)", "$1$2$3" + MASK + "$5"),
+    (rf"://([^:/@{_W}]+):([^@/{_W}]+)@", "://$1:" + MASK + "@"),
+    (rf"(?i)\b(authorization|proxy-authorization)\b([{_W}]*[:=][{_W}]*)(?:bearer[{_W}]+|basic[{_W}]+|token[{_W}]+)?[^{_W},;'\"]+", "$1$2" + MASK),
+    (rf"(?i)\b(x-api-key|x-goog-api-key|api[-_]?key|apikey)\b([{_W}]*[:=][{_W}]*)[^{_W},;'\"]+", "$1$2" + MASK),
+    (rf"(?i)\b([a-z0-9_\-]*(?:api[-_]?key|secret|token|password|passwd|credential)[a-z0-9_\-]*)([{_W}]*[:=][{_W}]*)(\"?)([^{_W},;&'\"]{{6,}})(\"?)", "$1$2$3" + MASK + "$5"),
 ]
+#: Something that every text with a match of any rule holds: other texts are left as they are.
+_ANY = r"(?U)sk-|AIza|GOCSPX-|gh[pousr]_|AKIA|ASIA|hf_|xox[abposr]-|eyJ|PRIVATE KEY|://|(?i:authorization|api[-_]?key|secret|token|password|passwd|credential)"
+# Names of what is secret.
 SENSITIVE_WORDS = (
     r"api[_\-]?keys?|apikeys?|secrets?|secret[_\-]?keys?|passwords?|passwd|credentials?|authorization|auth[_\-]?(?:token|key|header)"
     r"|access[_\-]?tokens?|refresh[_\-]?tokens?|id[_\-]?tokens?|api[_\-]?tokens?|bearer[_\-]?tokens?|session[_\-]?tokens?"
@@ -35,18 +42,60 @@ def redact(text, literals: tuple[str, ...] = ()) -> Column:
     out = F.col(text) if isinstance(text, str) else text
     for value in sorted({x for x in literals if len(x) >= 8}, key=lambda x: (-len(x), x)):
         out = F.replace(out, F.lit(value), F.lit(MASK))
+    masked = out
     for pattern, new in RULES:
-        out = F.regexp_replace(out, pattern, new)
-    return out
+        masked = F.regexp_replace(masked, f"(?U){pattern}", new)
+    return F.when(out.rlike(_ANY), masked).otherwise(out)
+
+
+_SENSITIVE = rf"(?:^|[_\-.])(?:{SENSITIVE_WORDS})(?:$|[_\-.])"
+
+
+def sensitive_name(name: str) -> bool:
+    """sensitive_key of a name that is known when the plan is made."""
+    low = name.strip().lower()
+    return low in SENSITIVE_NAMES or re.search(_SENSITIVE, low) is not None
 
 
 def sensitive_key(name) -> Column:
     """True where a key names a credential: a whole name, or a segment of one."""
     low = F.lower(F.trim(F.col(name) if isinstance(name, str) else name))
-    return low.isin(*SENSITIVE_NAMES) | low.rlike(rf"(?:^|[_\-.])(?:{SENSITIVE_WORDS})(?:$|[_\-.])")
+    return low.isin(*SENSITIVE_NAMES) | low.rlike(_SENSITIVE)
+
+
+#: Structures are gone through this many levels deep.
+DEPTH = 12
+
+
+def redact_value(value: Column, kind: T.DataType, depth: int = 0) -> Column:
+    """Strings inside structs, maps and arrays masked by pattern; what a sensitive key holds is
+    masked whole, whatever its type (nulls stay null)."""
+    if depth > DEPTH:
+        return value
+    if isinstance(kind, T.StringType):
+        return redact(value)
+    whole = lambda v: F.when(v.isNotNull(), F.lit(MASK))
+    if isinstance(kind, T.StructType):
+        part = lambda f: whole(value[f.name]) if sensitive_name(f.name) else redact_value(value[f.name], f.dataType, depth + 1)
+        return F.when(value.isNotNull(), F.struct(*[part(f).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, T.MapType):
+        inner = lambda k, v: redact_value(v, kind.valueType, depth + 1)
+        if isinstance(kind.keyType, T.StringType) and isinstance(kind.valueType, T.StringType):
+            return F.transform_values(value, lambda k, v: F.when(sensitive_key(k), whole(v)).otherwise(inner(k, v)))
+        if isinstance(kind.keyType, T.StringType):  # a mask is a string: what else a secret held becomes null
+            return F.transform_values(value, lambda k, v: F.when(~sensitive_key(k), inner(k, v)))
+        return F.transform_values(value, inner)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: redact_value(x, kind.elementType, depth + 1))
+    return value
+
+
+def redact_rows(rows: DataFrame) -> DataFrame:
+    """All columns of a table as one structure, redacted."""
+    out = rows.select(redact_value(F.struct(*rows.columns), rows.schema).alias("r"))
+    return out.select("r.*")
 
 
 def redact_map(column) -> Column:
-    """Values of sensitive keys masked whole (nulls stay null), the others by pattern."""
-    c = F.col(column) if isinstance(column, str) else column
-    return F.transform_values(c, lambda k, v: F.when(v.isNull(), v).when(sensitive_key(k), F.lit(MASK)).otherwise(redact(v)))
+    """redact_value of a map of strings."""
+    return redact_value(F.col(column) if isinstance(column, str) else column, T.MapType(T.StringType(), T.StringType()))

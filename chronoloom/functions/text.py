@@ -16,7 +16,8 @@ HIGH_WORDS = ("high", "certain", "confident", "very high")
 MEDIUM_WORDS = ("medium", "moderate", "fairly sure", "fair")
 LOW_WORDS = ("low", "unsure", "uncertain", "very low")
 TRANSIENT_STATUS = (408, 409, 425, 429, 500, 502, 503, 504, 529)
-VIDEO_EXTENSIONS = ("mp4", "mov", "mkv")
+VIDEO_EXTENSIONS = ("mp4", "webm", "mov")
+NUMBER = r"^[+-]?(?:(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:e[+-]?\d+(?:_\d+)*)?|inf|infinity)$"
 RESERVED_NAMES = {"con", "prn", "aux", "nul", *(f"com{k}" for k in range(1, 10)), *(f"lpt{k}" for k in range(1, 10))}
 
 
@@ -38,7 +39,7 @@ def token_estimate(chars) -> Column:
 def confidence(value) -> Column:
     """High, Medium or Low from words or numbers (percent above 1); anything else is Low."""
     t = F.lower(F.trim(_c(value).cast("string")))
-    n = t.try_cast("double")
+    n = F.when(t.rlike(NUMBER), F.replace(t, F.lit("_"), F.lit("")).try_cast("double"))
     n = F.when(n > 1.0, n / 100.0).otherwise(n)
     return (
         F.when(t.isin(*HIGH_WORDS), "High").when(t.isin(*MEDIUM_WORDS), "Medium").when(t.isin(*LOW_WORDS), "Low")
@@ -88,23 +89,33 @@ def backoff(attempt, base: float = 5.0, cap: float = 120.0, jitter: float = 1.0)
 
 
 def leading_version(text) -> Column:
-    return F.nullif(F.regexp_extract(_c(text), r"(\d+)", 1), F.lit("")).try_cast("int")
+    """The major version in the first line of `ffmpeg -version`, null where there is none."""
+    return F.nullif(F.regexp_extract(_c(text), r"ffmpeg version n?(\d+)\.", 1), F.lit("")).try_cast("int")
 
 
-def _slug(name: str | None) -> str:
-    plain = "".join(c for c in unicodedata.normalize("NFKD", name or "") if not unicodedata.combining(c))
-    kept = ["-" if c in " ." else c if c.isascii() and (c.isalnum() or c in "-_") else "" for c in plain]
-    out = "".join(kept).lower()
-    while "--" in out:
-        out = out.replace("--", "-")
-    out = out.strip("-_")[:SLUG_LENGTH].rstrip("-_")
-    return "" if out in RESERVED_NAMES else out
+def supported(path) -> Column:
+    """True for the extensions of videos, in any letter case."""
+    return extension(path).isin(*VIDEO_EXTENSIONS)
+
+
+def _plain(name: str | None) -> str | None:
+    """ASCII with base letters for accented ones; blanks of any kind become a plain one."""
+    if name is None:
+        return None
+    return "".join(" " if c.isspace() else c for c in unicodedata.normalize("NFKD", name) if c.isspace() or c.isascii())
 
 
 def slug(name) -> Column:
-    """Folder-safe ASCII name (Spark has no NFKD, so this is a pandas UDF)."""
+    """Folder-safe name: letters, digits, - and _, at most 60; empty where nothing usable is left.
+    Spark has no NFKD: names beyond ASCII go through a pandas UDF first, no others."""
 
     def run(names: pd.Series) -> pd.Series:
-        return names.map(_slug)
-
-    return F.pandas_udf(run, "string")(_c(name))
+        return names.map(_plain, na_action="ignore")
+
+    name = F.coalesce(_c(name), F.lit(""))
+    odd = name.rlike(r"[^\x00-\x7F]")
+    plain = F.coalesce(F.pandas_udf(run, "string")(F.when(odd, name)), name)
+    dashes = F.regexp_replace(F.regexp_replace(plain, r"[\s\x1C-\x1F.]", "-"), r"[^A-Za-z0-9_-]", "")
+    out = F.regexp_replace(F.regexp_replace(F.lower(dashes), "-{2,}", "-"), "^[-_]+|[-_]+$", "")
+    out = F.regexp_replace(F.substring(out, 1, SLUG_LENGTH), "[-_]+$", "")
+    return F.when(out.isin(*sorted(RESERVED_NAMES)), "").otherwise(out)

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 
 def containing(moments: DataFrame, segments: DataFrame) -> DataFrame:
-    """Sections [start, end) that hold each moment: a hash join on the video with a range residual."""
-    s = segments.select("video_id", F.col("start").alias("from_s"), F.col("end").alias("to_s"), "title")
-    return moments.join(s, "video_id", "left").where("from_s is null or (seconds >= from_s and seconds < to_s)")
+    """The section [start, end) that holds each moment, null where none does. Sections of a video
+    don't overlap, so it is the last that begins by then: one window over both, no pairs."""
+    rest = [c for c in moments.columns if c != "video_id"]
+    s = segments.select("video_id", F.col("start").alias("_at"), F.struct("start", "end", "title").alias("_s"), F.lit(None).cast(moments.select(F.struct(*rest)).schema[0].dataType).alias("_m"))
+    m = moments.select("video_id", F.col("seconds").cast("double").alias("_at"), F.lit(None).cast(s.schema["_s"].dataType).alias("_s"), F.struct(*rest).alias("_m"))
+    w = Window.partitionBy("video_id").orderBy("_at", F.col("_m").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = s.unionByName(m).withColumn("_l", F.last("_s", ignorenulls=True).over(w)).where("_m is not null")
+    inside = F.col("_at") < F.col("_l.end")
+    return found.select("video_id", "_m.*", *[F.when(inside, F.col(f"_l.{a}")).alias(b) for a, b in (("start", "from_s"), ("end", "to_s"), ("title", "title"))])
 
 
 def near(moments: DataFrame, entries: DataFrame, within: float = 15.0) -> DataFrame:
@@ -23,10 +29,18 @@ def near(moments: DataFrame, entries: DataFrame, within: float = 15.0) -> DataFr
 
 def nearest(moments: DataFrame, pictures: DataFrame) -> DataFrame:
     """The nearest picture to each moment (moment_id), the lower index on a tie."""
-    p = pictures.select("video_id", F.col("index").alias("picture"), F.col("seconds").alias("at"))
-    both = moments.join(p, "video_id")
-    best = both.groupBy("moment_id").agg(F.min(F.struct(F.abs(F.col("at") - F.col("seconds")).alias("off"), F.col("picture"), F.col("at"))).alias("b"))
-    return best.select("moment_id", F.col("b.picture").alias("picture"), F.col("b.at").alias("at"), F.col("b.off").alias("off"))
+    # the last picture before and the first from then on, by windows over both: no pairs
+    p = pictures.groupBy("video_id", F.col("seconds").alias("at")).agg(F.min("index").alias("picture"))
+    p = p.select("video_id", "at", F.struct("at", "picture").alias("_p"), F.lit(None).cast(moments.schema["moment_id"].dataType).alias("moment_id"))
+    m = moments.select("video_id", F.col("seconds").cast("double").alias("at"), F.lit(None).cast(p.schema["_p"].dataType).alias("_p"), "moment_id")
+    both = p.unionByName(m)
+    w = Window.partitionBy("video_id").orderBy("at", F.col("_p").isNull())
+    before = F.last("_p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("_p", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    near_two = both.withColumn("_b", before).withColumn("_a", after).where("moment_id is not null")
+    off = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.at") - F.col("at")).alias("off"), F.col(f"{c}.picture").alias("picture"), F.col(f"{c}.at").alias("at")))
+    best = near_two.select("moment_id", F.least(off("_b"), off("_a")).alias("b")).where("b is not null")
+    return best.select("moment_id", "b.picture", "b.at", "b.off")
 
 
 def nearest_on_grid(moments: DataFrame, interval: float) -> DataFrame:

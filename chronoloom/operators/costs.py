@@ -9,8 +9,10 @@ PRICES = {
     "anthropic": (3.00, 15.00, 1600, 320),
     "google": (0.30, 2.50, 1300, 320),
     "openai": (2.50, 10.00, 1450, 320),
+    "openai_compatible": (5.00, 15.00, 1600, 320),
+    "anthropic_compatible": (5.00, 15.00, 1600, 320),
 }
-OTHERS = (3.00, 15.00, 1600, 320)
+OTHERS = (5.00, 15.00, 1600, 320)
 FREE = ("ollama_local",)
 
 
@@ -34,5 +36,18 @@ def cost_label(usd: Column, digits: int = 4) -> Column:
     return F.when(usd.isNull(), "No provider charge").otherwise(F.concat(F.lit("$"), F.bround(usd.cast("decimal(18,6)"), digits).cast(f"decimal(18,{digits})").cast("string")))
 
 
+def applies(provider: Column) -> Column:
+    """False where there is no charge to limit."""
+    return ~provider.isin(*FREE)
+
+
+def remaining(spent: Column, limit: Column) -> Column:
+    return F.greatest(limit - spent, F.lit(0.0))
+
+
+def exhausted(spent: Column, limit: Column, provider: Column) -> Column:
+    return applies(provider) & (spent >= limit)
+
+
 def would_exceed(spent: Column, following: Column, limit: Column, provider: Column) -> Column:
-    return ~provider.isin(*FREE) & (spent + following > limit)
+    return applies(provider) & (spent + following > limit)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import token_estimate
@@ -26,30 +28,31 @@ def next_fit(costed: DataFrame, budget: int) -> DataFrame:
     """collection, sequence, tokens to part numbers, in order: a document opens a new part
     when it doesn't fit the open one; one that fits none has a part of its own (oversized).
 
-    The fold walks one collection's (sequence, tokens) pairs, which are small whatever the
-    texts' sizes; collections fold in parallel."""
+    Each decision rests on the one before: the rows of a collection come in order as a stream,
+    and a task holds no more of it than the open part's number and size."""
     if budget <= 0:
         raise ValueError("the usable size is zero or less")
-    pairs = F.array_sort(F.collect_list(F.struct(F.col("sequence").cast("long").alias("s"), F.col("tokens").cast("long").alias("t"))))
-    start = F.expr("named_struct('part', 1L, 'held', 0L, 'out', cast(array() as array<struct<s: bigint, part: bigint, over: boolean>>))")
-    fold = F.aggregate(
-        F.col("p"), start,
-        lambda a, x: F.when(
-            x["t"] > budget,
-            F.struct(
-                (F.when(a["held"] > 0, a["part"] + 1).otherwise(a["part"]) + 1).alias("part"), F.lit(0).cast("long").alias("held"),
-                F.concat(a["out"], F.array(F.struct(x["s"].alias("s"), F.when(a["held"] > 0, a["part"] + 1).otherwise(a["part"]).alias("part"), F.lit(True).alias("over")))).alias("out"),
-            ),
-        ).when(
-            a["held"] + x["t"] > budget,
-            F.struct((a["part"] + 1).alias("part"), x["t"].alias("held"), F.concat(a["out"], F.array(F.struct(x["s"].alias("s"), (a["part"] + 1).alias("part"), F.lit(False).alias("over")))).alias("out")),
-        ).otherwise(
-            F.struct(a["part"].alias("part"), (a["held"] + x["t"]).alias("held"), F.concat(a["out"], F.array(F.struct(x["s"].alias("s"), a["part"].alias("part"), F.lit(False).alias("over")))).alias("out")),
-        ),
-        lambda a: a["out"],
-    )
-    grouped = costed.groupBy("collection").agg(pairs.alias("p")).select("collection", F.inline(fold))
-    return grouped.select("collection", F.col("s").alias("sequence"), "part", F.col("over").alias("oversized"))
+
+    def walk(batches):
+        now, part, held = object(), 0, 0
+        for batch in batches:
+            parts = []
+            for name, tokens in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if name != now:
+                    now, part, held = name, 1, 0
+                if tokens > budget:
+                    own = part + 1 if held > 0 else part
+                    parts.append(own)
+                    part, held = own + 1, 0
+                else:
+                    if held + tokens > budget:
+                        part, held = part + 1, 0
+                    held += tokens
+                    parts.append(part)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.int64()), pc.greater(batch.column(2), budget)], names=["collection", "sequence", "part", "oversized"])
+
+    rows = costed.select("collection", F.col("sequence").cast("long").alias("sequence"), F.col("tokens").cast("long").alias("tokens"))
+    return rows.repartition("collection").sortWithinPartitions("collection", "sequence").mapInArrow(walk, "collection string, sequence long, part long, oversized boolean")
 
 
 def cut_text(text: str, most: int) -> list[str]:

@@ -3,13 +3,21 @@ Every transition is a function from state to new state; histories are appended t
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.timefmt import clock
+
 # The states of jobs by class.
 FINISHED = ("completed", "completed_with_gaps", "cancelled")
 RUNNING = ("preparing", "transcribing", "analyzing")
-PAUSABLE = ("ready", *RUNNING)
-RESUMABLE = ("paused", "needs_attention")
+PAUSABLE = ("ready", "preparing", "transcribing", "analyzing", "waiting_retry")
+RESUMABLE = ("paused",)
+CANCELLABLE = ("draft", *PAUSABLE, "paused")
+#: States with work ahead: they have a place in the queue.
+QUEUEABLE = PAUSABLE
+ATTENTION = ("needs_attention", "completed_with_gaps")
+STAGES = ("frames", "transcribe", "visual", "assemble")
 LABELS = {
     "draft": "Draft", "ready": "Ready to start", "preparing": "Preparing", "transcribing": "Writing the transcript", "analyzing": "Describing pictures",
     "waiting_retry": "Waiting to try again", "paused": "Paused", "needs_attention": "Needs you", "completed": "Finished",
@@ -26,7 +34,7 @@ def status_label(status: Column) -> Column:
 
 
 def status_class(status: Column) -> Column:
-    return F.when(status.isin(*FINISHED), "finished").when(status.isin(*RUNNING), "running").when(status.isin(*RESUMABLE), "attention").otherwise("waiting")
+    return F.when(status.isin(*FINISHED), "finished").when(status.isin(*RUNNING), "running").when(status.isin("needs_attention", "paused"), "attention").otherwise("waiting")
 
 
 def latest(runs: DataFrame, *keys: str, by: str = "attempt") -> DataFrame:
@@ -46,9 +54,11 @@ def progress(runs: DataFrame) -> DataFrame:
     r = latest(runs, "video_id", "stage")
     total, done = F.coalesce("total", F.lit(0)), F.coalesce("done", F.lit(0))
     over = F.col("status").isin("completed", "completed_with_gaps")
+    words = F.replace("status", F.lit("_"), F.lit(" "))
     detail = (
-        F.when(over, "Done").when(total > 0, F.concat(F.format_number(done, 0), F.lit(" of "), F.format_number(total, 0)))
-        .when(F.col("status") == "running", "Working").otherwise(F.initcap(F.replace("status", F.lit("_"), F.lit(" "))))
+        F.when(over, "Done").when((total > 0) & (F.col("stage") == "transcribe"), F.concat(clock(done), F.lit(" of "), clock(total)))
+        .when(total > 0, F.concat(F.format_number(done, 0), F.lit(" of "), F.format_number(total, 0)))
+        .when(F.col("status") == "running", "Working").otherwise(F.concat(F.upper(words.substr(1, 1)), F.lower(words.substr(2, 100))))
     )
     return r.select("video_id", "stage", F.floor(percent(done, total, F.col("status"))).cast("int").alias("percent"), detail.alias("detail"), (~over & (total <= 0) & (F.col("status") == "running")).alias("indeterminate"))
 
@@ -70,14 +80,14 @@ def median_rate(runs: DataFrame, most: int = 20, least: int = 2) -> DataFrame:
 
 
 def queue(jobs: DataFrame) -> DataFrame:
-    """Place of each ready job: priority down, then creation, then id."""
+    """Place of each job with work ahead: priority down, then creation, then id."""
     # a global order of the waiting jobs only, ranked by range-partitioned counts rather than one window over all
-    ready = jobs.where("status = 'ready'")
-    w = Window.partitionBy("priority").orderBy("created_at", "job_id")
-    before = ready.groupBy("priority").agg(F.count("*").alias("n"))
-    ahead = before.select(F.col("priority").alias("p"), F.col("n").alias("m"))
-    start = before.join(F.broadcast(ahead), F.col("p") > F.col("priority"), "left").groupBy("priority").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("start"))
-    placed = ready.withColumn("k", F.row_number().over(w)).join(F.broadcast(start), "priority")
+    ready = jobs.where(F.col("status").isin(*QUEUEABLE))
+    order = [F.desc("priority"), "created_at", "job_id"]
+    sorted_ = ready.select("job_id", "priority", "created_at").orderBy(*order).withColumn("_part", F.spark_partition_id())
+    held = sorted_.groupBy("_part").agg(F.count("*").alias("n"))  # one row for each range of the sort
+    start = held.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    placed = sorted_.withColumn("k", F.row_number().over(Window.partitionBy("_part").orderBy(*order))).join(F.broadcast(start), "_part")
     return placed.select("job_id", "priority", "created_at", (F.col("start") + F.col("k")).alias("place"))
 
 
@@ -91,9 +101,10 @@ def budget_cutoff(batches: DataFrame, limit: float) -> DataFrame:
 
 
 def run_next(jobs: DataFrame, chosen) -> DataFrame:
-    """The chosen ready job gets a priority above all other ready ones, unless it has it already."""
-    others = jobs.where((F.col("status") == "ready") & (F.col("job_id") != chosen)).agg(F.coalesce(F.max("priority"), F.lit(0)).alias("top"))
-    lifted = F.when((F.col("job_id") == chosen) & (F.col("priority") <= F.col("top")), F.col("top") + 1).otherwise(F.col("priority"))
+    """The chosen job, if it has work ahead, gets a priority above all others that have, unless it has it already."""
+    ahead = F.col("status").isin(*QUEUEABLE)
+    others = jobs.where(ahead & (F.col("job_id") != chosen)).agg(F.coalesce(F.max("priority"), F.lit(0)).alias("top"))
+    lifted = F.when(ahead & (F.col("job_id") == chosen) & (F.col("priority") <= F.col("top")), F.col("top") + 1).otherwise(F.col("priority"))
     return jobs.crossJoin(F.broadcast(others)).select("job_id", "status", lifted.alias("priority"))  # one row of one number
 
 
@@ -106,7 +117,7 @@ def resume(status: Column) -> Column:
 
 
 def cancel(status: Column) -> Column:
-    return F.when(status.isin(*FINISHED), status).otherwise("cancelled")
+    return F.when(status.isin(*CANCELLABLE), "cancelled").otherwise(status)
 
 
 def settle(videos: DataFrame) -> DataFrame:
@@ -152,22 +163,32 @@ def saving(document_tokens: Column, pictures: Column) -> Column:
     return F.when(s > 0, s)
 
 
-def fingerprint(rows: DataFrame, order: str, *columns: str) -> DataFrame:
-    """16 hex digits over all rows in id order, computed from per-row digests: rows hash in
-    parallel and only digests are put in order."""
-    digest = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
-    all_of = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), digest.alias("d")))), lambda x: x["d"]), "")
-    return rows.agg(F.substring(F.sha2(all_of, 256), 1, 16).alias("fingerprint"))
-
-
 def throttle(events: DataFrame, gap: float) -> DataFrame:
     """key, at: the first of each key and every later one at least `gap` after the last let through.
-    A fold, because each decision rests on the one before; keys fold in parallel."""
-    times = F.array_sort(F.collect_set("at"))
-    start = F.expr("named_struct('last', cast(null as double), 'kept', cast(array() as array<double>))")
-    kept = F.aggregate(
-        times, start,
-        lambda a, x: F.when(a["last"].isNull() | (x - a["last"] >= gap), F.struct(x.alias("last"), F.concat(a["kept"], F.array(x)).alias("kept"))).otherwise(a),
-        lambda a: a["kept"],
-    )
-    return events.groupBy("key").agg(kept.alias("kept")).select("key", F.explode("kept").alias("at"))
+    Each decision rests on the one before: a key's times come in order as a stream, and a task
+    holds the last one let through."""
+    kind = events.schema["key"].dataType.simpleString()
+
+    def walk(batches):
+        now, last = object(), None
+        for batch in batches:
+            kept = []
+            for k, (key, at) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if key != now or at - last >= gap:
+                    now, last = key, at
+                    kept.append(k)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    rows = events.where("at is not null").select("key", F.col("at").cast("double").alias("at"))
+    return rows.repartition("key").sortWithinPartitions("key", "at").mapInArrow(walk, f"key {kind}, at double")
+
+
+def fingerprint(jobs: DataFrame, runs: DataFrame, worker: str, *columns: str) -> DataFrame:
+    """16 hex digits that change when a screen would: the worker's key, jobs and the sums of their
+    stages. Rows are hashed in parallel and add up to one number, so no task sees them all.
+    jobs: columns, the first of them the id; runs: done, total."""
+    row = F.xxhash64(*columns).cast("decimal(38,0)")
+    own = jobs.agg(F.count("*").alias("jobs"), F.coalesce(F.sum(row), F.lit(0)).cast("string").alias("sum"))
+    stages = runs.agg(F.count("*").alias("n"), F.coalesce(F.sum("done"), F.lit(0)).alias("done"), F.coalesce(F.sum("total"), F.lit(0)).alias("total"))
+    both = own.crossJoin(F.broadcast(stages))  # one row each
+    return both.select(F.substring(F.sha2(F.concat_ws("|", F.lit(worker), "jobs", "sum", "n", "done", "total"), 256), 1, 16).alias("fingerprint"))

@@ -54,12 +54,33 @@ def importable(paths: DataFrame) -> DataFrame:
     return p.where(~F.array_contains(F.split("folder", "/"), "analysis_input")).distinct()
 
 
-def inspect(folders: DataFrame, paths: DataFrame) -> DataFrame:
-    """Importable folders with warnings about what is missing beside the document, and one word."""
-    name = F.element_at(F.split("path", "/"), -1)
-    beside = paths.select(F.regexp_replace("path", "/(?:frames/)?[^/]*$", "").alias("folder"), name.alias("name"), F.col("path").rlike("/frames/[^/]*\\.jpg$").alias("picture"))
-    have = beside.groupBy("folder").agg(F.bool_or("picture").alias("pictures"), F.bool_or(F.col("name") == "visual_results.json").alias("described"))
-    out = folders.join(have, "folder", "left")
-    no = lambda c: ~F.coalesce(F.col(c), F.lit(False))
-    warnings = F.array_compact(F.array(F.when(no("pictures"), "the pictures are missing"), F.when(no("described"), "no descriptions")))
-    return out.select("folder", warnings.alias("warnings"), F.when(no("pictures"), "missing_artifacts").when(no("described"), "no_visual").otherwise("ok").alias("compatibility"))
+def inspect(folders: DataFrame, paths: DataFrame, manifests: DataFrame, described: DataFrame, schema_hash: str) -> DataFrame:
+    """Importable folders with warnings about what is beside the document, and one word. manifests:
+    folder, readable, pictures (how many it lists); described: folder, readable, hash (null for no rows)."""
+    beside = paths.select(F.regexp_replace("path", "/(?:frames/)?[^/]*$", "").alias("folder"), F.col("path").rlike("/frames/[^/]*\\.jpg$").alias("picture"))
+    have = beside.groupBy("folder").agg(F.bool_or("picture").alias("pictures"))
+    m = manifests.select("folder", F.col("readable").alias("m_ok"), F.col("pictures").alias("listed"))
+    v = described.select("folder", F.col("readable").alias("v_ok"), "hash")
+    out = folders.join(have, "folder", "left").join(m, "folder", "left").join(v, "folder", "left")
+    lists = F.when(F.col("m_ok").isNull(), "there is no picture list, so pictures cannot be checked").when(~F.col("m_ok"), "the picture list could not be read")
+    missing = ~F.coalesce("pictures", F.lit(False)) & F.coalesce(F.col("m_ok") & (F.col("listed") > 0), F.lit(False))
+    older = F.coalesce(F.col("v_ok") & (F.col("hash") != schema_hash), F.lit(False))
+    words = F.when(F.col("v_ok").isNull(), "no descriptions").when(~F.col("v_ok"), "the descriptions could not be read").when(older, "older wording")
+    warnings = F.array_compact(F.array(lists, F.when(missing, "the pictures are missing"), words))
+    compatibility = F.when(missing, "missing_artifacts").when(older, "provenance_mismatch").when(F.col("v_ok").isNull(), "no_visual").otherwise("ok")
+    return out.select("folder", warnings.alias("warnings"), compatibility.alias("compatibility"))
+
+
+PROBE = "format struct<duration:string, format_name:string, size:string>, streams array<struct<codec_type:string, codec_name:string, duration:string, width:int, height:int>>"
+
+
+def probe(outputs: DataFrame) -> DataFrame:
+    """ffprobe's JSON (video_id, json) to container, codecs, size of the picture and duration: the
+    container's, else the first video stream's; problem says where there is no duration above 0."""
+    x = outputs.select("video_id", F.from_json("json", PROBE).alias("p"))
+    first = lambda kind: F.try_element_at(F.filter("p.streams", lambda s: s["codec_type"] == kind), F.lit(1))
+    v, a = first("video"), first("audio")
+    positive = lambda c: F.when(c.try_cast("double") > 0, c.try_cast("double"))
+    seconds = F.coalesce(positive(F.col("p.format.duration")), positive(v["duration"]))
+    problem = F.when(F.col("p").isNull() | v.isNull(), "no video stream").when(seconds.isNull(), "no duration")
+    return x.select("video_id", F.col("p.format.format_name").alias("container"), v["codec_name"].alias("video_codec"), a["codec_name"].alias("audio_codec"), v["width"].alias("width"), v["height"].alias("height"), seconds.alias("seconds"), problem.alias("problem"))

@@ -31,10 +31,15 @@ def verified(registered: DataFrame, present: DataFrame) -> DataFrame:
     return both.select("path", problem.alias("problem"))
 
 
+# The groups that can be removed, and the names in a video's folder that belong to each.
+GROUPS = (
+    ("audio", ("audio.wav",)), ("api_frames", ("frames_api",)), ("frames", ("frames",)), ("descriptions", ("batches", "visual_results.json", "gaps.txt")),
+    ("transcript", ("transcript.json", "transcript.txt", "silence_windows.json")),
+)
+
+
 def group_sizes(files: DataFrame) -> DataFrame:
-    """Bytes and files of each removable group of a job's output."""
-    group = (
-        F.when(F.col("path").contains("/frames/"), "pictures").when(F.col("path").contains("/api_frames/"), "copies").when(F.col("path").endswith(".wav"), "audio")
-        .when(F.col("path").endswith(".txt"), "documents").otherwise("other")
-    )
-    return files.groupBy(group.alias("group")).agg(F.sum("size").alias("bytes"), F.count("*").alias("files"))
+    """Bytes and files of each removable group of videos' folders; other files are in none."""
+    parts = F.split("path", "/")
+    group = F.coalesce(*[F.when(F.arrays_overlap(parts, F.array(*map(F.lit, names))), name) for name, names in GROUPS])
+    return files.select(group.alias("group"), "size").where("group is not null").groupBy("group").agg(F.sum("size").alias("bytes"), F.count("*").alias("files"))

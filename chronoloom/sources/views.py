@@ -83,3 +83,36 @@ def silence_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("frame= 1 fps=0")
     )
     return d.select(F.col("user_id").alias("video_id"), (F.row_number().over(w)).alias("line_no"), line.alias("line"))
+
+
+STATES = ("draft", "ready", "preparing", "transcribing", "analyzing", "waiting_retry", "paused", "needs_attention", "completed", "completed_with_gaps", "cancelled", "pending")
+PROVIDERS = ("none", "ollama_local", "anthropic", "google", "openai_compatible", "", "elsewhere")
+
+
+def _pick(values, number) -> F.Column:
+    return F.element_at(F.array(*[F.lit(x) for x in values]), (number % len(values) + 1).cast("int"))
+
+
+def work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs in every state, with provider, model, interval and times in seconds: job_id, name, status,
+    priority, created, started, completed, acknowledged, provider, model_id, interval_ms."""
+    j, n = jobs(spark, sf_dir), F.col("job_id")
+    created = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("created_at").cast("timestamp_ntz"))
+    return j.select(
+        "job_id", F.format_string("Job %d", n).alias("name"), _pick(STATES, n).alias("status"), "priority", created.alias("created"), F.when(n % 5 > 0, created + n % 100).alias("started"),
+        F.when(n % 6 > 0, created + n % 5000).alias("completed"), F.when(n % 3 == 0, created).alias("acknowledged"), _pick(PROVIDERS, n).alias("provider"), _pick(("", "m1", "m2"), n).alias("model_id"),
+        F.when(n % 4 > 0, n % 4 * 2500).cast("int").alias("interval_ms"),
+    )
+
+
+def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """batch_id, run_id (four batches to a run), pictures, status."""
+    e = load(spark, sf_dir, "events")
+    return e.select(F.col("event_id").alias("batch_id"), (F.col("event_id") - F.col("event_id") % 4).alias("run_id"), (F.col("event_id") % 20 + 1).cast("int").alias("pictures"), F.when(F.col("event_id") % 5 == 0, "skipped").otherwise("completed").alias("status"))
+
+
+def runs_of_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """stage_runs in the four stages' names, with model_id, their own duration and their video's."""
+    r, n = stage_runs(spark, sf_dir), F.col("run_id")
+    stage = _pick(("frames", "transcribe", "visual", "assemble"), F.col("run_id"))
+    return r.select("run_id", "video_id", stage.alias("stage"), "attempt", "status", "total", "done", _pick(("m0", "m1"), F.floor(n / 4)).alias("model_id"), (n % 900 - 30).cast("double").alias("took"), (F.col("video_id") % 50 * 60).cast("double").alias("video_seconds"))

@@ -157,7 +157,7 @@ def test_rerun_scopes(spark):
 def test_costs_and_budget(spark):
     w = spark.createDataFrame([("openai", 10), ("ollama_local", 10), ("who", 10)], "provider string, pictures int")
     got = {r.provider: (r.input_tokens, r.usd) for r in costs.estimate(w, costs.price_table(spark)).collect()}
-    assert got == {"openai": (14500, 0.06825), "ollama_local": (0, None), "who": (16000, 0.096)}
+    assert got == {"openai": (14500, 0.06825), "ollama_local": (0, None), "who": (16000, 0.128)}
     b = spark.createDataFrame([("v", k, "0.400000") for k in range(4)], "video_id string, batch int, e string").select("video_id", "batch", F.col("e").cast("decimal(18,6)").alias("estimate"))
     assert [r.sent for r in state.budget_cutoff(b, 1.0).orderBy("batch").collect()] == [True, True, False, False]
 
