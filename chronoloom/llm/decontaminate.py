@@ -56,8 +56,8 @@ class _Queries:
         self.shortest = min(self.windows, default=0)
 
     def hits(self, words: Words):
-        """(first word, length, item) of each occurrence of a window in one document's words."""
-        none = np.zeros((0, 3), dtype=np.int64)
+        """(first word, length) of each occurrence of a window, and the distinct (document, item) of all."""
+        none = np.zeros((0, 2), dtype=np.int64), np.zeros((0, 2), dtype=np.int64)
         n = len(words.hash)
         if not self.windows or not n:
             return none
@@ -78,7 +78,7 @@ class _Queries:
         place = np.arange(len(use)) + part
         text[place], word[place] = symbol[use], use
         index = FMIndex(text, len(self.vocabulary) + 2)
-        out = []
+        out, pairs = [none[0]], [none[1]]
         for size, (distinct, window, item) in self.windows.items():
             lo, hi = index.search(distinct)
             some = np.flatnonzero(hi > lo)
@@ -86,13 +86,15 @@ class _Queries:
             first = np.repeat(lo[some] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
             at = word[index.locate(first)]
             found = np.repeat(some, count)
-            # each occurrence once for each item that has the window
+            out.append(np.stack([at, np.full(len(at), size)], axis=1))
+            # a document's window counts once, however often it occurs, for each item that has it
+            doc, found = np.unique(np.stack([words.doc[at], found]), axis=1)
             order = np.argsort(window, kind="stable")
             begin = np.searchsorted(window[order], np.arange(len(distinct) + 1))
             times = (begin[1:] - begin[:-1])[found]
             pick = np.repeat(begin[found] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-            out.append(np.stack([np.repeat(at, times), np.full(len(pick), size), item[order][pick]], axis=1))
-        return np.concatenate(out) if out else none
+            pairs.append(np.unique(np.stack([np.repeat(doc, times), item[order][pick]], axis=1), axis=0))
+        return np.concatenate(out), np.unique(np.concatenate(pairs), axis=0)
 
 
 def _merged(hits: np.ndarray, n: int) -> np.ndarray:
@@ -110,15 +112,14 @@ def _pass(queries):
         for batch in batches:
             for at, to in steps(batch.column(1)):
                 words = Words(batch.column(1).slice(at, to - at), "alnum", lower=True)
-                found = q.hits(words)
+                found, pairs = q.hits(words)
                 covered = _merged(found, len(words.hash))
                 spans, items = batch.column(3).slice(at, to - at).to_pylist(), batch.column(4).slice(at, to - at).to_pylist()
-                of = words.doc[found[:, 0]] if len(found) else np.zeros(0, dtype=np.int64)
-                for k in np.unique(of):
+                for k in np.unique(pairs[:, 0]):
                     own = covered[words.first[k] : words.first[k + 1]]
                     edge = np.diff(np.concatenate([[0], own.view(np.int8), [0]]))
                     spans[k] += np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], axis=1).tolist()
-                    items[k] += list(q.ids[np.unique(found[of == k, 2])])
+                    items[k] += list(q.ids[pairs[pairs[:, 0] == k, 1]])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), pa.array(words.count), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string()))],
                     names=["_row", "_text", "n_words", "hits", "items"],

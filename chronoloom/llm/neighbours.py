@@ -69,9 +69,11 @@ def tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: n
         # |xy - x'y'| <= |x| |y - y'| + |x - x'| |y'|, and a hair for the rounding of the sums
         off = (na[s, None] * eb[None, :] + ea[s, None] * nb[None, :]) * (1 + 1e-9) + 1e-12 * na[s, None] * (nb + eb)[None, :]
         own = query_ids[s, None] == ids[None, :]
-        low = np.where(own, -np.inf, near - off)
+        # bounds that overflow say nothing: such pairs bound no others and are all recomputed
+        low = near - off
+        low[own | ~np.isfinite(low)] = -np.inf
         cut = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] >= k else np.full(len(low), -np.inf)
-        row, col = np.nonzero(~own & (near + off >= cut[:, None]))
+        row, col = np.nonzero(~own & ~(near + off < cut[:, None]))
         score = _exact(queries[s][row], vectors[col])
         order = np.lexsort((ids[col], -score, row))
         row, col, score = row[order], col[order], score[order]
@@ -91,13 +93,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_column: str =
 
     every = usable(vectors)
     asked = usable(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
-    lengths = every.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    d = lengths[0]["d"] if lengths else 0
-    total = every.where(F.size("v") == d).count()
+    total = every.count()
     nq, nc = parts(asked.count(), QUERIES), parts(total, CANDIDATES)
-    q = asked.where(F.size("v") == d).withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(nq)).cast("int")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))))
+    # vectors of different lengths are searched apart
+    q = asked.withColumn("d", F.size("v")).withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(nq)).cast("int")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))))
     # candidates are dealt by their whole row, so that a repeated vec_id fills no block
-    c = every.where(F.size("v") == d).withColumn("cb", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(nc)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    c = every.withColumn("d", F.size("v")).withColumn("cb", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(nc)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -120,5 +121,5 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_column: str =
             columns = list(zip(*rows[at : at + 10_000], strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "rank", "vec_id", "score"])
 
-    tiles = q.repartition(nq * nc, "qb", "cb").groupBy("qb", "cb").cogroup(c.repartition(nq * nc, "qb", "cb").groupBy("qb", "cb")).applyInArrow(meet, "query_id long, vec_id long, score double")
+    tiles = q.repartition(nq * nc, "d", "qb", "cb").groupBy("d", "qb", "cb").cogroup(c.repartition(nq * nc, "d", "qb", "cb").groupBy("d", "qb", "cb")).applyInArrow(meet, "query_id long, vec_id long, score double")
     return tiles.repartition(max(nq, 8), "query_id").mapInArrow(merge, "query_id long, rank int, vec_id long, score double")

@@ -136,7 +136,7 @@ def _run(docs: DataFrame, keep: list[str], width: int, emit, schema) -> DataFram
     bounded_batches(docs.sparkSession)
     total = text_bytes(docs)
     blocks, buckets = parts(total, BLOCK_BYTES), parts(total, BLOCK_BYTES)
-    dealt = spread(docs, blocks, *keep)
+    dealt = spread(docs, blocks, *keep, "text")  # rows of one id with other texts go apart
     ask = dealt.groupBy("_block").applyInArrow(_questions(width, buckets), "_block int, bucket int, hashes binary, twice binary")
     answer = ask.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answers, "_block int, bucket int, bits binary")
 

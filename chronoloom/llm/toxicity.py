@@ -22,7 +22,8 @@ letters ("i d i o t") are read as one more word.
 Defined results: null and empty texts and texts without letters have the score of
 a text without any word, below 0.5; without labelled training rows of both classes
 every score is 0; rows that repeat count each; further columns of either table are
-ignored by `score`, labels' rows without a document too; null labels are no labels.
+ignored by `score`, labels' rows without a document too; null labels are no labels; a row of
+null doc_id is scored and not held out.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ DECAY = 0.7
 PIECE, STRIDE = 12, 4
 #: Bounds of the training sample: words of each class, landmarks, and documents for the curve.
 WORDS, LANDMARKS, SAMPLE = 4000, 96, 24_000
+#: Negative examples, evenly drawn, from which landmarks are picked.
+CONTRAST = 800
 FOLDS = 5
 #: Words that a document is judged by, and the least value that one counts with.
 TOP, FLOOR = 3, -3.0
@@ -262,7 +265,8 @@ def fit_words(positive: list[bytes], negative: list[bytes]) -> tuple[np.ndarray,
         return [f for f in features([p for w in words for p in pieces(letters(w))]) if f]
 
     pos, neg = read(positive), read(negative)
-    marks = [pos[i] for i in landmarks(pos, LANDMARKS * 3 // 4)] + [neg[i] for i in landmarks(neg[:800], LANDMARKS // 4)]
+    contrast = [neg[i] for i in sorted(np.random.default_rng(5).permutation(len(neg))[:CONTRAST].tolist())]
+    marks = [pos[i] for i in landmarks(pos, LANDMARKS * 3 // 4)] + [contrast[i] for i in landmarks(contrast, LANDMARKS // 4)]
     k = kernel(marks, marks)
     value, vector = np.linalg.eigh(k)
     keep = value > 1e-6
@@ -278,7 +282,7 @@ def fit_words(positive: list[bytes], negative: list[bytes]) -> tuple[np.ndarray,
 
 
 def held_out(column) -> F.Column:
-    return F.crc32(column.cast("string").cast("binary")) % FOLDS == 0
+    return F.coalesce(F.crc32(column.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
 def _word_rows(batches):
@@ -315,13 +319,13 @@ def _sketches(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), pa.array(low), pa.array(high)], names=["doc_id", "toxic", "low", "high"])
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Fit on the labelled rows whose crc32(doc_id as text) mod FOLDS is not 0."""
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model | None:
+    """Fit on at most `rows` of the labelled rows whose crc32(doc_id as text) mod FOLDS is not 0."""
     spark = docs.sparkSession
     bounded_batches(spark)
     marks = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     # a bounded sample by a hash of doc_id: its ids fit a broadcast, so no text is shuffled to meet its label
-    marks = marks.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(SAMPLE)
+    marks = marks.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(rows)
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).join(F.broadcast(marks), "doc_id").where("text is not null")
     sample = materialize(source)
     # copies speak once: of equal label and equal set of words, one document counts
@@ -388,10 +392,10 @@ def _curve(model: Model, sample: DataFrame) -> np.ndarray:
     return w
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
     row = [docs["doc_id"].cast("long").alias("doc_id")]
-    out = _scored(docs, row, train(docs, labels))
+    out = _scored(docs, row, train(docs, labels, rows))
     return out.select("_row.doc_id", held_out(F.col("_row.doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
@@ -410,7 +414,7 @@ def _scored(docs: DataFrame, row: list, model: Model | None) -> DataFrame:
     return frame.mapInArrow(run, StructType([frame.schema["_row"], StructField("score", DoubleType())]))
 
 
-def clean(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
+def clean(docs: DataFrame, labels: DataFrame, limit: float = 0.5, rows: int = SAMPLE) -> DataFrame:
     """docs without the documents whose score is `limit` or more."""
-    out = _scored(docs, [docs[f"`{c}`"] for c in docs.columns], train(docs, labels))
+    out = _scored(docs, [docs[f"`{c}`"] for c in docs.columns], train(docs, labels, rows))
     return out.where(F.col("score") < limit).select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

@@ -129,18 +129,43 @@ def headers(head: bytes) -> dict[str, str]:
     return out
 
 
-def normalise_stream(pieces, out) -> list[dict]:
-    """Inflates one gzip stream and writes each record to `out` as its own member; the index."""
-    inflate, split, index, at = zlib.decompressobj(31), Records(), [], 0
+#: Bytes that one inflating step returns at most.
+INFLATE = 4 << 20
+
+
+def inflated(pieces):
+    """What gzip pieces hold, in steps of at most INFLATE bytes: one member, or several in a row
+    (zero bytes may stand between and after them)."""
+    inflate, begun = zlib.decompressobj(31), False
     for piece in pieces:
-        for one in split.feed(inflate.decompress(piece)):
+        while piece:
+            if not begun:
+                piece = piece.lstrip(b"\0")
+                if not piece:
+                    break
+            begun = True
+            yield inflate.decompress(piece, INFLATE)
+            piece = inflate.unconsumed_tail
+            while not piece and not inflate.eof and (more := inflate.decompress(b"", INFLATE)):
+                yield more
+            if inflate.eof:
+                piece, inflate, begun = inflate.unused_data, zlib.decompressobj(31), False
+    if begun:
+        raise ValueError("the stream ends inside a member")
+
+
+def normalise_stream(pieces, out) -> list[dict]:
+    """Inflates a whole gzip stream and writes each record to `out` as its own member; the index."""
+    split, index, at = Records(), [], 0
+    for piece in inflated(pieces):
+        for one in split.feed(piece):
             packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
             member = packer.compress(one) + packer.flush()
             out.write(member)
             head = headers(one[: one.index(b"\r\n\r\n")])
             index.append({"offset": at, "length": len(member), "type": head["warc-type"], "id": head["warc-record-id"]})
             at += len(member)
-    if split.held or not inflate.eof:
+    if split.held:
         raise ValueError("the stream ends inside a record")
     return index
 

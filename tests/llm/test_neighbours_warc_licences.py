@@ -114,3 +114,24 @@ def test_notices_inside_longer_texts(spark):
     df = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(given.values())], "doc_id long, text string")
     got = {r.doc_id: (list(r.licences), r.n_matches) for r in licences.scan(df).collect()}
     assert {n: got[k] for k, n in enumerate(given)} == {n: (names, count) for n, (_, names, count) in given.items()}
+
+
+def test_streams_of_several_members():
+    """Members in a row, zero bytes between them and pieces of any size give all records."""
+    record = lambda n: b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n" % n
+    raw = gzip.compress(record(1) + record(2)) + b"\0" * 9 + gzip.compress(record(3)) + b"\0"
+    for size in (1, 7, len(raw)):
+        out = io.BytesIO()
+        index = warc.normalise_stream((raw[k : k + size] for k in range(0, len(raw), size)), out)
+        assert [gzip.decompress(out.getvalue()[x["offset"] : x["offset"] + x["length"]]) for x in index] == [record(n) for n in (1, 2, 3)]
+    with pytest.raises(ValueError):
+        warc.normalise_stream([raw[:40]], io.BytesIO())
+
+
+def test_neighbours_of_huge_components_and_other_lengths(spark):
+    rows = [(1, [1e200, 1.0]), (2, [1e150, 2.0]), (3, [1.0, 1e160]), (4, [-1e200, 0.0]), (20, [1e190, 1.0]), (5, [1.0, 2.0, 3.0]), (40, [1.0, 0.0, 1.0]), (6, [2.0, 2.0, 2.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in sorted(neighbours.search(v, v.where("vec_id % 20 = 0"), k=3).collect(), key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {20: [1, 2, 3], 40: [5, 6]}
