@@ -196,15 +196,43 @@ def _spelled(raw: bytes) -> list[bytes]:
     return [*out, b"".join(run)] if len(run) >= 3 else out
 
 
-def highest(model: Model, texts: pa.Array):
-    """For each text the values of its TOP highest distinct words, in steps; each distinct
-    word is computed once a step. Values lie between FLOOR and -FLOOR."""
+class Seen:
+    """Values of words that a task has met, by hash; the older half goes when the newer is full."""
+
+    def __init__(self, most: int = 1 << 19):
+        self.half = most // 2
+        self.new = self.old = (np.zeros(0, dtype=np.uint64), np.zeros(0))
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """NaN for words not met."""
+        out = np.full(len(hashes), np.nan)
+        for known, values in (self.old, self.new):
+            if len(known):
+                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                hit = known[at] == hashes
+                out[hit] = values[at[hit]]
+        return out
+
+    def add(self, hashes: np.ndarray, values: np.ndarray) -> None:
+        known, first = np.unique(np.concatenate([self.new[0], hashes]), return_index=True)
+        self.new = known, np.concatenate([self.new[1], values])[first]
+        if len(known) > self.half:
+            self.old, self.new = self.new, (np.zeros(0, dtype=np.uint64), np.zeros(0))
+
+
+def highest(model: Model, texts: pa.Array, seen: Seen | None = None):
+    """For each text the values of its TOP highest distinct words, in steps; a word that `seen`
+    holds isn't computed again. Values lie between FLOOR and -FLOOR."""
+    seen = seen or Seen()
     for at, to in steps(texts):
         words = Words(texts.slice(at, to - at), "space", lower=True)
         best = np.full((to - at, TOP), FLOOR)
         if len(words.hash):
-            _, first, use = np.unique(words.hash, return_index=True, return_inverse=True)
-            values = np.clip(model.words(words.data, words.starts[first], words.ends[first]), FLOOR, -FLOOR)
+            hashes, first, use = np.unique(words.hash, return_index=True, return_inverse=True)
+            values = seen.find(hashes)
+            new = np.isnan(values)
+            values[new] = np.clip(model.words(words.data, words.starts[first[new]], words.ends[first[new]]), FLOOR, -FLOOR)
+            seen.add(hashes, values)
             high = np.flatnonzero(values[use] > FLOOR)
             doc, word = np.unique(np.stack([words.doc[high], use[high]]), axis=1) if len(high) else (np.zeros(0, dtype=np.int64),) * 2
             found = [(doc, values[word])]
@@ -378,8 +406,9 @@ def _curve(model: Model, sample: DataFrame) -> np.ndarray:
     shared = sample.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        seen = Seen()
         for batch in batches:
-            best = np.concatenate([np.zeros((0, TOP)), *highest(shared.value, batch.column(0))])
+            best = np.concatenate([np.zeros((0, TOP)), *highest(shared.value, batch.column(0), seen)])
             yield pa.RecordBatch.from_arrays([pa.array(best.tolist(), pa.list_(pa.float64())), batch.column(1)], names=["best", "toxic"])
 
     rows = sample.select("text", "toxic").mapInArrow(run, "best array<double>, toxic int").collect()
@@ -407,8 +436,9 @@ def _scored(docs: DataFrame, row: list, model: Model | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        seen = Seen()
         for batch in batches:
-            best = np.concatenate([np.zeros((0, TOP)), *highest(shared.value, batch.column(1))])
+            best = np.concatenate([np.zeros((0, TOP)), *highest(shared.value, batch.column(1), seen)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.probability(best))], names=["_row", "score"])
 
     return frame.mapInArrow(run, StructType([frame.schema["_row"], StructField("score", DoubleType())]))
