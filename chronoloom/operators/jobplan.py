@@ -355,6 +355,25 @@ def assess(folder: Column, document: Column, pictures: Column, status: Column, d
     return pick(1, F.lit("ok")), pick(2, F.lit(""))
 
 
+# How a source fits, in words.
+FITS = {"ok": "Fits with the rest", "no_visual": "No descriptions", "provenance_mismatch": "Older wording", "missing_artifacts": "Pictures missing"}
+
+
+def fit_label(compatibility: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in FITS.items() for x in pair]), compatibility)
+
+
+def handoff(files: DataFrame, key: str) -> DataFrame:
+    """Totals of what a handoff package holds: pictures, documents, files and bytes of each key."""
+    n = lambda end: F.count_if(F.col("path").endswith(end))
+    return files.groupBy(key).agg(n(".jpg").alias("pictures"), n(".txt").alias("documents"), F.count("*").alias("files"), F.sum("size").cast("long").alias("bytes"))
+
+
+def moved(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: whether a screen has to be drawn again, by its fingerprints (one row each)."""
+    return before.select(F.col("fingerprint").alias("a")).crossJoin(F.broadcast(after.select(F.col("fingerprint").alias("b")))).select((F.col("a") != F.col("b")).alias("refresh"))
+
+
 def elapsed_since(text: Column, now: Column) -> Column:
     """Seconds from a timestamp in text to now, not under 0; null where it can't be read."""
     then = F.try_to_timestamp(text)

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.text import token_estimate
+from ..functions.text import CHARS_PER_TOKEN, token_estimate
 
 # Fixed values of the packing rules.
 OVERHEAD_TOKENS = 200
@@ -87,6 +87,22 @@ def split_sections(documents: DataFrame, most: int, overlap: int = OVERLAP) -> D
     return documents.select("key", "text").mapInArrow(run, f"key {kind}, piece int, pieces int, chunk string, overlap string")
 
 
+# What stands around the end of the part before.
+CONTINUES = ("  <continues_from_previous_part>\n", "\n  </continues_from_previous_part>\n\n")
+
+
+def split_parts(documents: DataFrame, budget_tokens: int, header_chars: int) -> DataFrame:
+    """Documents (key, text) that are too long for one part, cut to a budget less the header and a
+    margin: key, part, of, body (which opens with the end of the part before, on purpose) and
+    overlap_characters."""
+    most = int(budget_tokens * CHARS_PER_TOKEN) - header_chars - MARGIN
+    if most <= 0:
+        raise ValueError("the budget leaves no room for any text")
+    x = split_sections(documents, most)
+    body = F.when(F.col("overlap") == "", F.col("chunk")).otherwise(F.concat(F.lit(CONTINUES[0]), F.col("overlap"), F.lit(CONTINUES[1]), F.col("chunk")))
+    return x.select("key", F.col("piece").alias("part"), F.col("pieces").alias("of"), F.rtrim(body, F.lit("\n")).alias("body"), F.length("overlap").alias("overlap_characters"))
+
+
 def pack_manifest(packed: DataFrame, costed: DataFrame) -> DataFrame:
     """Per part: documents, tokens and whether it is oversized."""
     return packed.join(costed.select("collection", F.col("sequence").cast("long").alias("sequence"), "tokens"), ["collection", "sequence"]).groupBy("collection", "part").agg(F.count("*").alias("documents"), F.sum("tokens").alias("tokens"), F.max("oversized").alias("oversized"))

@@ -3,7 +3,7 @@ the code that it checks."""
 
 from __future__ import annotations
 
-from .oracle import FOLDING, PATHS, D, J, R, T, V
+from .oracle import FOLDING, PATHS, SQL as OTHERS, D, J, R, T, V
 
 W = f"""{J}, work AS (SELECT job_id, 'Job ' || job_id AS name, ['draft','ready','preparing','transcribing','analyzing','waiting_retry','paused','needs_attention','completed','completed_with_gaps','cancelled','pending'][job_id % 12 + 1] AS status,
   priority, epoch_us(created_at) // 1000000 AS created, CASE WHEN job_id % 5 > 0 THEN epoch_us(created_at) // 1000000 + job_id % 100 END AS started, CASE WHEN job_id % 6 > 0 THEN epoch_us(created_at) // 1000000 + job_id % 5000 END AS completed,
@@ -121,4 +121,16 @@ SQL = {
       SELECT event_id, note, CASE WHEN event_id % 3 > 0 THEN '[REDACTED]' END AS api_key, note || '|' || event_id AS list, '[REDACTED]' AS session, event_id::VARCHAR AS plain FROM y""",
     "s2_probe": """SELECT event_id AS video_id, 'mov,mp4' AS container, 'h264' AS video_codec, 'aac' AS audio_codec, 1280 AS width, 720 AS height,
       CASE WHEN event_id % 3 = 2 THEN 1.0 ELSE event_id % 7 + 0.5 END::DOUBLE AS seconds, NULL::VARCHAR AS problem FROM events""",
+    "pk10_fits": f"WITH {ASSESS} SELECT job_id, sequence, CASE state WHEN 'ok' THEN 'Fits with the rest' WHEN 'no_visual' THEN 'No descriptions' WHEN 'provenance_mismatch' THEN 'Older wording' ELSE 'Pictures missing' END AS label FROM found WHERE state <> 'gaps'",
+    "o4_emphasis_order": f"SELECT video_id, index, seconds, (row_number() OVER (PARTITION BY video_id ORDER BY seconds, index))::INTEGER AS place FROM ({OTHERS['pk11_emphasis']})",
+    "k11_handoff": f"WITH {PATHS} SELECT 'out/' || CASE WHEN k % 11 = 0 THEN 'analysis_input' ELSE k::VARCHAR END AS folder, count(*) FILTER (path LIKE '%.jpg') AS pictures, count(*) FILTER (path LIKE '%.txt') AS documents, count(*) AS files, sum(size)::BIGINT AS bytes FROM files GROUP BY 1",
+    "p12_stale_claims": "SELECT event_id, event_id % 7 < 2 OR event_id % 240 > 120 AS stale FROM events",
+    "t4_refresh": "SELECT 'same' AS what, false AS refresh UNION ALL SELECT 'moved', true",
 }
+
+# cut to 3,000 characters: 2,000 tokens of 3.6 characters less a header of 200 and a margin of 4,000
+_CUT = OTHERS["pk3_split"].replace("2000", "3000")
+_CUT = _CUT[: _CUT.rindex("SELECT doc_id AS key")]
+SQL["pk5_split_parts"] = f"""{_CUT} SELECT doc_id AS key, piece::INTEGER AS part, (count(*) OVER (PARTITION BY doc_id))::INTEGER AS of,
+  sha256(rtrim(CASE WHEN tail = '' THEN chunk ELSE '  <continues_from_previous_part>' || chr(10) || tail || chr(10) || '  </continues_from_previous_part>' || chr(10) || chr(10) || chunk END, chr(10))) AS sha256, length(tail)::INTEGER AS overlap_characters
+  FROM (SELECT *, coalesce(right(lag(chunk) OVER (PARTITION BY doc_id ORDER BY piece), 2000), '') AS tail FROM p)"""

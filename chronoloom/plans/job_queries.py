@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F, types as T
 
 from ..functions import redact as X, text as X_TEXT
-from ..operators import citation, costs, jobplan as P, packing
+from ..operators import citation, costs, jobplan as P, packing, state as state_ops
 from ..sources import readers, views as V
 
 QUERIES = {}
@@ -488,3 +488,52 @@ def s2_probe(s, d):
     stream = F.concat(F.lit('{"streams":[{"codec_type":"audio","codec_name":"aac"},{"codec_type":"video","codec_name":"h264","width":1280,"height":720,"duration":"'), (n % 7).cast("string"), F.lit('.5"}],"format":{"format_name":"mov,mp4"'))
     raw = F.concat(stream, F.when(n % 3 > 0, F.concat(F.lit(',"duration":"'), (n % 3 - 1).cast("string"), F.lit('.0"'))).otherwise(""), F.lit("}}"))
     return readers.probe(V.load(s, d, "events").select(n.alias("video_id"), raw.alias("json")))
+
+
+@query
+def pk5_split_parts(s, d):
+    x = packing.split_parts(V.load(s, d, "documents").select(F.col("doc_id").alias("key"), "text"), 2000, 200)
+    return x.select("key", "part", "of", F.sha2("body", 256).alias("sha256"), "overlap_characters")
+
+
+@query
+def pk10_fits(s, d):
+    state = _assessed(s, d).select("job_id", "sequence", "state").where("state <> 'gaps'")
+    return state.select("job_id", "sequence", P.fit_label(F.col("state")).alias("label"))
+
+
+@query
+def o4_emphasis_order(s, d):
+    """Pictures to look at, in order of time; those of one time in order of their number."""
+    from pyspark.sql import Window
+
+    from ..operators import enrich
+    from .registry import _gaps
+
+    e = enrich.emphasis(V.descriptions(s, d), ["instrument", "timeframe", "action"], _gaps(s, d))
+    return e.select("video_id", "index", "seconds", F.row_number().over(Window.partitionBy("video_id").orderBy("seconds", "index")).alias("place"))
+
+
+@query
+def k11_handoff(s, d):
+    from .registry import _paths
+
+    return P.handoff(_paths(s, d).withColumn("folder", F.regexp_extract("path", "^(out/[^/]*)/", 1)), "folder")
+
+
+@query
+def p12_stale_claims(s, d):
+    """Heartbeats as text: an unreadable or missing one is stale, one of exactly two minutes is not."""
+    n = F.col("event_id")
+    beat = F.when(n % 7 == 0, "soon").when(n % 7 == 1, F.lit(None).cast("string")).otherwise(F.date_format(F.timestamp_seconds(F.lit(NOW) - n % 240), "yyyy-MM-dd HH:mm:ss"))
+    age = F.unix_seconds(F.timestamp_seconds(F.lit(NOW))) - F.unix_seconds(F.try_to_timestamp(beat))
+    return V.load(s, d, "events").select("event_id", state_ops.stale(age).alias("stale"))
+
+
+@query
+def t4_refresh(s, d):
+    """A screen is drawn again when a job has moved, and not when nothing has."""
+    w, r = V.work(s, d), V.stage_runs(s, d)
+    of = lambda jobs: state_ops.fingerprint(jobs, r, "worker 1", "job_id", "status", "created")
+    later = w.withColumn("status", F.when(F.col("job_id") == 1, "cancelled").otherwise(F.col("status")))
+    return P.moved(of(w), of(w)).select(F.lit("same").alias("what"), "refresh").unionAll(P.moved(of(w), of(later)).select(F.lit("moved"), "refresh"))
