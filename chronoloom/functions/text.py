@@ -25,6 +25,14 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+# The characters that count as blanks at a text's ends.
+BLANKS = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(c) -> Column:
+    return F.trim(_c(c), F.lit(BLANKS))
+
+
 def readable(c) -> Column:
     """Neither missing, empty nor the sentinel: never null."""
     c = _c(c)

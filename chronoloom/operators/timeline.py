@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import readable
+from ..functions.text import readable, strip
 from ..functions.timefmt import hms, subtitle_time
 
 # The order of kinds within one second.
 DOCUMENT_ORDER = ("heading", "silence", "speech", "description")
 EXPORT_ORDER = ("silence", "speech", "description")
-FIELDS = (("chart", "instrument"), ("timeframe", "timeframe"), ("happening", "action"))
+# The labels of a description's fields, in the order of the document.
+FIELDS = (("chart", "instrument"), ("timeframe", "timeframe"), ("on screen", "states"), ("happening", "action"), ("text", "visible"), ("in words", "words"), ("kind", "setup"))
+# The names of the fields in files.
+KEYS = {"instrument": "currency_pair", "timeframe": "timeframe", "states": "indicators_and_states", "action": "exact_action", "visible": "visible_text", "words": "visual_description", "setup": "setup_type"}
+# What a document says before its lines.
+INTRODUCTION = ("Everything below is in the order it happened. Times are from the start", "of the video.", "")
 
 
 def rank(kind: Column, order: tuple[str, ...]) -> Column:
@@ -29,20 +34,27 @@ def weave(speech: DataFrame, silences: DataFrame) -> DataFrame:
     return both.withColumn("ordinal", F.row_number().over(w))
 
 
-def picture_block(fields=FIELDS) -> Column:
-    """Lines of one description: readable fields with labels, a count of the others, the confidence."""
+def picture_block(fields=FIELDS, emphasis: Column | None = None) -> Column:
+    """Lines of one description: readable fields with labels, a count of the others, the confidence.
+    emphasis (a text, null for none) stands behind the number."""
     missing = sum((F.when(readable(c), 0).otherwise(1) for _, c in fields), F.lit(0))
-    lines = [F.format_string("  picture %d", F.col("index") + 1)]
+    number = F.format_string("  picture %d", F.col("index") + 1)
+    lines = [number if emphasis is None else F.concat(number, F.coalesce(F.concat(F.lit("  ["), emphasis, F.lit("]")), F.lit("")))]
     lines += [F.when(readable(c), F.concat(F.lit(f"    {label}: "), F.col(c))) for label, c in fields]
     lines.append(F.when(missing > 0, F.format_string("    (%d detail(s) could not be read in this picture)", missing)))
-    lines.append(F.concat(F.lit("    confidence: "), F.col("confidence")))
+    lines.append(F.when(F.col("confidence") != "", F.concat(F.lit("    confidence: "), F.col("confidence"))))
     return F.concat_ws("\n", *lines)
 
 
-def entries(transcript: DataFrame, descriptions: DataFrame, segments: DataFrame | None = None) -> DataFrame:
-    """video_id, seconds, kind, text, tie (the order of equal seconds and kinds)."""
+def entries(transcript: DataFrame, descriptions: DataFrame, segments: DataFrame | None = None, emphasis: DataFrame | None = None) -> DataFrame:
+    """video_id, seconds, kind, text, tie (the order of equal seconds and kinds). emphasis: video_id,
+    index and reasons of pictures, each once; rows of an index that no picture has are silences'."""
+    label = None
+    if emphasis is not None:
+        marked = emphasis.where("index >= 0").select("video_id", "index", F.array_join("reasons", ", ").alias("label"))
+        descriptions, label = descriptions.join(marked, ["video_id", "index"], "left"), F.col("label")
     said = transcript.select("video_id", F.col("start_seconds").alias("seconds"), F.when(F.col("is_silence"), "silence").otherwise("speech").alias("kind"), F.concat(F.lit("  "), F.col("text")).alias("text"), F.col("line").cast("long").alias("tie"))
-    seen = descriptions.select("video_id", "seconds", F.lit("description").alias("kind"), picture_block().alias("text"), F.col("index").cast("long").alias("tie"))
+    seen = descriptions.select("video_id", "seconds", F.lit("description").alias("kind"), picture_block(emphasis=label).alias("text"), F.col("index").cast("long").alias("tie"))
     out = said.unionByName(seen)
     if segments is not None:
         title = F.concat(F.lit("\n── "), F.col("title"), F.lit(" ("), hms("start"), F.lit(" to "), hms("end"), F.lit(") ──"))
@@ -61,34 +73,79 @@ def lines(rows: DataFrame) -> DataFrame:
     return ordered(rows).select("video_id", "ordinal", "kind", stamped.alias("line"))
 
 
+def _number(x: Column) -> Column:
+    """Up to three decimals without trailing zeros."""
+    return F.regexp_replace(x.cast("decimal(20,3)").cast("string"), r"\.?0+$", "")
+
+
 def document(rows: DataFrame, names: DataFrame) -> DataFrame:
-    """One text for each video: header, counts and ordered lines (video_id, name, duration in names)."""
+    """One text for each video: header, counts and ordered lines. names: video_id, name, duration and,
+    where they are known, interval_ms, pictures (how many there are, described or not) and gaps."""
     body = lines(rows).groupBy("video_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "line"))), lambda x: x["line"]), "\n").alias("body"),
-        F.count_if(F.col("kind") == "description").alias("pictures"),
+        F.count_if(F.col("kind") == "description").alias("described"),
         F.count_if(F.col("kind").isin("speech", "silence")).alias("said"),
         F.count_if(F.col("kind") == "heading").alias("sections"),
     )
     rule = "=" * 72
+    for column in ("interval_ms", "pictures", "gaps"):
+        names = names if column in names.columns else names.withColumn(column, F.lit(None).cast("long"))
     d = names.join(body, "video_id", "left")
-    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    n = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
     head = F.concat_ws(
-        "\n", F.lit(rule), F.col("name"), F.lit(rule), F.concat(F.lit("Length            "), hms("duration")), F.format_string("Described         %d picture(s)", n("pictures")),
-        F.format_string("Transcript lines  %d", n("said")), F.when(n("sections") > 0, F.format_string("Sections          %d", n("sections"))), F.lit(""),
+        "\n", F.lit(rule), F.col("name"), F.lit(rule), F.concat(F.lit("Length            "), hms("duration")),
+        F.when(n("interval_ms") > 0, F.concat(F.lit("Picture every     "), _number(F.col("interval_ms") / 1000), F.lit(" seconds"))),
+        F.when(F.col("pictures").isNotNull(), F.format_string("Pictures          %,d", F.col("pictures"))),
+        F.when(F.col("pictures").isNotNull(), F.format_string("Described         %,d", n("described"))).otherwise(F.format_string("Described         %,d picture(s)", n("described"))),
+        F.format_string("Transcript lines  %,d", n("said")),
+        F.when(n("gaps") > 0, F.format_string("Missing           %,d picture(s) have no description (see gaps.txt)", n("gaps"))),
+        F.when(n("sections") > 0, F.format_string("Sections          %d", n("sections"))), F.lit(""), *map(F.lit, INTRODUCTION),
+    )
+    return d.select("video_id", F.concat(F.concat_ws("\n", head, F.col("body")), F.lit("\n")).alias("text"))
+
+
+def exported(transcript: DataFrame, descriptions: DataFrame) -> DataFrame:
+    """Entries of the exporters: video_id, seconds, kind, text, end, frame, confidence, fields, tie. A
+    description's text is its sentence in words, its fields are the other readable ones; empty for
+    a sentence that isn't readable, null for no fields."""
+    text, map_type = "string", "map<string,string>"
+    null = lambda kind: F.lit(None).cast(kind)
+    said = transcript.select(
+        "video_id", F.coalesce("start_seconds", F.lit(0.0)).alias("seconds"), F.when(F.coalesce("is_silence", F.lit(False)), "silence").otherwise("speech").alias("kind"), strip(F.coalesce("text", F.lit(""))).alias("text"),
+        F.coalesce("end_seconds", F.lit(0.0)).alias("end"), null(text).alias("frame"), null(text).alias("confidence"), null(map_type).alias("fields"), F.col("line").cast("long").alias("tie"),
     )
-    return d.select("video_id", F.concat(head, F.lit("\n"), F.coalesce("body", F.lit("")), F.lit("\n")).alias("text"))
+    pairs = F.map_filter(F.create_map(*[x for _, c in FIELDS if c != "words" for x in (F.lit(KEYS[c]), F.col(c))]), lambda _, v: readable(v))
+    words = strip(F.coalesce("words", F.lit("")))
+    seen = descriptions.select(
+        "video_id", F.coalesce("seconds", F.lit(0.0)).alias("seconds"), F.lit("description").alias("kind"), F.when(readable(words), words).otherwise("").alias("text"), null("double").alias("end"),
+        (F.when(F.col("frame") != "", F.col("frame")) if "frame" in descriptions.columns else null(text)).alias("frame"), F.when(F.col("confidence") != "", F.col("confidence")).alias("confidence"),
+        F.when(F.size(pairs) > 0, pairs).alias("fields"), F.col("index").cast("long").alias("tie"),
+    )
+    return said.unionByName(seen)
 
 
 def to_jsonl(rows: DataFrame) -> DataFrame:
-    """One JSON line for each entry; absent fields are left out (columns end and confidence may be null)."""
-    record = F.struct(F.bround("seconds", 3).alias("t"), hms("seconds").alias("timestamp"), "kind", "text", F.when(F.col("kind") != "description", F.bround("end", 3)).alias("end"), "confidence")
+    """One JSON line for each entry of `exported`, without blanks; absent keys are left out."""
+    record = F.struct(F.bround("seconds", 3).alias("t"), hms("seconds").alias("timestamp"), "kind", "text", F.when(F.col("kind") != "description", F.bround("end", 3)).alias("end"), "frame", "confidence", "fields")
     return ordered(rows, EXPORT_ORDER).select("video_id", "ordinal", F.to_json(record).alias("line"))
 
 
-def to_json(rows: DataFrame) -> DataFrame:
-    """One JSON document for each video: entry_count and the ordered entries."""
-    j = to_jsonl(rows).groupBy("video_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "line"))), lambda x: x["line"]), ",").alias("all"))
-    return j.select("video_id", F.concat(F.lit('{"version":1,"entry_count":'), F.col("n").cast("string"), F.lit(',"entries":['), F.col("all"), F.lit("]}")).alias("text"))
+def _joined(lines_of: DataFrame, mark: str) -> DataFrame:
+    """video_id, n, all: a video's lines in order."""
+    return lines_of.groupBy("video_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "line"))), lambda x: x["line"]), mark).alias("all"))
+
+
+def _source(frame: DataFrame, names: DataFrame | None, otherwise: str) -> tuple[DataFrame, Column]:
+    if names is None:
+        return frame, F.lit(otherwise)
+    return frame.join(names.select("video_id", F.col("name").alias("_source")), "video_id", "left"), F.coalesce("_source", F.lit(otherwise))
+
+
+def to_json(rows: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """One JSON document for each video: version, source (names: video_id, name), entry_count and the ordered entries."""
+    j, source = _source(_joined(to_jsonl(rows), ","), names, "")
+    head = F.to_json(F.struct(F.lit(1).alias("version"), source.alias("source"), F.col("n").alias("entry_count")))
+    return j.select("video_id", F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"entries":['), F.col("all"), F.lit("]}")).alias("text"))
 
 
 def to_markdown(rows: DataFrame) -> DataFrame:
@@ -103,6 +160,12 @@ def to_markdown(rows: DataFrame) -> DataFrame:
     return ordered(rows, EXPORT_ORDER).select("video_id", "ordinal", F.concat(stamp, body).alias("line"))
 
 
+def markdown_document(rows: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """One Markdown text for each video: a heading (names: video_id, name) and its lines, blank lines between."""
+    j, source = _source(_joined(to_markdown(rows), "\n\n"), names, "Video")
+    return j.select("video_id", F.concat(F.lit("# "), source, F.lit("\n\n"), F.col("all"), F.lit("\n")).alias("text"))
+
+
 def to_subtitles(rows: DataFrame, mark: str = ",") -> DataFrame:
     """Numbered cues of speech with text; a missing or too early end is two seconds on. mark "," for SRT, "." for VTT."""
     said = ordered(rows, EXPORT_ORDER).where("kind = 'speech' and text <> ''")

@@ -17,7 +17,9 @@ latest AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY video_id,
 D = f"""d AS (SELECT user_id AS video_id, (row_number() OVER w - 1)::INTEGER AS index, ((epoch_us(ts) - epoch_us(first_value(ts) OVER w)) // 1000000)::DOUBLE AS seconds,
   CASE WHEN event_type = 'error' THEN 'Unknown' ELSE event_type END AS instrument,
   CASE WHEN {K} // 25 = 0 THEN 'Unknown' ELSE 'tf' || ({K} // 25)::VARCHAR END AS timeframe,
-  CASE WHEN value > 100 THEN props ELSE 'Unknown' END AS action, CASE WHEN value < 100 THEN 'Low' WHEN value < 250 THEN 'Medium' ELSE 'High' END AS confidence
+  CASE WHEN value > 100 THEN props ELSE 'Unknown' END AS action, CASE WHEN event_id % 3 = 0 THEN 'Unknown' ELSE 'state ' || event_id % 11 END AS states,
+  CASE WHEN event_id % 4 = 0 THEN '' ELSE 'the "' || event_id || '"' END AS visible, CASE WHEN event_id % 5 > 0 THEN ' a picture of ' || event_type || chr(9) END AS words, CASE WHEN event_type = 'click' THEN 'setup' ELSE 'Unknown' END AS setup,
+  CASE WHEN value < 100 THEN 'Low' WHEN value < 250 THEN 'Medium' ELSE 'High' END AS confidence
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
 dur AS (SELECT video_id, max(seconds) + 3600.0::DOUBLE AS duration FROM d GROUP BY 1),
 gaps AS (SELECT video_id, s AS start, e AS "end" FROM (SELECT video_id, seconds AS s, lead(seconds) OVER (PARTITION BY video_id ORDER BY index) AS e FROM d) WHERE e - s >= 21600)"""
@@ -77,15 +79,19 @@ def _clock(x: str) -> str:
 
 
 TOKENS = "round_even(length(text) / 3.6::DOUBLE, 0)::BIGINT"
-ENTRIES = """en AS (SELECT video_id, start_seconds AS seconds, CASE WHEN is_silence THEN 'silence' ELSE 'speech' END AS kind, trim(text, ' ') AS text, end_seconds AS "end", NULL::VARCHAR AS confidence, line AS tie FROM t
-  UNION ALL SELECT video_id, seconds, 'description', CASE WHEN action <> 'Unknown' THEN action ELSE '' END, NULL, confidence, index FROM d),
+ENTRIES = """en AS (SELECT video_id, start_seconds AS seconds, CASE WHEN is_silence THEN 'silence' ELSE 'speech' END AS kind, trim(text, ' ') AS text, end_seconds AS "end", NULL::VARCHAR AS confidence, NULL::VARCHAR AS fields, line AS tie FROM t
+  UNION ALL SELECT video_id, seconds, 'description', coalesce(trim(words, ' ' || chr(9)), ''), NULL, confidence, concat_ws(',', CASE WHEN instrument <> 'Unknown' THEN '"currency_pair":' || to_json(instrument)::VARCHAR END, CASE WHEN timeframe <> 'Unknown' THEN '"timeframe":' || to_json(timeframe)::VARCHAR END,
+  CASE WHEN states <> 'Unknown' THEN '"indicators_and_states":' || to_json(states)::VARCHAR END, CASE WHEN action <> 'Unknown' THEN '"exact_action":' || to_json(action)::VARCHAR END, CASE WHEN visible <> '' THEN '"visible_text":' || to_json(visible)::VARCHAR END, CASE WHEN setup <> 'Unknown' THEN '"setup_type":' || to_json(setup)::VARCHAR END), index FROM d),
 eo AS (SELECT *, (row_number() OVER (PARTITION BY video_id ORDER BY seconds, CASE kind WHEN 'silence' THEN 0 WHEN 'speech' THEN 1 ELSE 2 END, tie))::INTEGER AS ordinal FROM en)"""
-BLOCK = "concat_ws(chr(10), printf('  picture %d', index + 1), CASE WHEN instrument <> 'Unknown' THEN '    chart: ' || instrument END, CASE WHEN timeframe <> 'Unknown' THEN '    timeframe: ' || timeframe END, CASE WHEN action <> 'Unknown' THEN '    happening: ' || action END, CASE WHEN 'Unknown' IN (instrument, timeframe, action) THEN printf('    (%d detail(s) could not be read in this picture)', (instrument = 'Unknown')::INT + (timeframe = 'Unknown')::INT + (action = 'Unknown')::INT) END, '    confidence: ' || confidence)"
+_FIELDS = [("chart", "instrument"), ("timeframe", "timeframe"), ("on screen", "states"), ("happening", "action"), ("text", "visible"), ("in words", "words"), ("kind", "setup")]
+_SHOWN = ", ".join(f"CASE WHEN {c} NOT IN ('', 'Unknown') THEN '    {label}: ' || {c} END" for label, c in _FIELDS)
+_LOST = " + ".join(f"coalesce({c} IN ('', 'Unknown'), true)::INT" for _, c in _FIELDS)
+BLOCK = f"concat_ws(chr(10), printf('  picture %d', index + 1){{mark}}, {_SHOWN}, CASE WHEN {_LOST} > 0 THEN printf('    (%d detail(s) could not be read in this picture)', {_LOST}) END, '    confidence: ' || confidence)"
 DOC = f"""en AS (SELECT video_id, start_seconds AS seconds, CASE WHEN is_silence THEN 1 ELSE 2 END AS k, '  ' || text AS text, line AS tie FROM t
-  UNION ALL SELECT video_id, seconds, 3, {BLOCK}, index FROM d{{more}}),
+  UNION ALL SELECT video_id, seconds, 3, {BLOCK}, index FROM d{{marks}}{{more}}),
 eo AS (SELECT *, (row_number() OVER (PARTITION BY video_id ORDER BY seconds, k, tie))::INTEGER AS ordinal, CASE WHEN k = 0 THEN text ELSE {hms('seconds')} || text END AS line FROM en)"""
 HEADINGS = f" UNION ALL SELECT video_id, start, 0, chr(10) || '── ' || title || ' (' || {hms('start')} || ' to ' || {hms(chr(34) + 'end' + chr(34))} || ') ──', 0 FROM sections"
-JSONL = f'''jl AS (SELECT video_id, ordinal, '{{"t":' || round_even(seconds, 3)::VARCHAR || ',"timestamp":"' || {hms('seconds')} || '","kind":"' || kind || '","text":' || to_json(text)::VARCHAR || coalesce(CASE WHEN kind <> 'description' THEN ',"end":' || round_even("end", 3)::VARCHAR END, '') || coalesce(',"confidence":"' || confidence || '"', '') || '}}' AS line FROM eo)'''
+JSONL = f'''jl AS (SELECT video_id, ordinal, '{{"t":' || round_even(seconds, 3)::VARCHAR || ',"timestamp":"' || {hms('seconds')} || '","kind":"' || kind || '","text":' || to_json(text)::VARCHAR || coalesce(CASE WHEN kind <> 'description' THEN ',"end":' || round_even("end", 3)::VARCHAR END, '') || coalesce(',"confidence":"' || confidence || '"', '') || coalesce(',"fields":{{' || nullif(fields, '') || '}}', '') || '}}' AS line FROM eo)'''
 KIND = "CASE k WHEN 0 THEN 'heading' WHEN 1 THEN 'silence' WHEN 2 THEN 'speech' ELSE 'description' END AS kind"
 
 
@@ -134,6 +140,10 @@ fold AS (
   FROM fold f JOIN cost c ON c.collection = f.collection AND c.sequence = f.sequence + 1)"""
 _last = lambda mark: f"length(w) - length(list_last(string_split(w, {mark}))) - length({mark})"
 
+_MARKDOWN = f"""SELECT video_id, ordinal, '`' || {hms('seconds')} || '` ' || CASE kind WHEN 'silence' THEN '*— ' || CASE WHEN text = '' THEN 'quiet' ELSE text END || ' —*' WHEN 'speech' THEN text ELSE '**screen:** ' || CASE WHEN text = '' THEN '(no description)' ELSE text END || coalesce(' _' || confidence || '_', '') END AS line FROM eo"""
+_SOURCE = "CASE WHEN video_id IN (SELECT video_id FROM t WHERE video_id % 3 > 0) THEN 'video ' || video_id ELSE 'Video' END"
+REASONS = "e AS (SELECT video_id, index, seconds, concat_ws(', ', CASE WHEN confidence = 'Low' THEN 'low confidence' END, CASE WHEN instrument = 'Unknown' AND timeframe = 'Unknown' AND action = 'Unknown' THEN 'hard to read' END, CASE WHEN action <> 'Unknown' THEN 'something happened' END) AS reasons FROM d)"
+
 SQL = {
     "s8_silence_log": f"WITH {LOG} SELECT * FROM win",
     "s9_trailing_silence": f"""WITH {LOG} SELECT * FROM win UNION ALL SELECT video_id, greatest(last, 0.0), 1e9::DOUBLE FROM (
@@ -184,20 +194,25 @@ SQL = {
     "w1_switches": f"WITH {D}, {SWITCH} SELECT *, CASE WHEN from_instrument <> to_instrument AND from_timeframe <> to_timeframe THEN to_instrument || ' · ' || to_timeframe WHEN from_instrument <> to_instrument THEN to_instrument ELSE to_timeframe END AS label FROM sw",
     "w2_sections": f"""WITH {D}, {SWITCH}, {CUT} SELECT video_id, start, "end", {title()} AS title, instrument, timeframe FROM cuts""",
     "w3_folded_sections": f"WITH {D}, {SWITCH}, {CUT}, {FOLD} SELECT * FROM sections",
-    "pk11_emphasis": f"""WITH {D}, e AS (SELECT video_id, index, seconds, concat_ws(', ', CASE WHEN confidence = 'Low' THEN 'low confidence' END, CASE WHEN instrument = 'Unknown' AND timeframe = 'Unknown' AND action = 'Unknown' THEN 'hard to read' END, CASE WHEN action <> 'Unknown' THEN 'something happened' END) AS reasons FROM d)
+    "pk11_emphasis": f"""WITH {D}, {REASONS}
     SELECT * FROM e WHERE reasons <> '' UNION ALL SELECT video_id, -1, start, 'long silence' FROM gaps""",
     "a21_coverage": f"""WITH {D}, l AS (UNPIVOT (SELECT instrument, timeframe, action, confidence FROM d) ON instrument, timeframe, action, confidence INTO NAME field VALUE value)
     SELECT field, count(*) AS n_rows, count(*) FILTER (value = 'Unknown') AS unknown, count(*) FILTER (value NOT IN ('', 'Unknown')) AS filled, count(DISTINCT value) FILTER (value NOT IN ('', 'Unknown')) AS distinct_values FROM l GROUP BY 1""",
-    "assemble_lines": f"WITH {D}, {T}, {SWITCH}, {CUT}, {FOLD}, {DOC.format(more=HEADINGS)} SELECT video_id, ordinal, {KIND}, line FROM eo",
-    "pk1_documents": f"""WITH {D}, {T}, {DOC.format(more='')}, b AS (SELECT video_id, string_agg(line, chr(10) ORDER BY ordinal) AS body, count(*) FILTER (k = 3) AS pictures, count(*) FILTER (k IN (1, 2)) AS said FROM eo GROUP BY 1),
+    "assemble_lines": f"WITH {D}, {T}, {SWITCH}, {CUT}, {FOLD}, {DOC.format(more=HEADINGS, mark='', marks='')} SELECT video_id, ordinal, {KIND}, line FROM eo",
+    "pk1_documents": f"""WITH {D}, {T}, {SWITCH}, {CUT}, {FOLD}, {REASONS}, {DOC.format(more=HEADINGS, mark=" || coalesce('  [' || nullif(reasons, '') || ']', '')", marks=' JOIN (SELECT video_id, index, reasons FROM e) USING (video_id, index)')},
+    b AS (SELECT video_id, string_agg(line, chr(10) ORDER BY ordinal) AS body, count(*) FILTER (k = 3) AS described, count(*) FILTER (k IN (1, 2)) AS said, count(*) FILTER (k = 0) AS parts FROM eo GROUP BY 1),
     n AS (SELECT video_id, max(end_seconds) AS duration FROM t GROUP BY 1),
-    x AS (SELECT video_id, concat_ws(chr(10), repeat('=', 72), printf('video %d', video_id), repeat('=', 72), 'Length            ' || {hms('duration')}, printf('Described         %d picture(s)', pictures), printf('Transcript lines  %d', said), '') || chr(10) || body || chr(10) AS text FROM n JOIN b USING (video_id))
+    x AS (SELECT video_id, concat_ws(chr(10), repeat('=', 72), printf('video %d', video_id), repeat('=', 72), 'Length            ' || {hms('duration')}, CASE WHEN video_id % 3 > 0 AND video_id % 7 > 0 THEN 'Picture every     ' || printf('%g', video_id % 7 * 0.5::DOUBLE) || ' seconds' END,
+      CASE WHEN video_id % 2 = 0 THEN 'Pictures          ' || format('{{:,}}', video_id * 1000) END, 'Described         ' || format('{{:,}}', described) || CASE WHEN video_id % 2 = 0 THEN '' ELSE ' picture(s)' END, 'Transcript lines  ' || format('{{:,}}', said),
+      CASE WHEN video_id % 4 > 0 THEN printf('Missing           %d picture(s) have no description (see gaps.txt)', video_id % 4) END, CASE WHEN parts > 0 THEN printf('Sections          %d', parts) END, '',
+      'Everything below is in the order it happened. Times are from the start', 'of the video.', '', body) || chr(10) AS text FROM n JOIN b USING (video_id))
     SELECT video_id, length(text)::INTEGER AS n_chars, sha256(text) AS sha256 FROM x""",
+    "k6_markdown_documents": f"""WITH {D}, {T}, {ENTRIES}, m AS ({_MARKDOWN}), x AS (SELECT video_id, '# ' || {_SOURCE} || chr(10) || chr(10) || string_agg(line, chr(10) || chr(10) ORDER BY ordinal) || chr(10) AS text FROM m GROUP BY 1) SELECT video_id, length(text)::INTEGER AS n_chars, sha256(text) AS sha256 FROM x""",
     "k7_srt": subtitles(","),
     "k7_vtt": subtitles("."),
-    "k6_markdown": f"""WITH {D}, {T}, {ENTRIES} SELECT video_id, ordinal, '`' || {hms('seconds')} || '` ' || CASE kind WHEN 'silence' THEN '*— ' || CASE WHEN text = '' THEN 'quiet' ELSE text END || ' —*' WHEN 'speech' THEN text ELSE '**screen:** ' || CASE WHEN text = '' THEN '(no description)' ELSE text END || coalesce(' _' || confidence || '_', '') END AS line FROM eo""",
+    "k6_markdown": f"WITH {D}, {T}, {ENTRIES} {_MARKDOWN}",
     "k4_jsonl": f"""WITH {D}, {T}, {ENTRIES}, {JSONL} SELECT video_id, ordinal, line FROM jl""",
-    "k5_json": f"""WITH {D}, {T}, {ENTRIES}, {JSONL} SELECT video_id, count(*) AS entries, sha256('{{"version":1,"entry_count":' || count(*) || ',"entries":[' || string_agg(line, ',' ORDER BY ordinal) || ']}}') AS sha256 FROM jl GROUP BY 1""",
+    "k5_json": f"""WITH {D}, {T}, {ENTRIES}, {JSONL} SELECT video_id, count(*) AS entries, sha256('{{"version":1,"source":"' || {_SOURCE.replace('Video', '')} || '","entry_count":' || count(*) || ',"entries":[' || string_agg(line, ',' ORDER BY ordinal) || ']}}') AS sha256 FROM jl GROUP BY 1""",
     "j12_containing_section": f"""WITH {D}, {SWITCH}, {CUT}, {FOLD} SELECT d.video_id, index, title FROM d LEFT JOIN sections s ON s.video_id = d.video_id AND d.seconds >= s.start AND d.seconds < s."end" """,
     "j13_lines_nearby": f"""WITH {T}, m AS (SELECT video_id, max(end_seconds) / 2 AS seconds FROM t GROUP BY 1) SELECT m.video_id AS moment_id, line, start_seconds AS "at" FROM m JOIN t ON t.video_id = m.video_id AND abs(start_seconds - seconds) <= 15.0""",
     "j15_nearest_picture": f"""WITH {D}, {T}, m AS (SELECT video_id, max(end_seconds) / 2 AS s FROM t GROUP BY 1) SELECT moment_id, picture, "at", off FROM (SELECT m.video_id AS moment_id, index AS picture, seconds AS "at", abs(seconds - s) AS off FROM m JOIN d USING (video_id)) QUALIFY row_number() OVER (PARTITION BY moment_id ORDER BY off, picture) = 1""",

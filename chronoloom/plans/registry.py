@@ -73,11 +73,14 @@ def _named():
 
 
 def _speech_entries(s, d):
-    """Entries with end and confidence, for the exporters."""
-    t, p = V.transcript(s, d), V.descriptions(s, d)
-    said = t.select("video_id", F.col("start_seconds").alias("seconds"), F.when(F.col("is_silence"), "silence").otherwise("speech").alias("kind"), F.trim("text").alias("text"), F.col("end_seconds").alias("end"), F.lit(None).cast("string").alias("confidence"), F.col("line").cast("long").alias("tie"))
-    seen = p.select("video_id", "seconds", F.lit("description").alias("kind"), F.when(T.readable("action"), F.col("action")).otherwise("").alias("text"), F.lit(None).cast("double").alias("end"), "confidence", F.col("index").cast("long").alias("tie"))
-    return said.unionByName(seen)
+    return timeline.exported(V.transcript(s, d), V.descriptions(s, d))
+
+
+def _names(s, d):
+    """Names of two videos of three, intervals, numbers of pictures and gaps of some."""
+    v = F.col("video_id")
+    t = V.transcript(s, d).groupBy("video_id").agg(F.max("end_seconds").alias("duration"))
+    return t.select("video_id", F.format_string("video %d", v).alias("name"), "duration", F.when(v % 3 > 0, v % 7 * 500).alias("interval_ms"), F.when(v % 2 == 0, v * 1000).alias("pictures"), (v % 4).alias("gaps"))
 
 
 def _moments(s, d):
@@ -307,8 +310,8 @@ def assemble_lines(s, d):
 
 @query
 def pk1_documents(s, d):
-    names = V.transcript(s, d).groupBy("video_id").agg(F.max("end_seconds").alias("duration")).select("video_id", F.format_string("video %d", "video_id").alias("name"), "duration")
-    text = timeline.document(timeline.entries(V.transcript(s, d), V.descriptions(s, d)), names)
+    e = enrich.emphasis(V.descriptions(s, d), ["instrument", "timeframe", "action"], _gaps(s, d))
+    text = timeline.document(timeline.entries(V.transcript(s, d), V.descriptions(s, d), _sections(s, d), e), _names(s, d))
     return text.select("video_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("sha256"))
 
 
@@ -319,7 +322,7 @@ def k4_jsonl(s, d):
 
 @query
 def k5_json(s, d):
-    j = timeline.to_json(_speech_entries(s, d))
+    j = timeline.to_json(_speech_entries(s, d), _names(s, d).where("video_id % 3 > 0"))
     return j.select("video_id", F.get_json_object("text", "$.entry_count").cast("long").alias("entries"), F.sha2("text", 256).alias("sha256"))
 
 
@@ -328,6 +331,12 @@ def k6_markdown(s, d):
     return timeline.to_markdown(_speech_entries(s, d))
 
 
+@query
+def k6_markdown_documents(s, d):
+    text = timeline.markdown_document(_speech_entries(s, d), _names(s, d).where("video_id % 3 > 0"))
+    return text.select("video_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("sha256"))
+
+
 @query
 def k7_srt(s, d):
     return timeline.to_subtitles(_speech_entries(s, d))

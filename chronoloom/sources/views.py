@@ -43,7 +43,7 @@ def stage_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """video_id, index (from 0), seconds since the video's first picture, instrument,
-    timeframe, action, confidence. Gaps between pictures are hours, not seconds."""
+    timeframe, action, states, visible, words, setup, confidence. Gaps between pictures are hours, not seconds."""
     e = load(spark, sf_dir, "events")
     w = Window.partitionBy("user_id").orderBy("event_id")
     micros = F.timestamp_diff("MICROSECOND", F.first("ts").over(w), F.col("ts"))
@@ -53,6 +53,8 @@ def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") == "error", "Unknown").otherwise(F.col("event_type")).alias("instrument"),
         F.when(bucket == 0, "Unknown").otherwise(F.concat(F.lit("tf"), bucket.cast("string"))).alias("timeframe"),
         F.when(F.col("value") > 100, F.col("props")).otherwise("Unknown").alias("action"),
+        F.when(F.col("event_id") % 3 == 0, "Unknown").otherwise(F.format_string("state %d", F.col("event_id") % 11)).alias("states"), F.when(F.col("event_id") % 4 == 0, "").otherwise(F.format_string('the "%d"', F.col("event_id"))).alias("visible"),
+        F.when(F.col("event_id") % 5 > 0, F.concat(F.lit(" a picture of "), F.col("event_type"), F.lit("\t"))).alias("words"), F.when(F.col("event_type") == "click", "setup").otherwise("Unknown").alias("setup"),
         F.when(F.col("value") < 100, "Low").when(F.col("value") < 250, "Medium").otherwise("High").alias("confidence"),
     )
 

@@ -1,0 +1,46 @@
+"""Assembled and exported documents, held against texts written out here."""
+
+import json
+
+from chronoloom.operators import timeline
+
+SAID = "video_id long, line int, start_seconds double, end_seconds double, text string, is_silence boolean"
+SEEN = "video_id long, index int, seconds double, instrument string, timeframe string, states string, action string, visible string, words string, setup string, confidence string, frame string"
+NAMES = "video_id long, name string, duration double, interval_ms int, pictures int, gaps int"
+
+
+def tables(spark):
+    said = spark.createDataFrame([(1, 0, 1.0, 2.5, "hello　", False), (1, 1, 1.0, 4.0, "", True)], SAID)
+    seen = spark.createDataFrame([(1, 0, 1.0, "A", "Unknown", None, "", "t", " w ", "s", "High", "f.jpg"), (1, 1, 9.0, *["Unknown"] * 7, "", "")], SEEN)
+    return said, seen
+
+
+def test_document(spark):
+    said, seen = tables(spark)
+    marks = spark.createDataFrame([(1, 1, ["hard to read", "low confidence"]), (1, -1, ["long silence"])], "video_id long, index int, reasons array<string>")
+    names = spark.createDataFrame([(1, "N", 3661.9, 2500, 1234, 2), (2, "empty", 0.0, None, None, None)], NAMES)
+    found = {r.video_id: r.text for r in timeline.document(timeline.entries(said, seen, None, marks), names).collect()}
+    rule = "=" * 72
+    told = "Everything below is in the order it happened. Times are from the start\nof the video.\n\n"
+    assert found[1] == (
+        f"{rule}\nN\n{rule}\nLength            01:01:01\nPicture every     2.5 seconds\nPictures          1,234\nDescribed         2\nTranscript lines  2\n"
+        f"Missing           2 picture(s) have no description (see gaps.txt)\n\n{told}"
+        "00:00:01  \n00:00:01  hello　\n"
+        "00:00:01  picture 1\n    chart: A\n    text: t\n    in words:  w \n    kind: s\n    (3 detail(s) could not be read in this picture)\n    confidence: High\n"
+        "00:00:09  picture 2  [hard to read, low confidence]\n    (7 detail(s) could not be read in this picture)\n"
+    )
+    assert found[2] == f"{rule}\nempty\n{rule}\nLength            00:00:00\nDescribed         0 picture(s)\nTranscript lines  0\n\n{told}"
+
+
+def test_exports(spark):
+    said, seen = tables(spark)
+    rows = timeline.exported(said, seen)
+    names = spark.createDataFrame([(1, 'a"b')], "video_id long, name string")
+    want = [
+        {"t": 1.0, "timestamp": "00:00:01", "kind": "silence", "text": "", "end": 4.0}, {"t": 1.0, "timestamp": "00:00:01", "kind": "speech", "text": "hello", "end": 2.5},
+        {"t": 1.0, "timestamp": "00:00:01", "kind": "description", "text": "w", "frame": "f.jpg", "confidence": "High", "fields": {"currency_pair": "A", "visible_text": "t", "setup_type": "s"}},
+        {"t": 9.0, "timestamp": "00:00:09", "kind": "description", "text": ""},
+    ]
+    assert [json.loads(r.line) for r in timeline.to_jsonl(rows).orderBy("ordinal").collect()] == want
+    assert json.loads(timeline.to_json(rows, names).first().text) == {"version": 1, "source": 'a"b', "entry_count": 4, "entries": want}
+    assert timeline.markdown_document(rows).first().text == "# Video\n\n`00:00:01` *— quiet —*\n\n`00:00:01` hello\n\n`00:00:01` **screen:** w _High_\n\n`00:00:09` **screen:** (no description)\n"
