@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tomllib
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Dollars for a million tokens in and out, tokens for a picture in and out.
@@ -16,6 +18,24 @@ OTHERS = (5.00, 15.00, 1600, 320)
 FREE = ("ollama_local",)
 
 
+# A price file's keys in the order of the tuples above, and its entries that are no providers.
+PRICE_KEYS = ("input_per_million_tokens", "output_per_million_tokens", "tokens_per_image", "output_tokens_per_image")
+NO_PROVIDERS = ("version", "currency")
+
+
+def price_file(path: str) -> dict:
+    """A TOML file's tables of providers as an overlay for `price_table`: what a table leaves out comes
+    from the built-in prices, else the careful ones. A file that is missing or broken changes nothing."""
+    try:
+        with open(path, "rb") as file:
+            found = tomllib.load(file)
+    except (OSError, tomllib.TOMLDecodeError):
+        return {}
+    tables = {name: x for name, x in found.items() if isinstance(x, dict) and name not in NO_PROVIDERS}
+    value = lambda name, x, k: x[key] if isinstance(x.get(key := PRICE_KEYS[k]), int | float) else PRICES.get(name, OTHERS)[k]
+    return {name: tuple(value(name, x, k) for k in range(len(PRICE_KEYS))) for name, x in tables.items()}
+
+
 def price_table(spark: SparkSession, own: dict | None = None) -> DataFrame:
     rows = [(name, *map(float, p[:2]), *map(int, p[2:])) for name, p in (PRICES | (own or {})).items()]
     return spark.createDataFrame(rows, "provider string, usd_in double, usd_out double, tokens_in int, tokens_out int")

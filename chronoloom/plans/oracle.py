@@ -138,6 +138,11 @@ fold AS (
     CASE WHEN c.tokens > 4000 THEN 0 WHEN f.held + c.tokens > 4000 THEN c.tokens ELSE f.held + c.tokens END,
     CASE WHEN c.tokens > 4000 THEN f.open_part + (f.held > 0)::INT WHEN f.held + c.tokens > 4000 THEN f.open_part + 1 ELSE f.open_part END, c.tokens > 4000
   FROM fold f JOIN cost c ON c.collection = f.collection AND c.sequence = f.sequence + 1)"""
+_OPEN = f"""'<video sequence="' || sequence || '" source_video_id="' || doc_id || '" processed_version="' || doc_id % 3 + 1 || '">' || chr(10) || '  <title>document ' || doc_id || '</title>' || chr(10) || '  <duration>' || {hms('length(text) / 4')} || '</duration>' || chr(10)"""
+RENDERED = FOLDING.replace("doc_id, text FROM documents)", "doc_id, text FROM documents), wrapped AS (SELECT *, chr(10) || " + _OPEN + " || chr(10) || rtrim(text, chr(10)) || chr(10) || '</video>' || chr(10) AS whole FROM docs)").replace("(length(text) + 120)", "length(whole)").replace("AS tokens FROM docs)", "AS tokens FROM wrapped)") + """,
+summed AS (SELECT collection, part, sum(tokens)::BIGINT AS tokens, sum(over::INT) AS warned, string_agg('document ' || doc_id, ', ' ORDER BY sequence) AS documents, string_agg(whole, '' ORDER BY sequence) AS body FROM fold JOIN cost USING (collection, sequence) JOIN wrapped USING (collection, sequence) GROUP BY ALL),
+rendered AS (SELECT *, max(part) OVER (PARTITION BY collection) AS parts, printf('collection-pack-%03d.md', part) AS filename, '# ' || collection || ' — part ' || part || ' of ' || max(part) OVER (PARTITION BY collection) || chr(10) || chr(10) || '- **Contains:** ' || documents || chr(10) || '- **Size:** about ' || format('{:,}', tokens) || ' tokens (an estimate)' || chr(10)
+  || '- **Sized for:** a model' || chr(10) || chr(10) || 'Read the parts in order. Each is a slice of one collection, and the' || chr(10) || 'boundaries below say exactly which video and which version each piece' || chr(10) || 'came from.' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || trim(body, ' ' || chr(10) || chr(9)) || chr(10) AS text FROM summed)"""
 _last = lambda mark: f"length(w) - length(list_last(string_split(w, {mark}))) - length({mark})"
 
 _MARKDOWN = f"""SELECT video_id, ordinal, '`' || {hms('seconds')} || '` ' || CASE kind WHEN 'silence' THEN '*— ' || CASE WHEN text = '' THEN 'quiet' ELSE text END || ' —*' WHEN 'speech' THEN text ELSE '**screen:** ' || CASE WHEN text = '' THEN '(no description)' ELSE text END || coalesce(' _' || confidence || '_', '') END AS line FROM eo"""
@@ -149,6 +154,9 @@ SQL = {
     "s9_trailing_silence": f"""WITH {LOG} SELECT * FROM win UNION ALL SELECT video_id, greatest(last, 0.0), 1e9::DOUBLE FROM (
       SELECT video_id, count(*) FILTER (m = 's') AS ns, count(*) FILTER (m = 'e') AS ne, arg_max(x, n) FILTER (m = 's') AS last FROM log GROUP BY 1) WHERE ns > ne""",
     "s10_picture_names": f"""WITH {V}, {PLAN.format(iv='120.0::DOUBLE')} SELECT job_id, sequence, (index + 1)::INTEGER AS number, trunc("at")::INTEGER AS "at" FROM p""",
+    "s10_listing": f"""WITH l AS (SELECT 'frames/' || user_id AS folder, event_id % 4 AS kind, event_id AS n, CASE event_id % 4 WHEN 0 THEN printf('%06d_t%06d.jpg', event_id, event_id % 240000) WHEN 1 THEN printf('shot %d.jpg', event_id) ELSE printf('%d_t12.jpg', event_id) END AS filename FROM events WHERE event_id % 4 < 3),
+      p AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY encode(filename)) - 1 AS place, CASE kind WHEN 0 THEN n % 240000 // 10000 * 3600 + n % 240000 // 100 % 100 * 60 + n % 100 ELSE 0 END AS seconds FROM l)
+      SELECT folder, filename, CASE kind WHEN 1 THEN place ELSE n END AS index, seconds, {hms('seconds')} AS label FROM p""",
     "s13_collection_sources": "SELECT l.doc_id, coalesce(source, 'none') AS collection, length(coalesce(text, '(this document is missing)'))::INTEGER AS n_chars FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id",
     "s17_path_list": """SELECT doc_id, count(*) AS paths, sha256(string_agg(path, chr(10) ORDER BY i)) AS sha256 FROM (SELECT doc_id, i, trim(trim(line, ' '), '"''') AS path FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)) WHERE path <> '' AND NOT starts_with(path, '#') GROUP BY 1""",
     "s24_speech_windows": f"WITH {T} SELECT video_id, line, greatest(0.0, start_seconds - 5) AS start, trim(text, ' ') AS text FROM t WHERE trim(text, ' ') <> ''",
@@ -265,8 +273,15 @@ SQL = {
     "j9_merged": f"WITH {D} SELECT video_id, index, CASE WHEN index % 3 = 0 THEN 'again' ELSE action END AS action FROM d WHERE index % 3 = 0 OR index % 2 = 0",
     "pk12_rerun_range": f"WITH {D} SELECT video_id, index FROM d WHERE index BETWEEN 3 AND 9",
     "w12_versions": f"WITH {V} SELECT job_id, sequence, version, CASE WHEN sequence % 2 = 0 THEN version = 1 ELSE active END AS active FROM videos",
-    "pk2_full_document": """WITH docs AS (SELECT source AS collection, (row_number() OVER (PARTITION BY source ORDER BY doc_id))::INTEGER AS sequence, doc_id, text FROM documents)
-    SELECT collection, sequence, 0 AS part, sha256('<video sequence="' || sequence || '" source_video_id="' || doc_id || '">') AS sha256 FROM docs UNION ALL SELECT collection, sequence, 1, sha256(rtrim(text, chr(10))) FROM docs UNION ALL SELECT collection, sequence, 2, sha256('</video>') FROM docs""",
+    "pk2_full_document": f"""WITH docs AS (SELECT source AS collection, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS sequence, doc_id, text FROM documents), x AS (
+      SELECT collection, 0::BIGINT AS sequence, 0 AS part, concat_ws(chr(10), repeat('=', 72), 'All of ' || collection, repeat('=', 72), CASE WHEN length(collection) % 2 = 1 THEN 'What it holds' || chr(10) END, 'Videos            ' || count(*), 'Total length      ' || {hms('sum(length(text) / 4)')},
+        CASE WHEN collection <> 'web' THEN 'Warnings          ' || length(collection) END, '', CASE WHEN collection = 'web' THEN 'The videos appear in the order you set. Each one is marked with a clear' ELSE 'The videos appear in the order you set. Each is wrapped in a clear' END, 'boundary so a reader knows where one ends and the next begins.', '') AS line FROM docs GROUP BY collection
+      UNION ALL SELECT collection, sequence, 0, chr(10) || {_OPEN} || CASE WHEN doc_id % 10 = 0 THEN '  <note>Older wording</note>' || chr(10) ELSE '' END FROM docs UNION ALL SELECT collection, sequence, 1, rtrim(text, chr(10)) FROM docs UNION ALL SELECT collection, sequence, 2, '</video>' || chr(10) FROM docs)
+    SELECT collection, sequence, part, sha256(line) AS sha256 FROM x""",
+    "pk7_parts": f"""WITH RECURSIVE {RENDERED} SELECT collection, part, parts, filename, documents, tokens, sha256(text) AS sha256 FROM rendered""",
+    "k14_build": f"""WITH RECURSIVE {RENDERED} SELECT collection, n AS documents, seconds, tokens, parts, warnings, checksums FROM
+      (SELECT source AS collection, count(*) AS n, round_even(sum(length(text) / 4), 3) AS seconds FROM documents GROUP BY 1)
+      JOIN (SELECT collection, sum(tokens)::BIGINT AS tokens, count(*) AS parts, sum(warned)::BIGINT AS warnings, sha256(string_agg(filename || ' ' || sha256(text), chr(10) ORDER BY part)) AS checksums FROM rendered GROUP BY 1) USING (collection)""",
     "pk3_split": f"""WITH RECURSIVE c AS (
       SELECT doc_id, 0 AS piece, ''::VARCHAR AS chunk, text AS rest FROM documents
       UNION ALL

@@ -119,6 +119,14 @@ def s10_every_picture_name(s, d):
     return _every_picture(s, d).select("video_id.*", *_named())
 
 
+@query
+def s10_listing(s, d):
+    """Pictures of folders by their names: with number and time, without either, and other files."""
+    n = F.col("event_id")
+    name = F.when(n % 4 == 0, F.format_string("%06d_t%06d.jpg", n, n % 240000)).when(n % 4 == 1, F.format_string("shot %d.jpg", n)).when(n % 4 == 2, F.format_string("%d_t12.jpg", n)).otherwise("notes.png")
+    return readers.picture_listing(V.load(s, d, "events").select(F.concat(F.format_string("frames/%d/", "user_id"), name).alias("path")))
+
+
 @query
 def s13_collection_sources(s, d):
     """Missing documents keep a row with a placeholder."""
@@ -590,12 +598,46 @@ def w12_versions(s, d):
 # ------------------------------------------------------------------ packing
 
 
+def _named_documents(s, d):
+    """Documents with a name, version, length, and a note on some."""
+    n = F.col("doc_id")
+    return V.documents(s, d).select("*", F.format_string("document %d", n).alias("name"), (n % 3 + 1).alias("version"), (F.length("text") / 4).alias("seconds"), F.when(n % 10 == 0, "Older wording").alias("note"))
+
+
 @query
 def pk2_full_document(s, d):
-    x = packing.full_document_lines(V.documents(s, d))
+    c = V.documents(s, d).select("collection").distinct()
+    odd = F.length("collection") % 2 == 1
+    about = c.select("collection", F.concat(F.lit("All of "), F.col("collection")).alias("title"), F.when(odd, F.lit("What it holds")).alias("description"), F.when(F.col("collection") != "web", F.length("collection")).alias("warnings"))
+    x = packing.full_document_lines(_named_documents(s, d), about)
     return x.select("collection", "sequence", "part", F.sha2("line", 256).alias("sha256"))
 
 
+def _built(s, d, budget=4000, allow_split=False):
+    docs = _named_documents(s, d)
+    pieces = packing.units(docs, budget, allow_split)
+    return docs, pieces, packing.render_parts(pieces, budget, "a model")
+
+
+@query
+def pk7_parts(s, d):
+    _, _, parts = _built(s, d)
+    return parts.select("collection", "part", "parts", "filename", F.array_join("documents", ", ").alias("documents"), "tokens", "sha256")
+
+
+@query
+def pk7_split_parts(s, d):
+    """Rows only: documents beyond 2,000 tokens are cut; held against a plain version in the tests."""
+    _, _, parts = _built(s, d, 2000, True)
+    return parts.select("collection", "part", "parts", "filename", F.array_join("documents", ", ").alias("documents"), "tokens", "sha256")
+
+
+@query
+def k14_build(s, d):
+    docs, pieces, parts = _built(s, d)
+    return packing.build_record(docs, parts, packing.part_warnings(pieces, 4000))
+
+
 @query
 def pk3_split(s, d):
     x = packing.split_sections(V.load(s, d, "documents").select(F.col("doc_id").alias("key"), "text"), 2000)

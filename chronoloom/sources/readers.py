@@ -3,11 +3,14 @@ Unknown keys are dropped and missing ones take defaults."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from ..functions.timefmt import hms
+from ..operators.timeline import KEYS, exported
 
 FRAMES = "source_filename string, duration_seconds double, frames array<struct<index:int, timestamp_seconds:double, timestamp:string, clean_filename:string, api_filename:string, batch_id:string, batch_index:int>>"
 TRANSCRIPT = "source_filename string, segments array<struct<start_seconds:double, end_seconds:double, text:string, is_silence:boolean>>"
-DESCRIPTIONS = "descriptions array<struct<index:int, timestamp_seconds:double, instrument:string, timeframe:string, action:string, confidence:string, clean_filename:string>>, skips array<struct<index:int, reason:string, attempts:int>>"
+DESCRIPTIONS = "descriptions array<struct<index:int, timestamp_seconds:double, " + ", ".join(f"{key}:string" for key in KEYS.values()) + ", confidence:string, clean_filename:string>>, skips array<struct<index:int, reason:string, attempts:int>>"
 SILENCES = "windows array<struct<start:double, `end`:double>>"
 RERUN = "scope string, from_version int, indices array<int>, carried_over int"
 
@@ -27,9 +30,24 @@ def transcript(spark: SparkSession, paths) -> DataFrame:
 
 
 def descriptions(spark: SparkSession, paths) -> DataFrame:
-    """With the number of pictures that were skipped; unreadable files give no rows."""
+    """Pictures in this library's names, with the number of pictures that were skipped; unreadable files give no rows."""
     d = _json(spark, paths, DESCRIPTIONS)
-    return d.select("video_id", F.coalesce(F.size("skips"), F.lit(0)).alias("skipped"), F.inline(F.coalesce("descriptions", F.array().cast(d.schema["descriptions"].dataType))))
+    rows = d.select("video_id", F.coalesce(F.size("skips"), F.lit(0)).alias("skipped"), F.inline(F.coalesce("descriptions", F.array().cast(d.schema["descriptions"].dataType))))
+    return rows.withColumnsRenamed({key: name for name, key in KEYS.items()} | {"timestamp_seconds": "seconds", "clean_filename": "frame"})
+
+
+def timeline(spark: SparkSession, transcripts, described=None) -> DataFrame:
+    """Entries (as `exported`) of videos' transcript files and, where there are any, description files.
+    Descriptions are optional; those of a video without a transcript file are an error when the
+    rows are read, and no transcript file at all is one at once."""
+    files = _json(spark, transcripts, TRANSCRIPT).select("video_id").distinct()
+    if described is None:
+        nothing = spark.createDataFrame([], "video_id string, seconds double, confidence string, frame string, index int, " + ", ".join(f"{name} string" for name in KEYS))
+        return exported(transcript(spark, transcripts), nothing)
+    seen = descriptions(spark, described).join(files.withColumn("_there", F.lit(True)), "video_id", "left")
+    no_transcript = F.raise_error(F.concat(F.lit("no transcript of video "), F.col("video_id")))
+    seen = seen.withColumn("index", F.when(F.col("_there"), F.col("index")).otherwise(no_transcript.cast("int")))
+    return exported(transcript(spark, transcripts), seen)
 
 
 def silences(spark: SparkSession, paths) -> DataFrame:
@@ -47,6 +65,19 @@ def log_lines(spark: SparkSession, paths) -> DataFrame:
     return t.select("video_id", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
 
 
+def picture_listing(paths: DataFrame) -> DataFrame:
+    """folder, filename, index, seconds and label of each .jpg of a path listing (path), by its name
+    NNNNNN_tHHMMSS.jpg; without a number the place in its folder, without a time 0."""
+    p = paths.where(F.endswith("path", F.lit(".jpg"))).select(F.regexp_replace("path", "/?[^/]*$", "").alias("folder"), F.regexp_extract("path", "[^/]*$", 0).alias("filename"))
+    place = F.row_number().over(Window.partitionBy("folder").orderBy("filename")) - 1
+    stem = F.regexp_replace("filename", "\\.jpg$", "")
+    number = F.nullif(F.regexp_extract(stem, "^([0-9]+)_t", 1), F.lit("")).cast("long")
+    digits = F.regexp_extract(stem, "^(?:(?!_t).)*_t([0-9]{6})$", 1)
+    two = lambda k: F.nullif(F.substring(digits, k, 2), F.lit("")).cast("long")
+    seconds = F.coalesce(two(1) * 3600 + two(3) * 60 + two(5), F.lit(0).cast("long"))
+    return p.select("folder", "filename", F.coalesce(number, place).alias("index"), seconds.alias("seconds"), hms(seconds).alias("label"))
+
+
 def importable(paths: DataFrame) -> DataFrame:
     """Folders of a path listing (path) that hold an assembled document, each once, apart from
     copies kept for analysis."""

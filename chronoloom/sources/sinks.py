@@ -31,6 +31,16 @@ def verified(registered: DataFrame, present: DataFrame) -> DataFrame:
     return both.select("path", problem.alias("problem"))
 
 
+def write_collections(parts: DataFrame, record: DataFrame, warnings: DataFrame, path: str) -> None:
+    """A build: every part as a text in a folder of its collection and name, digests and boundaries
+    beside them, warnings, and the record last, so that a folder with a record is complete."""
+    value = F.left("text", F.length("text") - 1)  # the writer puts the last break back
+    parts.select("collection", "filename", value.alias("value")).write.partitionBy("collection", "filename").text(f"{path}/parts")
+    parts.drop("text").write.json(f"{path}/manifest")
+    warnings.write.json(f"{path}/warnings")
+    record.write.json(f"{path}/record")
+
+
 # The groups that can be removed, and the names in a video's folder that belong to each.
 GROUPS = (
     ("audio", ("audio.wav",)), ("api_frames", ("frames_api",)), ("frames", ("frames",)), ("descriptions", ("batches", "visual_results.json", "gaps.txt")),

@@ -44,3 +44,87 @@ def test_exports(spark):
     assert [json.loads(r.line) for r in timeline.to_jsonl(rows).orderBy("ordinal").collect()] == want
     assert json.loads(timeline.to_json(rows, names).first().text) == {"version": 1, "source": 'a"b', "entry_count": 4, "entries": want}
     assert timeline.markdown_document(rows).first().text == "# Video\n\n`00:00:01` *— quiet —*\n\n`00:00:01` hello\n\n`00:00:01` **screen:** w _High_\n\n`00:00:09` **screen:** (no description)\n"
+
+
+def plain_parts(docs, budget, split):
+    """Documents (sequence, id, name, version, seconds, text) of one collection to (label, text) a part, one at a time."""
+    cost = lambda text: round(len(text) / 3.6) + 200
+    parts, held = [[]], 0
+
+    def alone(label, text):
+        nonlocal held
+        if parts[-1]:
+            parts.append([])
+        parts[-1].append((label, text))
+        parts.append([])
+        held = 0
+
+    for sequence, key, name, version, seconds, text in docs:
+        tag = f'\n<video sequence="{sequence}" source_video_id="{key}" processed_version="{version}"'
+        rest = f">\n  <title>{name}</title>\n  <duration>{seconds // 3600:02d}:{seconds // 60 % 60:02d}:{seconds % 60:02d}</duration>\n\n"
+        whole = tag + rest + text.rstrip("\n") + "\n</video>\n"
+        if cost(whole) <= budget:
+            if held + cost(whole) > budget:
+                parts.append([])
+                held = 0
+            parts[-1].append((name, whole))
+            held += cost(whole)
+        elif not split:
+            alone(name, whole)
+        else:
+            chunks, most = [], int(budget * 3.6) - len(tag + rest) - 4000
+            while len(text) > most:
+                at = next((k for mark in ("\n── ", "\n\n", "\n") if (k := text[:most].rfind(mark)) > 0), most)
+                chunks.append(text[:at])
+                text = text[at:]
+            chunks += [text] if text.strip() else []
+            for k, chunk in enumerate(chunks, 1):
+                tail = chunks[k - 2][-2000:] if k > 1 else ""
+                body = f"  <continues_from_previous_part>\n{tail}\n  </continues_from_previous_part>\n\n{chunk}" if tail else chunk
+                alone(f"{name} (part {k})", f'{tag} part="{k}" of="{len(chunks)}"' + rest + body.rstrip("\n") + "\n</video>\n")
+    return [p for p in parts if p]
+
+
+def test_parts(spark, tmp_path):
+    import os
+
+    from chronoloom.operators import packing
+    from chronoloom.sources import sinks
+
+    texts = ["short\n\n", "a" * 900 + "\n\n" + "b" * 9000, None, "line\n" * 2500 + "\n── more\n" + "end " * 400, "x" * 1500, "y" * 1500, ""]
+    docs = [(k, k * 7, f"doc {k}", 1 + k % 2, k * 1000, t or "") for k, t in enumerate(texts, 1)]
+    rows = [(c, *x[:5], t) for c in ("p", "q") for x, t in zip(docs, texts, strict=True)]
+    frame = spark.createDataFrame(rows, "collection string, sequence int, doc_id long, name string, version int, seconds int, text string")
+    for split in (False, True):
+        pieces = packing.units(frame, 2000, split)
+        parts = packing.render_parts(pieces, 2000)
+        found = {(r.collection, r.part): r for r in parts.collect()}
+        want = plain_parts(docs, 2000, split)
+        assert sorted(found) == [(c, k) for c in ("p", "q") for k in range(1, len(want) + 1)]
+        for (c, k), r in found.items():
+            assert r.documents == [label for label, _ in want[k - 1]] and r.parts == len(want)
+            note = [f"- **Note:** {label.rsplit(' (part', 1)[0]}{packing.CUT_NOTE}" for label, _ in want[k - 1] if "(part" in label]
+            head = [f"# {c} — part {k} of {len(want)}", "", f"- **Contains:** {', '.join(r.documents)}", f"- **Size:** about {r.tokens:,} tokens (an estimate)", *note, "", *packing.READ_IN_ORDER, "", "---", ""]
+            assert r.text == "\n".join([*head, "".join(t for _, t in want[k - 1]).strip(), ""])
+        warned = [r.warning for r in packing.part_warnings(pieces, 2000).where("collection = 'p'").orderBy("sequence").collect()]
+        assert len(warned) == 2 and all(("was split across" if split else "too big to fit") in w for w in warned)
+    record = packing.build_record(frame, parts, packing.part_warnings(pieces, 2000))
+    assert [(r.collection, r.documents, r.seconds, r.parts, r.warnings) for r in record.orderBy("collection").collect()] == [(c, 7, 28000, len(want), 2) for c in ("p", "q")]
+    sinks.write_collections(parts, record, packing.part_warnings(pieces, 2000), f"{tmp_path}/build")
+    folder = f"{tmp_path}/build/parts/collection=p/filename=collection-pack-001.md"
+    assert "".join(open(f"{folder}/{f}").read() for f in os.listdir(folder) if f.startswith("part-")) == found["p", 1].text
+    assert spark.read.json(f"{tmp_path}/build/record").count() == 2
+
+
+def test_price_file(spark, tmp_path):
+    from chronoloom.operators import costs
+
+    file = tmp_path / "prices.toml"
+    assert costs.price_file(str(file)) == {}
+    file.write_text('version = 2\n[currency]\nname = "USD"\n[google]\ninput_per_million_tokens = 9\ntokens_per_image = "many"\n[mine]\noutput_tokens_per_image = 7\n')
+    own = costs.price_file(str(file))
+    assert own == {"google": (9, 2.5, 1300, 320), "mine": (5.0, 15.0, 1600, 7)}
+    table = {r.provider: tuple(r)[1:] for r in costs.price_table(spark, own).collect()}
+    assert table["google"] == (9.0, 2.5, 1300, 320) and table["mine"] == (5.0, 15.0, 1600, 7) and table["anthropic"] == (3.0, 15.0, 1600, 320)
+    file.write_text("[broken")
+    assert costs.price_file(str(file)) == {}

@@ -11,7 +11,7 @@ def test_readers(spark, tmp_path):
     put = lambda name, x: (tmp_path / "v1" / name).write_text(x if isinstance(x, str) else json.dumps(x))
     put("frames.json", {"frames": [{"index": 0, "timestamp_seconds": 0.0, "extra": 1}, {"index": 1, "timestamp_seconds": 2.0}]})
     put("transcript.json", {"segments": [{"start_seconds": 0.5, "end_seconds": 1, "text": "hi"}, {"start_seconds": 2, "end_seconds": 3, "is_silence": True}]})
-    put("visual.json", {"descriptions": [{"index": 0, "instrument": "A"}], "skips": [{"index": 1, "reason": "x", "attempts": 2}]})
+    put("visual.json", {"descriptions": [{"index": 0, "currency_pair": "A", "timestamp_seconds": 2.0, "visual_description": " w "}], "skips": [{"index": 1, "reason": "x", "attempts": 2}]})
     put("broken.json", "{not json")
     put("plan.json", {"indices": [1, 2]})
     put("log.txt", "a\nb\nc")
@@ -39,3 +39,28 @@ def test_throttled_stream(spark, tmp_path):
     assert sorted(out) == [0, 2, 4]
     counts = events.totals_now(events.hourly_counts(events.read(spark, f"{tmp_path}/in")), f"file://{tmp_path}")
     assert [r.n for r in counts.collect()] == [6]
+
+
+def test_timeline_of_files(spark, tmp_path):
+    import pytest
+
+    for name, file, x in [("v1", "t", {"segments": [{"start_seconds": 1, "text": " a "}]}), ("v2", "t", {"segments": []}), ("v1", "d", {"descriptions": [{"index": 0, "timestamp_seconds": 2, "setup_type": "s", "clean_filename": "f.jpg"}]}), ("v2", "d", {"descriptions": [{"index": 0}]})]:
+        (tmp_path / name).mkdir(exist_ok=True)
+        (tmp_path / name / f"{file}.json").write_text(json.dumps(x))
+    at = lambda name: f"{tmp_path}/*/{name}.json"
+    show = lambda df: [(r.video_id, r.seconds, r.kind, r.text, r.end, r.frame, r.fields) for r in df.orderBy("video_id", "seconds").collect()]
+    said = ("v1", 1.0, "speech", "a", 0.0, None, None)
+    assert show(readers.timeline(spark, at("t"))) == [said]
+    assert show(readers.timeline(spark, at("t"), at("d"))) == [said, ("v1", 2.0, "description", "", None, "f.jpg", {"setup_type": "s"}), ("v2", 0.0, "description", "", None, None, None)]
+    (tmp_path / "v2" / "t.json").unlink()
+    with pytest.raises(Exception, match="no transcript of video v2"):
+        readers.timeline(spark, at("t"), at("d")).collect()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        readers.timeline(spark, at("none"))
+
+
+def test_picture_listing(spark):
+    names = ["000046_t000132.jpg", "a_t000001.jpg", "7_t99.jpg", "plain.jpg", "9_t000001_t000002.jpg", "000001_t000000.png"]
+    found = readers.picture_listing(spark.createDataFrame([(f"x/y/{n}",) for n in names] + [("b.jpg",)], "path string"))
+    want = [("", "b.jpg", 0, 0, "00:00:00"), ("x/y", "000046_t000132.jpg", 46, 92, "00:01:32"), ("x/y", "7_t99.jpg", 7, 0, "00:00:00"), ("x/y", "9_t000001_t000002.jpg", 9, 0, "00:00:00"), ("x/y", "a_t000001.jpg", 3, 1, "00:00:01"), ("x/y", "plain.jpg", 4, 0, "00:00:00")]
+    assert sorted(tuple(r) for r in found.collect()) == want
