@@ -125,7 +125,9 @@ def exported(transcript: DataFrame, descriptions: DataFrame) -> DataFrame:
 
 
 def to_jsonl(rows: DataFrame) -> DataFrame:
-    """One JSON line for each entry of `exported`, without blanks; absent keys are left out."""
+    """One JSON line for each entry of `exported`, without blanks; absent keys and columns are left out."""
+    for column, kind in (("frame", "string"), ("fields", "map<string,string>")):
+        rows = rows if column in rows.columns else rows.withColumn(column, F.lit(None).cast(kind))
     record = F.struct(F.bround("seconds", 3).alias("t"), hms("seconds").alias("timestamp"), "kind", "text", F.when(F.col("kind") != "description", F.bround("end", 3)).alias("end"), "frame", "confidence", "fields")
     return ordered(rows, EXPORT_ORDER).select("video_id", "ordinal", F.to_json(record).alias("line"))
 
