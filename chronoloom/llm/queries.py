@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, context_tree, decontaminate, licences, minhash, neighbours, substring_dedup, token_counts, toxicity, warc
+from . import bpe, context_tree, decontaminate, hard_negatives, importance, licences, line_dedup, minhash, neighbours, substring_dedup, token_counts, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +63,21 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(items.cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.report(table(spark, sf_dir, "documents"), least=3, length=20)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, least=20, seed=42)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    vectors = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(vectors, vectors.where("vec_id % 100 = 0"), positives=5, negatives=5)
+
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 _OP9_SQL = f"""
@@ -173,6 +188,70 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+_OP11_SQL = r"""
+WITH l AS (
+  SELECT doc_id, k, lines[k] AS line, translate(trim(lines[k], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS k FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))
+),
+held AS (SELECT key, max(doc_id) AS keeper FROM l WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+judged AS (SELECT doc_id, k, line, coalesce(keeper <> doc_id, false) AS gone FROM l LEFT JOIN held USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+#: crc32 bit by bit has no SQL function; its table is made by the recursion, bytes are folded by list_reduce.
+_OP12_SQL = r"""
+WITH RECURSIVE step(b, c, k) AS (
+  SELECT range, range, 0 FROM range(256)
+  UNION ALL SELECT b, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM step WHERE k < 8
+),
+tab AS MATERIALIZED (SELECT list(c ORDER BY b) AS t FROM step WHERE k = 8),
+w AS (
+  SELECT 'd' AS side, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+  UNION ALL SELECT 'b', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+),
+f AS MATERIALIZED (
+  SELECT side, id, f, count(*) AS n FROM (
+    SELECT side, id, unnest(words) AS f FROM w
+    UNION ALL SELECT side, id, unnest(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) FROM w WHERE len(words) > 1
+    UNION ALL SELECT side, id, unnest(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) FROM w WHERE len(words) > 2
+  ) GROUP BY ALL
+),
+crc AS MATERIALIZED (
+  SELECT f, xor(list_reduce(list_transform(range(0, strlen(f)), lambda i: ('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::BIGINT), lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT f FROM f), tab
+),
+x AS MATERIALIZED (SELECT side, id, bucket, n FROM f JOIN crc USING (f)),
+g AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (S_all + 10000)::DOUBLE / ((s + 1)::DOUBLE * (T_all + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM (SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0)::BIGINT AS s, coalesce(sum(n) FILTER (side = 'b'), 0)::BIGINT AS t FROM x GROUP BY bucket) p,
+    (SELECT coalesce(sum(n) FILTER (side = 'd'), 0)::BIGINT AS S_all, coalesce(sum(n) FILTER (side = 'b'), 0)::BIGINT AS T_all FROM x) q
+),
+d AS (SELECT id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM x JOIN g USING (bucket) WHERE side = 'd' GROUP BY id),
+scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, len(words) AS n_words,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT::DOUBLE + 0.5) / 4294967296)))::BIGINT AS score
+  FROM documents LEFT JOIN d ON id = doc_id JOIN (SELECT id AS wid, words FROM w WHERE side = 'd') ON wid = doc_id
+),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * n // 100 THEN place END AS rank FROM scored LEFT JOIN placed USING (doc_id)
+"""
+
+_OP13_SQL = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS MATERIALIZED (SELECT a.vec_id AS a, c.vec_id AS c, a.label = c.label AS same, list_inner_product(a.e, c.e)::BIGINT AS score FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT a, c AS positive, score AS ps FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, c) <= 5),
+n AS (
+  SELECT p.a, positive, ps, c AS negative, score AS ns, row_number() OVER (PARTITION BY p.a, positive ORDER BY score DESC, c) AS r
+  FROM p JOIN s ON s.a = p.a AND NOT same AND 80 * ps <= 100 * score AND 100 * score <= 100 * ps
+)
+SELECT a AS anchor_id, positive AS positive_id, r::INTEGER AS rank, negative AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE r <= 5
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
@@ -185,6 +264,9 @@ def queries() -> dict[str, Query]:
         "op8_toxicity": op8_toxicity,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_decontaminate": op10_decontaminate,
+        "op11_line_dedup": op11_line_dedup,
+        "op12_importance_resampling": op12_importance_resampling,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
@@ -196,4 +278,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_neighbours": _OP7_SQL,
         "op9_substring_dedup": _OP9_SQL,
         "op10_decontaminate": _OP10_SQL,
+        "op11_line_dedup": _OP11_SQL,
+        "op12_importance_resampling": _OP12_SQL,
+        "op13_hard_negatives": _OP13_SQL,
     }
