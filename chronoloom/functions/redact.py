@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from .text import strip
+
 # The mask, and patterns with their replacements, applied in this order (Java syntax:
 # blanks, word edges and letter case by Unicode; four separators count as blanks too).
 MASK = "[REDACTED]"
@@ -59,7 +61,7 @@ def sensitive_name(name: str) -> bool:
 
 def sensitive_key(name) -> Column:
     """True where a key names a credential: a whole name, or a segment of one."""
-    low = F.lower(F.trim(F.col(name) if isinstance(name, str) else name))
+    low = F.lower(strip(name))
     return low.isin(*SENSITIVE_NAMES) | low.rlike(_SENSITIVE)
 
 

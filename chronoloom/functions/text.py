@@ -46,7 +46,7 @@ def token_estimate(chars) -> Column:
 
 def confidence(value) -> Column:
     """High, Medium or Low from words or numbers (percent above 1); anything else is Low."""
-    t = F.lower(F.trim(_c(value).cast("string")))
+    t = F.lower(strip(_c(value).cast("string")))
     n = F.when(t.rlike(NUMBER), F.replace(t, F.lit("_"), F.lit("")).try_cast("double"))
     n = F.when(n > 1.0, n / 100.0).otherwise(n)
     return (
@@ -57,8 +57,8 @@ def confidence(value) -> Column:
 
 def picture_label(value) -> Column:
     """1, 01, IDX 01 and idx_1 are one label of two digits or more; null for anything else."""
-    t = F.regexp_replace(F.regexp_replace(F.upper(F.trim(_c(value).cast("string"))), "^IDX", ""), "^[ _:-]+|[ _:-]+$", "")
-    n = t.try_cast("int")
+    t = F.regexp_replace(F.regexp_replace(F.upper(strip(_c(value).cast("string"))), "^IDX", ""), "^[ _:-]+|[ _:-]+$", "")
+    n = strip(t).try_cast("bigint")
     return F.when(n.isNotNull(), F.when(F.abs(n) > 99, n.cast("string")).otherwise(F.format_string("%02d", n)))
 
 
@@ -102,8 +102,8 @@ def leading_version(text) -> Column:
 
 
 def supported(path) -> Column:
-    """True for the extensions of videos, in any letter case."""
-    return extension(path).isin(*VIDEO_EXTENSIONS)
+    """True for the extensions of videos, in any letter case, behind a name: `.mp4` alone has none."""
+    return extension(path).isin(*VIDEO_EXTENSIONS) & ~_c(path).rlike(r"(?:^|/)\.*[^./]*$")
 
 
 def _plain(name: str | None) -> str | None:

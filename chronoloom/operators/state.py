@@ -38,9 +38,9 @@ def status_class(status: Column) -> Column:
 
 
 def latest(runs: DataFrame, *keys: str, by: str = "attempt") -> DataFrame:
-    """The row of the highest attempt of each key (one aggregate, no window sort)."""
+    """The row of the highest attempt of each key (one aggregate, no window sort); of equal ones always the same."""
     rest = [c for c in runs.columns if c not in keys]
-    best = runs.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(by)).alias("r"))
+    best = runs.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(by, F.xxhash64(*rest))).alias("r"))
     return best.select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
@@ -136,10 +136,12 @@ def stale(heartbeat_age: Column) -> Column:
 
 
 def upsert(existing: DataFrame, new: DataFrame, key: str, order: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Latest row of each key by `order`; the columns in `keep` stay as they first were."""
-    rows = existing.unionByName(new)
-    rest = [c for c in rows.columns if c not in (key, *keep)]
-    out = rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("r"), *[F.min_by(c, F.col(order)).alias(c) for c in keep])
+    """Latest row of each key by `order`, a new one before an existing one of the same order (and
+    always the same of several new ones); the columns in `keep` stay as they first were."""
+    rows = existing.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    rest = [c for c in rows.columns if c not in (key, "_new", *keep)]
+    place = F.struct(order, "_new", F.xxhash64(*rest))
+    out = rows.groupBy(key).agg(F.max_by(F.struct(*rest), place).alias("r"), *[F.min_by(c, place).alias(c) for c in keep])
     return out.select(key, *keep, *[F.col(f"r.{c}").alias(c) for c in rest])
 
 

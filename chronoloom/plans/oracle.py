@@ -185,8 +185,9 @@ SQL = {
     "e4_confidence": """WITH e AS (SELECT event_id, CASE event_id % 5 WHEN 3 THEN CASE WHEN round_even(value / 500, 2) > 1 THEN round_even(value / 500, 2) / 100 ELSE round_even(value / 500, 2) END WHEN 4 THEN CASE WHEN event_id % 35 IN (4, 9, 14) THEN NULL WHEN floor(value) > 1 THEN floor(value) / 100 ELSE floor(value) END END AS n FROM events)
     SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'High' WHEN event_id % 5 = 1 THEN 'Medium' WHEN n >= 0.8 THEN 'High' WHEN n >= 0.5 THEN 'Medium' ELSE 'Low' END AS confidence FROM e""",
     "x1_redact": f"SELECT doc_id, {_rules('text')} AS text FROM documents",
-    "p13_sensitive_keys": """WITH n AS (SELECT DISTINCT ['token', 'api', 'auth', 'user', 'access'][event_id % 5 + 1] || '_' || ['limit', 'key', 'token', 'name'][event_id % 4 + 1] AS name FROM events)
-    SELECT name, name IN ('api_key', 'auth_key', 'auth_token', 'access_key', 'access_token', 'api_token') AS sensitive FROM n""",
+    "p13_sensitive_keys": """WITH b AS (SELECT event_id, ['token', 'api', 'auth', 'user', 'access'][event_id % 5 + 1] || '_' || ['limit', 'key', 'token', 'name'][event_id % 4 + 1] AS plain, ['', chr(10), chr(9), chr(160), ' ' || chr(8195)][event_id // 20 % 5 + 1] AS blank FROM events),
+    n AS (SELECT DISTINCT CASE WHEN event_id % 2 = 0 THEN blank || plain ELSE plain || blank END AS name, plain FROM b)
+    SELECT name, plain IN ('api_key', 'auth_key', 'auth_token', 'access_key', 'access_token', 'api_token') AS sensitive FROM n""",
     "f30_picture_plan": f"""WITH {V}, {PLAN.format(iv='60.0::DOUBLE')} SELECT job_id, sequence, index::INTEGER AS index, "at", printf('%06d_t', index + 1) || replace({hms(chr(34) + 'at' + chr(34))}, ':', '') || '.jpg' AS name, (index // 20)::INTEGER AS batch, printf('batch_%04d', index // 20 + 1) AS batch_id FROM p""",
     "a13_preflight": f"""WITH {V}, n AS (SELECT job_id, seconds, greatest(1, ceil(seconds / 2.0))::BIGINT AS n FROM videos WHERE active)
     SELECT job_id, sum(seconds::DECIMAL(18,3))::DOUBLE AS seconds, sum(n)::BIGINT AS pictures, sum(ceil(n / 20))::BIGINT AS batches, (sum(n) * 520000)::BIGINT AS bytes, sum(n) * 520000 + 2147483648 <= 8589934592 AS fits FROM n GROUP BY 1""",
@@ -224,11 +225,12 @@ SQL = {
     "j12_containing_section": f"""WITH {D}, {SWITCH}, {CUT}, {FOLD} SELECT d.video_id, index, title FROM d LEFT JOIN sections s ON s.video_id = d.video_id AND d.seconds >= s.start AND d.seconds < s."end" """,
     "j13_lines_nearby": f"""WITH {T}, m AS (SELECT video_id, max(end_seconds) / 2 AS seconds FROM t GROUP BY 1) SELECT m.video_id AS moment_id, line, start_seconds AS "at" FROM m JOIN t ON t.video_id = m.video_id AND abs(start_seconds - seconds) <= 15.0""",
     "j15_nearest_picture": f"""WITH {D}, {T}, m AS (SELECT video_id, max(end_seconds) / 2 AS s FROM t GROUP BY 1) SELECT moment_id, picture, "at", off FROM (SELECT m.video_id AS moment_id, index AS picture, seconds AS "at", abs(seconds - s) AS off FROM m JOIN d USING (video_id)) QUALIFY row_number() OVER (PARTITION BY moment_id ORDER BY off, picture) = 1""",
-    "pk13_resolve": """WITH j AS (SELECT o_orderkey::VARCHAR AS job_id, 'job ' || o_orderkey AS name FROM orders),
+    "pk13_resolve": """WITH j AS (SELECT o_orderkey::VARCHAR AS job_id, 'job ' || (o_orderkey - CASE WHEN o_orderkey % 8 = 1 THEN 1 ELSE 0 END) AS name FROM orders),
     r AS (SELECT c_custkey AS request, CASE c_custkey % 3 WHEN 0 THEN 'job ' || c_custkey WHEN 1 THEN c_custkey || '00' ELSE c_custkey::VARCHAR END AS ref FROM customer),
-    i AS (SELECT request, job_id FROM r JOIN j ON ref = job_id), n AS (SELECT request, min(job_id) AS job_id FROM r JOIN j ON ref = name GROUP BY 1),
+    i AS (SELECT request, job_id FROM r JOIN j ON ref = job_id), n AS (SELECT request, count(*) AS same, min(job_id) AS job_id FROM r JOIN j ON ref = name GROUP BY 1),
     p AS (SELECT request, count(*) AS k, min(job_id) AS job_id FROM r JOIN j ON starts_with(job_id, ref) AND job_id <> ref GROUP BY 1)
-    SELECT request, ref, coalesce(i.job_id, n.job_id, CASE WHEN k = 1 THEN p.job_id END) AS job_id, CASE WHEN i.job_id IS NOT NULL OR n.job_id IS NOT NULL OR k = 1 THEN NULL WHEN k > 1 THEN 'ambiguous' ELSE 'not found' END AS problem
+    SELECT request, ref, CASE WHEN i.job_id IS NOT NULL THEN i.job_id WHEN same = 1 THEN n.job_id WHEN same IS NULL AND k = 1 THEN p.job_id END AS job_id,
+      CASE WHEN i.job_id IS NOT NULL OR same = 1 THEN NULL WHEN same > 1 THEN 'ambiguous' WHEN k = 1 THEN NULL WHEN k > 1 THEN 'ambiguous' ELSE 'not found' END AS problem
     FROM r LEFT JOIN i USING (request) LEFT JOIN n USING (request) LEFT JOIN p USING (request)""",
     "j1_pictures_sent": f"WITH {V}, {J} SELECT status, count(DISTINCT job_id) AS jobs, sum(seconds::DECIMAL(18,2))::DOUBLE AS seconds FROM videos JOIN jobs USING (job_id) WHERE status <> 'ready' GROUP BY 1",
     "j3_sources_left": f"WITH {V}, {J} SELECT jobs.job_id, sequence, part FROM jobs LEFT JOIN (SELECT * FROM videos WHERE active) v USING (job_id)",

@@ -14,7 +14,7 @@ from ..functions import redact as X, text as T, timefmt as C
 from ..operators import citation, costs, enrich, jobplan, model_output, packing, rerun, sampling, silence, state, timeline
 from ..sources import readers, sinks, views as V
 from ..streaming import events as streams
-from . import job_oracle, job_queries, oracle
+from . import evidence_oracle, evidence_queries, job_oracle, job_queries, oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -28,11 +28,11 @@ def query(f: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return _QUERIES | job_queries.QUERIES
+    return _QUERIES | job_queries.QUERIES | evidence_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, sql in (oracle.SQL | job_oracle.SQL).items() if name in queries()}
+    return {name: sql for name, sql in (oracle.SQL | job_oracle.SQL | evidence_oracle.SQL).items() if name in queries()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,7 +225,8 @@ def f40_preview(s, d):
 @query
 def e4_confidence(s, d):
     e = V.load(s, d, "events")
-    given = F.when(F.col("event_id") % 5 == 0, "very high").when(F.col("event_id") % 5 == 1, "moderate").when(F.col("event_id") % 5 == 2, "junk").when(F.col("event_id") % 5 == 3, F.format_string("%.2f", F.bround(F.col("value") / 500, 2))).when(F.col("event_id") % 35 == 4, F.lit("nan")).when(F.col("event_id") % 35 == 9, F.lit("0.9f")).when(F.col("event_id") % 35 == 14, F.lit("0.9d")).otherwise(F.floor("value").cast("string"))
+    blank = F.element_at(F.array(*map(F.lit, ("", "\n", "\t", "\u00a0"))), (F.floor(F.col("event_id") / 5) % 4 + 1).cast("int"))
+    given = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("Very High"), blank)).when(F.col("event_id") % 5 == 1, "moderate").when(F.col("event_id") % 5 == 2, "junk").when(F.col("event_id") % 5 == 3, F.concat(blank, F.format_string("%.2f", F.bround(F.col("value") / 500, 2)))).when(F.col("event_id") % 35 == 4, F.lit("nan")).when(F.col("event_id") % 35 == 9, F.lit("0.9f")).when(F.col("event_id") % 35 == 14, F.lit("0.9d")).otherwise(F.floor("value").cast("string"))
     return e.select("event_id", T.confidence(given).alias("confidence"))
 
 
@@ -236,7 +237,9 @@ def x1_redact(s, d):
 
 @query
 def p13_sensitive_keys(s, d):
+    blank = F.element_at(F.array(*map(F.lit, ("", "\n", "\t", "\u00a0", " \u2003"))), (F.floor(F.col("event_id") / 20) % 5 + 1).cast("int"))
     words = V.load(s, d, "events").select("event_id", F.concat_ws("_", F.element_at(F.array(*map(F.lit, ("token", "api", "auth", "user", "access"))), (F.col("event_id") % 5 + 1).cast("int")), F.element_at(F.array(*map(F.lit, ("limit", "key", "token", "name"))), (F.col("event_id") % 4 + 1).cast("int"))).alias("name"))
+    words = words.withColumn("name", F.when(F.col("event_id") % 2 == 0, F.concat(blank, "name")).otherwise(F.concat("name", blank)))
     return words.select("name", X.sensitive_key("name").alias("sensitive")).distinct()
 
 
@@ -377,7 +380,8 @@ def j15_nearest_picture(s, d):
 
 @query
 def pk13_resolve(s, d):
-    jobs = V.jobs(s, d).select(F.col("job_id").cast("string").alias("job_id"), F.format_string("job %d", F.col("job_id")).alias("name"))
+    """Every eighth job has the name of the one before it: such a name means none of the two."""
+    jobs = V.jobs(s, d).select(F.col("job_id").cast("string").alias("job_id"), F.format_string("job %d", F.col("job_id") - F.when(F.col("job_id") % 8 == 1, 1).otherwise(0)).alias("name"))
     r = V.load(s, d, "customer").select(F.col("c_custkey").alias("request"), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("job "), F.col("c_custkey").cast("string"))).when(F.col("c_custkey") % 3 == 1, F.concat(F.col("c_custkey").cast("string"), F.lit("00"))).otherwise(F.col("c_custkey").cast("string")).alias("ref"))
     return citation.resolve(r, jobs)
 

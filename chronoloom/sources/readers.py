@@ -36,6 +36,12 @@ def descriptions(spark: SparkSession, paths) -> DataFrame:
     return rows.withColumnsRenamed({key: name for name, key in KEYS.items()} | {"timestamp_seconds": "seconds", "clean_filename": "frame"})
 
 
+def skips(spark: SparkSession, paths) -> DataFrame:
+    """video_id, skipped, described: one row for each description file, also of those that describe nothing."""
+    d = _json(spark, paths, DESCRIPTIONS)
+    return d.select("video_id", *[F.coalesce(F.size(F.when(F.col(c).isNotNull(), F.col(c))), F.lit(0)).alias(name) for c, name in (("skips", "skipped"), ("descriptions", "described"))])
+
+
 def timeline(spark: SparkSession, transcripts, described=None) -> DataFrame:
     """Entries (as `exported`) of videos' transcript files and, where there are any, description files.
     Descriptions are optional; those of a video without a transcript file are an error when the
