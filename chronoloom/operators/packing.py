@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import CHARS_PER_TOKEN, strip, token_estimate
 from ..functions.timefmt import hms
+from .chains import starts
 
 # Fixed values of the packing rules.
 OVERHEAD_TOKENS = 200
@@ -25,40 +24,25 @@ def costs(documents: DataFrame, wrapper_chars: int = 0) -> DataFrame:
     return documents.withColumn("tokens", token_estimate(F.length("text") + wrapper_chars) + OVERHEAD_TOKENS)
 
 
-def next_fit(costed: DataFrame, budget: int) -> DataFrame:
+def next_fit(costed: DataFrame, budget: int | Column) -> DataFrame:
     """collection, sequence, tokens to part numbers, in order: a document opens a new part
     when it doesn't fit the open one; one that fits none has a part of its own (oversized).
     With columns piece and alone, rows are pieces of documents, and those marked alone share no part.
+    budget: one number, or a column with one number a collection (above 0).
 
-    Each decision rests on the one before: the rows of a collection come in order as a stream,
-    and a task holds no more of it than the open part's number and size."""
-    if budget <= 0:
+    Where a part begins depends on all documents before; `chains` settles that without one
+    task that sees a whole collection."""
+    if not isinstance(budget, Column) and budget <= 0:
         raise ValueError("the usable size is zero or less")
-
-    def walk(batches):
-        now, part, held = object(), 0, 0
-        for batch in batches:
-            parts = []
-            for name, tokens, alone in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                if name != now:
-                    now, part, held = name, 1, 0
-                if alone or tokens > budget:
-                    own = part + 1 if held > 0 else part
-                    parts.append(own)
-                    part, held = own + 1, 0
-                else:
-                    if held + tokens > budget:
-                        part, held = part + 1, 0
-                    held += tokens
-                    parts.append(part)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(parts, pa.int64()), pc.greater(batch.column(3), budget)], names=["collection", "sequence", "piece", "part", "oversized"])
-
     piece = "piece" in costed.columns
+    most = budget if isinstance(budget, Column) else F.lit(budget)
     rows = costed.select(
         "collection", F.col("sequence").cast("long").alias("sequence"), (F.col("piece") if piece else F.lit(0)).cast("int").alias("piece"),
-        F.col("tokens").cast("long").alias("tokens"), (F.col("alone") if piece else F.lit(False)).alias("alone"),
+        F.col("tokens").cast("long").alias("tokens"), (F.col("alone") if piece else F.lit(False)).alias("alone"), most.cast("long").alias("budget"),
     )
-    placed = rows.repartition("collection").sortWithinPartitions("collection", "sequence", "piece").mapInArrow(walk, "collection string, sequence long, piece int, part long, oversized boolean")
+    big = F.col("tokens") > F.col("budget")
+    placed = starts(rows, "collection", ["sequence", "piece"], F.col("tokens"), F.col("budget"), F.col("alone") | big)
+    placed = placed.select("collection", "sequence", "piece", F.col("_number").alias("part"), big.alias("oversized"))
     return placed if piece else placed.drop("piece")
 
 
@@ -156,6 +140,8 @@ def units(documents: DataFrame, budget: int, allow_split: bool = False) -> DataF
     """Documents with their boundaries (as in full_document_lines) as the pieces that parts are made of:
     collection, sequence, piece (0 for a whole one), of, name, text, tokens, alone, overlap_characters.
     A document beyond the budget stays whole, or is cut at sections where allow_split is set."""
+    if budget <= 0 or (allow_split and int(budget * CHARS_PER_TOKEN) <= MARGIN):
+        raise ValueError("the budget leaves no room for any text")
     open_ = F.concat(F.lit("\n"), _opening(), F.lit("\n"))
     d = documents.withColumn("_whole", F.concat(open_, _body("text"), F.lit(FOOTER))).withColumn("tokens", token_estimate(F.length("_whole")) + OVERHEAD_TOKENS)
     fits = d if not allow_split else d.where(F.col("tokens") <= budget)

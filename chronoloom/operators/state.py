@@ -3,10 +3,10 @@ Every transition is a function from state to new state; histories are appended t
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.timefmt import clock
+from .chains import starts
 
 # The states of jobs by class.
 FINISHED = ("completed", "completed_with_gaps", "cancelled")
@@ -167,22 +167,9 @@ def saving(document_tokens: Column, pictures: Column) -> Column:
 
 def throttle(events: DataFrame, gap: float) -> DataFrame:
     """key, at: the first of each key and every later one at least `gap` after the last let through.
-    Each decision rests on the one before: a key's times come in order as a stream, and a task
-    holds the last one let through."""
-    kind = events.schema["key"].dataType.simpleString()
-
-    def walk(batches):
-        now, last = object(), None
-        for batch in batches:
-            kept = []
-            for k, (key, at) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                if key != now or at - last >= gap:
-                    now, last = key, at
-                    kept.append(k)
-            yield batch.take(pa.array(kept, pa.int64()))
-
+    Each decision rests on the one before; `chains` settles them without one task that sees a whole key."""
     rows = events.where("at is not null").select("key", F.col("at").cast("double").alias("at"))
-    return rows.repartition("key").sortWithinPartitions("key", "at").mapInArrow(walk, f"key {kind}, at double")
+    return starts(rows, "key", ["at"], F.col("at"), F.lit(gap), sums=False).where("_start").select("key", "at")
 
 
 def fingerprint(jobs: DataFrame, runs: DataFrame, worker: str, *columns: str) -> DataFrame:

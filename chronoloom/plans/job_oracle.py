@@ -95,7 +95,8 @@ SQL = {
     "pk9_assessment": f"WITH {ASSESS} SELECT job_id, sequence, state, detail FROM found",
     "a19_warnings": f"WITH {ASSESS} SELECT priority, count(*) FILTER (state <> 'ok') AS warnings, count(*) AS sources FROM found GROUP BY 1",
     "s21_available": f"WITH {ASSESS} SELECT job_id, sequence, state, created FROM found WHERE status IN {DONE}",
-    "pk6_preview": f"WITH RECURSIVE {FOLDING} SELECT collection, count(*) AS sources, sum(tokens)::BIGINT AS tokens, CASE WHEN collection NOT LIKE '%1' THEN max(part) END AS parts, CASE WHEN collection LIKE '%1' THEN 'The reserve leaves no room for any text.' END AS problem FROM fold JOIN cost USING (collection, sequence) GROUP BY collection",
+    "pk6_preview": f"""WITH RECURSIVE {FOLDING.replace("4000", "budget").replace("+ 200 AS tokens FROM docs", "+ 200 AS tokens, 4000 - CASE WHEN collection LIKE '%1' THEN 4000 ELSE length(collection) * 300 END AS budget FROM docs")}
+    SELECT collection, count(*) AS sources, sum(tokens)::BIGINT AS tokens, CASE WHEN any_value(budget) > 0 THEN max(part) END AS parts, CASE WHEN any_value(budget) <= 0 THEN 'The reserve leaves no room for any text.' END AS problem FROM fold JOIN cost USING (collection, sequence) GROUP BY collection""",
     "pk16_master": f"WITH {V} SELECT job_id, count(*) AS videos, count(*) > 1 AS master FROM videos WHERE active GROUP BY 1",
     "m1_jobs_created": f"""WITH {W}, {V}, l AS (SELECT job_id, count(*) * CASE WHEN job_id % 19 = 0 THEN 22 ELSE 1 END AS n FROM videos WHERE active GROUP BY job_id),
       x AS (SELECT job_id, CASE WHEN job_id % 17 = 0 THEN '' ELSE name END AS name, provider, CASE WHEN job_id % 17 = 0 THEN 'The job needs a name.' WHEN coalesce(n, 0) > 20 THEN n || ' videos were listed, which is more than the 20 a single job takes.' END AS problem FROM work LEFT JOIN l USING (job_id))

@@ -340,9 +340,11 @@ def s21_available(s, d):
 def pk6_preview(s, d):
     """What a build would give: its parts and tokens, or why there is none. Nothing is written."""
     c = packing.costs(V.documents(s, d), 120)
-    budget = P.usable_budget(F.lit(4000), F.length("collection") * 0 + F.when(F.col("collection").endswith("1"), 4000).otherwise(0))
-    parts = packing.next_fit(c, 4000).groupBy("collection").agg(F.max("part").cast("long").alias("parts"))
-    total = c.groupBy("collection").agg(F.count("*").alias("sources"), F.sum("tokens").alias("tokens")).join(parts, "collection").withColumn("budget", budget)
+    reserve = F.when(F.col("collection").endswith("1"), 4000).otherwise(F.length("collection") * 300)
+    budget = P.usable_budget(F.lit(4000), reserve)
+    room = c.withColumn("budget", budget).where("budget > 0")
+    parts = packing.next_fit(room, F.col("budget")).groupBy("collection").agg(F.max("part").cast("long").alias("parts"))
+    total = c.groupBy("collection").agg(F.count("*").alias("sources"), F.sum("tokens").alias("tokens")).join(parts, "collection", "left").withColumn("budget", budget)
     return total.select("collection", "sources", "tokens", F.when(F.col("budget") > 0, F.col("parts")).alias("parts"), F.when(F.col("budget") <= 0, "The reserve leaves no room for any text.").alias("problem"))
 
 
