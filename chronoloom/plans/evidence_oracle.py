@@ -42,4 +42,6 @@ SQL = {
     seen AS (SELECT request, index, seconds FROM judged JOIN d USING (video_id) WHERE problem IS NULL QUALIFY row_number() OVER (PARTITION BY request ORDER BY abs(seconds - at_s), index) = 1)
     SELECT request, job_id, video_id, problem, CASE WHEN problem IS NULL THEN coalesce(n, 0)::INTEGER END AS n, CASE WHEN problem IS NULL THEN sha256(coalesce(text, '')) END AS sha256, index AS picture, seconds AS picture_seconds
     FROM judged LEFT JOIN said USING (request) LEFT JOIN seen USING (request)""",
+    "x1_literals": r"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z]{8,}')) AS w FROM benchmark), all_of AS (SELECT list(w ORDER BY length(w) DESC, w) AS words FROM w)
+    SELECT doc_id, sha256(list_reduce(words, lambda t, w: replace(t, w, '[REDACTED]'), text)) AS sha256 FROM documents, all_of""",
 }

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.redact import Literals
 from ..operators import citation, model_output
 from ..sources import views as V
 
@@ -76,3 +77,11 @@ def pk13_citation(s, d):
     x = citation.cite(requests, jobs, videos, entries, V.descriptions(s, d), 30.0)
     lines = F.array_join(F.transform("lines", lambda r: F.concat_ws(" ", r["kind"], r["text"])), "\n")
     return x.select("request", "job_id", "video_id", "problem", F.size("lines").alias("n"), F.sha2(lines, 256).alias("sha256"), "picture", "picture_seconds")
+
+
+@query
+def x1_literals(s, d):
+    """Every long word of the benchmark is a known value: masked in all documents by one automaton."""
+    words = V.load(s, d, "benchmark").select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]{8,}"), F.lit(0))).alias("w")).distinct()
+    known = Literals(s, [r.w for r in words.collect()])
+    return V.load(s, d, "documents").select("doc_id", F.sha2(known.mask("text"), 256).alias("sha256"))
