@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import timefmt as C
 from ..functions.text import token_estimate
-from . import costs, state
+from . import costs, ranks, state
 
 # Names of providers, those that make no request, limits and wordings.
 LABELS = {
@@ -115,10 +115,11 @@ def receipt(jobs: DataFrame, videos: DataFrame, runs: DataFrame, documents: Data
 
 
 def upper_median(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """The upper of the two middle values (no mean of both), the least and the largest of each key."""
-    w = Window.partitionBy(key)
-    placed = rows.where(F.col(value).isNotNull()).withColumn("_k", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    return placed.groupBy(key).agg(F.max(F.when(F.col("_k") == F.floor(F.col("_n") / 2), F.col(value))).alias("median"), F.min(value).alias("least"), F.max(value).alias("most"), F.count("*").alias("n"))
+    """The upper of the two middle values (no mean of both), the least and the largest of each key: the
+    value of a place in the order, which no task needs to see whole."""
+    middle = ranks.at_rank(rows, value, F.floor(F.col("_count") / 2) + 1, key).withColumnsRenamed({key: "_k", value: "median"})
+    out = rows.where(F.col(value).isNotNull()).groupBy(key).agg(F.min(value).alias("least"), F.max(value).alias("most"), F.count("*").alias("n"))
+    return out.join(middle, out[key].eqNullSafe(middle["_k"])).select(key, "median", "least", "most", "n")
 
 
 # ------------------------------------------------------------------ checks of what is asked for

@@ -3,9 +3,13 @@ Every transition is a function from state to new state; histories are appended t
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.timefmt import clock
+from ..sources.scratch import written
+from . import ranks
 from .chains import starts
 
 # The states of jobs by class.
@@ -159,6 +163,23 @@ def same_sources(jobs: DataFrame, wanted: list) -> DataFrame:
     return jobs.groupBy("job_id").agg(F.max("created_at").alias("created_at"), F.array_sort(F.collect_set("source")).alias("s")).where(F.col("s") == goal).select("job_id", "created_at").orderBy(F.desc("created_at"), F.desc("job_id"))
 
 
+def _sorted_sources(rows: DataFrame, key: str, *more: Column) -> DataFrame:
+    """A row for each key: its sources in order, and an order-free digest of them (number and two sums of hashes)."""
+    h = lambda *x: F.sum(F.xxhash64(*x).cast("decimal(38,0)"))
+    return rows.groupBy(key).agg(F.count("*").alias("_n"), h("source").alias("_h1"), h("source", F.lit(1)).alias("_h2"), F.array_sort(F.collect_list("source")).alias("_all"), *more)
+
+
+def same_sources_of(requests: DataFrame, jobs: DataFrame) -> DataFrame:
+    """For each request the newest finished job over exactly its sources, repeated ones as often: request, job_id
+    (null where there is none). Requests meet jobs by the digest of their sources, and the sources
+    in order confirm it. requests: request, source; jobs: job_id, created_at, source; ties in time go to the larger job_id."""
+    asked = _sorted_sources(requests, "request")
+    done = _sorted_sources(jobs, "job_id", F.max("created_at").alias("created_at"))
+    # of jobs over equal sources only the newest can be meant: one row for each digest and list meets the requests
+    newest = done.groupBy("_n", "_h1", "_h2", "_all").agg(F.max(F.struct("created_at", "job_id")).alias("_job"))
+    return asked.join(newest, ["_n", "_h1", "_h2", "_all"], "left").select("request", F.col("_job.job_id").alias("job_id"))
+
+
 def saving(document_tokens: Column, pictures: Column) -> Column:
     """Share saved against sending every picture; null where nothing is saved."""
     s = 1 - F.try_divide(document_tokens, pictures * TOKENS_PER_PICTURE)
@@ -181,3 +202,25 @@ def fingerprint(jobs: DataFrame, runs: DataFrame, worker: str, *columns: str) ->
     stages = runs.agg(F.count("*").alias("n"), F.coalesce(F.sum("done"), F.lit(0)).alias("done"), F.coalesce(F.sum("total"), F.lit(0)).alias("total"))
     both = own.crossJoin(F.broadcast(stages))  # one row each
     return both.select(F.substring(F.sha2(F.concat_ws("|", F.lit(worker), "jobs", "sum", "n", "done", "total"), 256), 1, 16).alias("fingerprint"))
+
+
+#: Rows under one node of a digest tree.
+FAN = 1024
+
+
+def ordered_digest(rows: DataFrame, line: Column, *order: Column | str) -> str:
+    """A digest of the rows' lines in order: SHA-256 over FAN lines each, then over FAN digests each, until one is left;
+    that of an empty table is that of an empty text. Nodes are cut by places in the order, so it doesn't depend on how rows are dealt."""
+    level = ranks.ranked(rows.select(line.alias("_line"), *[(F.col(c) if isinstance(c, str) else c).alias(f"_o{k}") for k, c in enumerate(order)]), *[f"_o{k}" for k in range(len(order))], name="_place").select("_line", (F.col("_place") - 1).alias("_place"))
+    while True:
+        level = level.groupBy(F.floor(F.col("_place") / FAN).alias("_place")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_place", "_line"))), lambda x: x["_line"]), "\n"), 256).alias("_line"))
+        level = written(level)
+        if (nodes := level.count()) <= 1:
+            return level.first()["_line"] if nodes else hashlib.sha256(b"").hexdigest()
+
+
+def ordered_fingerprint(jobs: DataFrame, runs: DataFrame, worker: str, *columns: str) -> str:
+    """`fingerprint` over the jobs in the order of the first column: 16 hex digits of worker, digest tree and sums of stages."""
+    line = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    n, done, total = runs.agg(F.count("*"), F.coalesce(F.sum("done"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    return hashlib.sha256(f"{worker}|{ordered_digest(jobs, line, *columns)}|{n}:{done}:{total}".encode()).hexdigest()[:16]

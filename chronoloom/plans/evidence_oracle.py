@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .oracle import D, T, V, hms
+from .job_oracle import W
+from .oracle import D, J, R, T, V, hms
 
 _PROVIDER = "['anthropic', 'google', 'openai', 'openai_compatible', 'anthropic_compatible', 'ollama_local'][event_id // 12 % 6 + 1]"
 
@@ -44,4 +45,13 @@ SQL = {
     FROM judged LEFT JOIN said USING (request) LEFT JOIN seen USING (request)""",
     "x1_literals": r"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z]{8,}')) AS w FROM benchmark), all_of AS (SELECT list(w ORDER BY length(w) DESC, w) AS words FROM w)
     SELECT doc_id, sha256(list_reduce(words, lambda t, w: replace(t, w, '[REDACTED]'), text)) AS sha256 FROM documents, all_of""",
+    "o7_last_page": f"""WITH {D}, r AS (SELECT video_id, index, row_number() OVER (ORDER BY video_id, index) AS rank, count(*) OVER () AS n FROM d)
+    SELECT video_id, index, rank, ceil(n / 120)::INTEGER AS page, ceil(n / 120)::INTEGER AS pages FROM r WHERE ceil(rank / 120) = ceil(n / 120)""",
+    "j16_requests": f"""WITH {V}, {J}, src AS (SELECT job_id, part % 10 AS source FROM videos WHERE active), done AS (SELECT job_id, created_at, list_sort(list(source)) AS s FROM src JOIN jobs USING (job_id) WHERE status <> 'ready' GROUP BY ALL),
+    asked AS (SELECT c_custkey AS request, list_sort(list(source) || CASE WHEN c_custkey % 3 = 0 THEN [3]::BIGINT[] ELSE []::BIGINT[] END) AS s FROM customer JOIN src ON job_id = c_custkey GROUP BY c_custkey)
+    SELECT request, (SELECT job_id FROM done WHERE done.s = asked.s ORDER BY created_at DESC, job_id DESC LIMIT 1) AS job_id FROM asked""",
+    "a18_ordered": f"""WITH {W}, {R}, l AS (SELECT job_id || ':' || status || ':' || created AS line, row_number() OVER (ORDER BY job_id, status, created) - 1 AS k FROM work),
+    a AS (SELECT k // 1024 AS k, sha256(string_agg(line, chr(10) ORDER BY k)) AS line FROM l GROUP BY k // 1024), b AS (SELECT k // 1024 AS k, sha256(string_agg(line, chr(10) ORDER BY k)) AS line FROM a GROUP BY k // 1024),
+    root AS (SELECT line FROM a WHERE (SELECT count(*) FROM a) = 1 UNION ALL SELECT line FROM b WHERE (SELECT count(*) FROM a) > 1), stages AS (SELECT count(*) AS n, sum(done) AS done, sum(total) AS total FROM runs)
+    SELECT substr(sha256('worker 1|' || line || '|' || n || ':' || done || ':' || total), 1, 16) AS fingerprint FROM root, stages""",
 }

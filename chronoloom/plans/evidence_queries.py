@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.redact import Literals
-from ..operators import citation, model_output
+from ..operators import citation, model_output, ranks, state
 from ..sources import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,28 @@ def x1_literals(s, d):
     words = V.load(s, d, "benchmark").select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]{8,}"), F.lit(0))).alias("w")).distinct()
     known = Literals(s, [r.w for r in words.collect()])
     return V.load(s, d, "documents").select("doc_id", F.sha2(known.mask("text"), 256).alias("sha256"))
+
+
+@query
+def o7_last_page(s, d):
+    """The pictures of all videos in one order, 120 a page: a page far behind the end is the last one."""
+    x = V.descriptions(s, d).select("video_id", "index")
+    return ranks.page(x, 1_000_000, 120, "video_id", "index").select("video_id", "index", F.col("rank").cast("long").alias("rank"), "page", "pages")
+
+
+@query
+def j16_requests(s, d):
+    """Each customer asks for the sources of one job, some with one more; finished jobs answer."""
+    v = V.job_videos(s, d).where("active").select("job_id", (F.col("part") % 10).alias("source"))
+    jobs = v.join(V.jobs(s, d).where("status in ('completed', 'completed_with_gaps')").select("job_id", "created_at"), "job_id")
+    n = F.col("c_custkey")
+    asked = V.load(s, d, "customer").select(n.alias("request"), n.alias("job_id")).join(v, "job_id").select("request", "source")
+    more = asked.where("request % 3 = 0").select("request", F.lit(3).cast("long").alias("source")).distinct()
+    return state.same_sources_of(asked.unionByName(more), jobs)
+
+
+@query
+def a18_ordered(s, d):
+    """The fingerprint of jobs in the order of their ids, by a tree of digests."""
+    found = state.ordered_fingerprint(V.work(s, d), V.stage_runs(s, d), "worker 1", "job_id", "status", "created")
+    return s.createDataFrame([(found,)], "fingerprint string")

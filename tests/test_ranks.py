@@ -1,10 +1,11 @@
 """Global and per-key places against plain sorting."""
 
+import hashlib
 import random
 
 from pyspark.sql import functions as F
 
-from chronoloom.operators import ranks
+from chronoloom.operators import jobplan, ranks, state
 
 KIND = "id long, key string, value double"
 
@@ -56,3 +57,31 @@ def test_no_task_holds_a_whole_key(spark):
     most = held.agg(F.max("count")).first()[0]
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert most < 40_000
+
+
+def test_upper_median(spark):
+    rows = rows_of()
+    got = {r.key: r[1:] for r in jobplan.upper_median(spark.createDataFrame(rows, KIND), "key", "value").collect()}
+    for key in {r[1] for r in rows}:
+        v = sorted(r[2] for r in rows if r[1] == key and r[2] is not None)
+        assert got[key] == (v[len(v) // 2], v[0], v[-1], len(v))
+
+
+def test_digest_in_order_does_not_depend_on_partitions(spark):
+    rows = [(k, "done" if k % 3 else "new") for k in range(5000)]
+    level = [f"{k}:{s}" for k, s in rows]
+    while True:
+        level = [hashlib.sha256("\n".join(level[k : k + state.FAN]).encode()).hexdigest() for k in range(0, len(level), state.FAN)]
+        if len(level) == 1:
+            break
+    df = spark.createDataFrame(rows, "id long, status string")
+    line = F.concat_ws(":", "id", "status")
+    assert {state.ordered_digest(df.repartition(n), line, "id") for n in (1, 64)} == {level[0]}
+    assert state.ordered_digest(df.where("id = 7"), line, "id") == hashlib.sha256(b"7:done").hexdigest()
+    assert state.ordered_digest(df.where("false"), line, "id") == hashlib.sha256(b"").hexdigest()
+
+
+def test_requests_over_the_same_sources(spark):
+    jobs = spark.createDataFrame([(j, t, s) for j, t, ss in [(1, 10, "ab"), (2, 20, "ba"), (3, 20, "ab"), (4, 30, "abb"), (5, 5, "c"), (6, 6, "cd")] for s in ss], "job_id int, created_at int, source string")
+    asked = spark.createDataFrame([(r, s) for r, ss in [(1, "ab"), (2, "bab"), (3, "c"), (4, "d"), (5, "dc"), (6, "abc")] for s in ss], "request int, source string")
+    assert {r.request: r.job_id for r in state.same_sources_of(asked, jobs).collect()} == {1: 3, 2: 4, 3: 5, 4: None, 5: 6, 6: None}
