@@ -54,4 +54,19 @@ SQL = {
     a AS (SELECT k // 1024 AS k, sha256(string_agg(line, chr(10) ORDER BY k)) AS line FROM l GROUP BY k // 1024), b AS (SELECT k // 1024 AS k, sha256(string_agg(line, chr(10) ORDER BY k)) AS line FROM a GROUP BY k // 1024),
     root AS (SELECT line FROM a WHERE (SELECT count(*) FROM a) = 1 UNION ALL SELECT line FROM b WHERE (SELECT count(*) FROM a) > 1), stages AS (SELECT count(*) AS n, sum(done) AS done, sum(total) AS total FROM runs)
     SELECT substr(sha256('worker 1|' || line || '|' || n || ':' || done || ':' || total), 1, 16) AS fingerprint FROM root, stages""",
+    "t3_progress": """WITH RECURSIVE r AS MATERIALIZED (SELECT user_id % 3 AS run_id, (event_id + 1) * 500 AS at_ms, floor(value)::BIGINT AS done FROM events),
+    p(run_id, at_ms) AS (SELECT run_id, min(at_ms) FROM r GROUP BY 1
+      UNION ALL SELECT run_id, CASE WHEN (SELECT count(*) FROM r WHERE r.run_id = p.run_id AND r.at_ms > p.at_ms AND r.at_ms < p.at_ms + 2000) > 0 THEN p.at_ms + 2000
+        ELSE (SELECT min(r.at_ms) FROM r WHERE r.run_id = p.run_id AND r.at_ms >= p.at_ms + 2000) END FROM p WHERE p.at_ms IS NOT NULL)
+    SELECT run_id, 'write' AS what, at_ms, (SELECT arg_max(r.done, r.at_ms) FROM r WHERE r.run_id = p.run_id AND r.at_ms <= p.at_ms) AS done FROM p WHERE at_ms <= (SELECT max(at_ms) FROM r)""",
+    "t2_leases": """WITH RECURSIVE e AS MATERIALIZED (SELECT user_id % 5 AS place, (event_id + 1) * 17000 AS at_ms, 'w' || (event_id // 4 % 3) AS worker, CASE event_id % 4 WHEN 0 THEN 'acquire' WHEN 3 THEN 'release' ELSE 'beat' END AS kind,
+      row_number() OVER (PARTITION BY user_id % 5 ORDER BY event_id) AS n FROM events),
+    l AS (SELECT 0::BIGINT AS n, place, NULL::VARCHAR AS holder, NULL::BIGINT AS beat, 0::BIGINT AS at_ms, ''::VARCHAR AS worker, ''::VARCHAR AS result FROM (SELECT DISTINCT place FROM e)
+      UNION ALL
+      SELECT n, place, CASE WHEN result IN ('acquired', 'taken over') THEN worker WHEN result = 'released' THEN NULL ELSE holder END, CASE WHEN result IN ('acquired', 'taken over', 'beat') THEN at_ms WHEN result = 'released' THEN NULL ELSE beat END, at_ms, worker, result FROM (
+        SELECT e.n, e.place, l.holder, l.beat, e.at_ms, e.worker, CASE e.kind WHEN 'acquire' THEN CASE WHEN l.holder IS NULL OR l.holder = e.worker THEN 'acquired' WHEN e.at_ms - l.beat > 120000 THEN 'taken over' ELSE 'refused' END
+          WHEN 'beat' THEN CASE WHEN l.holder = e.worker THEN 'beat' ELSE 'lost' END ELSE CASE WHEN l.holder = e.worker THEN 'released' ELSE 'ignored' END END AS result
+        FROM l JOIN e ON e.place = l.place AND e.n = l.n + 1))
+    SELECT place, at_ms, worker, result FROM l WHERE n > 0""",
+    "t4_refreshes": "SELECT 0::BIGINT AS batch, count(DISTINCT user_id) AS jobs FROM events",
 }

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.redact import Literals
 from ..operators import citation, model_output, ranks, state
-from ..sources import views as V
+from ..sources import scratch, views as V
+from ..streaming import events as streams, state_machines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -110,3 +111,38 @@ def a18_ordered(s, d):
     """The fingerprint of jobs in the order of their ids, by a tree of digests."""
     found = state.ordered_fingerprint(V.work(s, d), V.stage_runs(s, d), "worker 1", "job_id", "status", "created")
     return s.createDataFrame([(found,)], "fingerprint string")
+
+
+def _stream_of(s, d) -> DataFrame:
+    """The event log as a stream, half a second from one event to the next."""
+    at = F.timestamp_millis((F.col("event_id") + 1) * 500)
+    return streams.read(s, d, "events.parquet").withColumn("at", at)
+
+
+@query
+def t3_progress(s, d):
+    """Three runs report twice in three seconds; what is published is two seconds apart, held-back values included."""
+    rows = _stream_of(s, d).select((F.col("user_id") % 3).alias("run_id"), "at", F.floor("value").alias("done"), F.lit(None).cast("long").alias("total"), F.lit(False).alias("forced"))
+    folder = scratch.new_folder(s)
+    state_machines.run_batches(state_machines.progress(rows), "progress", folder)
+    out = state_machines.batches(s, "progress", folder, "run_id long, what string, at timestamp, done long, total long")
+    return out.select("run_id", "what", F.unix_millis("at").alias("at_ms"), "done")
+
+
+@query
+def t2_leases(s, d):
+    """Three workers acquire, renew and release the claims of five places: what comes of each step."""
+    n = F.col("event_id")
+    kind = F.when(n % 4 == 0, "acquire").when(n % 4 == 3, "release").otherwise("beat")
+    rows = _stream_of(s, d).select((F.col("user_id") % 5).alias("place"), F.timestamp_millis((n + 1) * 17_000).alias("at"), F.concat(F.lit("w"), (F.floor(n / 4) % 3).cast("string")).alias("worker"), kind.alias("kind"))
+    folder = scratch.new_folder(s)
+    state_machines.run_batches(state_machines.leases(rows), "leases", folder)
+    out = state_machines.batches(s, "leases", folder, "place long, at timestamp, worker string, result string")
+    return out.where("result <> 'stale'").select("place", F.unix_millis("at").alias("at_ms"), "worker", "result")
+
+
+@query
+def t4_refreshes(s, d):
+    """Screens of all users by their last event: one row for the batch that changed them."""
+    rows = _stream_of(s, d).select(F.col("user_id").alias("job_id"), "at", "event_type")
+    return state_machines.refreshes(rows, "screen", scratch.new_folder(s)).select("batch", "jobs")

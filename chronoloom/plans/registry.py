@@ -5,14 +5,13 @@ the coverage list (see README)."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import redact as X, text as T, timefmt as C
 from ..operators import citation, costs, enrich, jobplan, model_output, packing, rerun, sampling, silence, state, timeline
-from ..sources import readers, sinks, views as V
+from ..sources import readers, scratch, sinks, views as V
 from ..streaming import events as streams
 from . import evidence_oracle, evidence_queries, job_oracle, job_queries, oracle
 
@@ -694,8 +693,7 @@ def w14_throttled(s, d):
 @query
 def t6_hourly_counts(s, d):
     """The event log as a stream, counted by hour and type over all there is."""
-    folder = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chronoloom-streams-")
-    counts = streams.totals_now(streams.hourly_counts(streams.read(s, d, "events.parquet")), folder)
+    counts = streams.totals_now(streams.hourly_counts(streams.read(s, d, "events.parquet")), scratch.shared_dir(s))
     return counts.select(F.col("hour").cast("timestamp_ntz").alias("hour"), "event_type", "n")
 
 
