@@ -101,3 +101,52 @@ def test_only_equal_sets_of_words_are_copies():
     assert found[0] == found[1] and len(set(found)) == len(texts) - 1
     long = pa.RecordBatch.from_arrays([pa.array(["a" * 300 + "b " + "a" * 300 + "c"]), pa.array([1])], names=["text", "toxic"])
     assert sorted(len(r["word"]) for b in toxicity._word_rows([long]) for r in b.to_pylist()) == [301, 301]
+
+
+def plain_score(model, text):
+    """A document's score by the definition: every distinct word's kernel sums, the three highest, the curve."""
+    import re
+
+    raw = (text or "").translate({k: k + 32 for k in range(65, 91)})
+    found = {w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", raw)}
+    runs = toxicity._spelled(raw.encode())
+
+    def value(word):
+        best = model.bias
+        read = [word]
+        bare = bytes(b for b in word if not 48 <= b <= 57)
+        if bare != word and sum(1 for b in bare if toxicity._CLASS[b]) >= toxicity.LENGTH - 1:
+            read.append(bare)
+        for w in read:
+            for row in toxicity.features(toxicity.pieces(toxicity.letters(w))):
+                if row:
+                    best = max(best, model.bias + sum(model.weights[c] * x for c, x in row.items()))
+        return min(max(best, toxicity.FLOOR), -toxicity.FLOOR)
+
+    values = sorted((value(w) for w in [*found, *runs]), reverse=True)[: toxicity.TOP]
+    values += [toxicity.FLOOR] * (toxicity.TOP - len(values))
+    return 1 / (1 + np.exp(-np.clip(np.dot(values, model.curve[:-1]) + model.curve[-1], -30, 30)))
+
+
+def test_whole_query_against_the_definition(spark, labelled):
+    docs, labels, _ = labelled
+    odd = [(9001, None), (9002, ""), (9003, "g r u m b o l and 123 gr1mb0l --"), (9004, "grumbol" * 40), (9005, "snarfik " * 3000), (None, "Zwackel zwackel"), (9006, "é ß 日本 ñandú"), (7, "grumbol")]
+    every = docs.limit(60).unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    model = toxicity.train(every, labels)
+    want = sorted((str(r.doc_id), round(plain_score(model, r.text), 9)) for r in every.collect())
+    got = toxicity.score(every, labels).collect()
+    assert sorted((str(r.doc_id), round(r.score, 9)) for r in got) == want
+    assert all(r.held_out is False for r in got if r.doc_id is None)
+
+
+def test_inserted_letters_are_learnt():
+    words = [b"grumbol", b"snarfik", b"zwackel"]
+    copies = toxicity.inserted(words)
+    assert len(copies) == len(words) * toxicity.VARIANTS and copies == toxicity.inserted(words)
+    assert all(any(len(c) == len(w) + 1 and c[0] == w[0] and c[-1] == w[-1] for w in words) for c in copies) and toxicity.inserted([b"a", b"1-"]) == []
+    rng = random.Random(2)
+    clean = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randrange(2, 5))).encode() for _ in range(400)]
+    model = toxicity.Model(*toxicity.fit_words(words, clean), np.zeros(toxicity.TOP + 1))
+    new = [w[:k] + bytes([c]) + w[k:] for w in words for k in range(1, len(w)) for c in b"xqoe"]
+    value = lambda ws: model.words(np.frombuffer(b"".join(ws), dtype=np.uint8), np.cumsum([0, *map(len, ws)])[:-1], np.cumsum([*map(len, ws)]))
+    assert (value(new) > 0).mean() > 0.9 and (value(clean) > 0).mean() < 0.01
