@@ -11,8 +11,8 @@ The result is exact: recall is 1.
 The queries are a stated set against all rows, in blocks: a task holds two blocks,
 whatever the size of either side. A candidate block is sent once for each query block.
 
-Defined results: vectors that are null, zero, of another length than most, or hold
-null or non-finite components take no part; ties go to the smaller vec_id; fewer
+Defined results: vectors that are null, zero, or hold null or non-finite
+components take no part; vectors of different lengths are searched apart; ties go to the smaller vec_id; fewer
 candidates than k give as many rows; a repeated query vec_id is one query (its least
 vector), repeated candidate rows each count; rows of null vec_id take no part; an
 empty table gives an empty result; further columns are ignored.
