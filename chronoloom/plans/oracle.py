@@ -284,6 +284,21 @@ SQL = {
     "k14_build": f"""WITH RECURSIVE {RENDERED} SELECT collection, n AS documents, seconds, tokens, parts, warnings, checksums FROM
       (SELECT source AS collection, count(*) AS n, round_even(sum(length(text) / 4), 3) AS seconds FROM documents GROUP BY 1)
       JOIN (SELECT collection, sum(tokens)::BIGINT AS tokens, count(*) AS parts, sum(warned)::BIGINT AS warnings, sha256(string_agg(filename || ' ' || sha256(text), chr(10) ORDER BY part)) AS checksums FROM rendered GROUP BY 1) USING (collection)""",
+    "k14_files": f"""WITH RECURSIVE {RENDERED},
+      n AS (SELECT source AS collection, count(*) AS videos, sum(length(text) / 4) AS seconds, 'All of ' || source AS title, CASE WHEN length(source) % 2 = 1 THEN 'What it holds' END AS about FROM documents GROUP BY ALL),
+      told AS (SELECT collection, 0 AS k, sequence, 'document ' || doc_id || ': described with older wording' AS w FROM docs WHERE doc_id % 10 = 0 UNION ALL SELECT collection, 1, sequence, 'document ' || doc_id || ' is too big to fit in one part (about ' || format('{{:,}}', tokens) || ' tokens against a budget of 4,000). It has been placed in a part of its own, which will be over the limit. Allow splitting, or raise the limit, to avoid this.' FROM docs JOIN cost USING (collection, sequence) WHERE tokens > 4000),
+      w AS (SELECT collection, count(*) AS warned, string_agg('- ' || w || chr(10), '' ORDER BY k, sequence) AS listed, string_agg(chr(10) || '"' || w || '"', ',' ORDER BY k, sequence) AS quoted FROM told GROUP BY 1),
+      t AS (SELECT collection, sum(tokens)::BIGINT AS tokens, max(part) AS parts, string_agg('- `' || filename || '` — ' || documents || ' (about ' || format('{{:,}}', tokens) || ' tokens)' || chr(10), '' ORDER BY part) AS listed, string_agg(chr(10) || '"' || filename || '":"' || sha256(text) || '"', ',' ORDER BY part) AS sums FROM rendered GROUP BY 1),
+      v AS (SELECT collection, string_agg(sequence || '. **document ' || doc_id || '** (' || {hms('length(text) / 4')} || ', version ' || doc_id % 3 + 1 || ')' || CASE WHEN doc_id % 10 = 0 THEN ' — **Older wording**' || chr(10) || '   - described with older wording' ELSE '' END || chr(10), '' ORDER BY sequence) AS listed,
+        string_agg(chr(10) || '{{"sequence":' || sequence || ',"doc_id":' || doc_id || ',"display_name":"document ' || doc_id || '","processed_version":' || doc_id % 3 + 1 || ',"duration_seconds":' || (length(text) / 4)::DOUBLE || CASE WHEN doc_id % 10 = 0 THEN ',"warning":"Older wording","warning_detail":"described with older wording"}}' ELSE ',"warning":"","warning_detail":""}}' END, ',' ORDER BY sequence) AS quoted FROM docs GROUP BY 1),
+      readme AS (SELECT n.collection, '# ' || title || chr(10) || chr(10) || coalesce(about || chr(10) || chr(10), '') || '- **Videos:** ' || videos || chr(10) || '- **Total length:** ' || {hms('seconds')} || chr(10) || '- **Size:** about ' || format('{{:,}}', tokens) || ' tokens (an estimate)' || chr(10) || chr(10)
+        || concat_ws(chr(10), 'Built on this computer from work that was already done. Nothing was', 'sent anywhere, nothing was processed again, and there is no charge.', '', '## The videos, in order', '', v.listed, '## The parts', '', 'Read them in order.', '', t.listed, CASE WHEN warned > 0 THEN '## Worth knowing' || chr(10) || chr(10) || w.listed END,
+          '## About the sizes', '', 'Token counts are estimates. The exact number depends on the model you', 'use, so treat them as a guide rather than a guarantee.', '', '## Versions', '', 'Each video above is pinned to the exact version of its output that', 'existed when this collection was built. Processing a video again later', 'creates a new version and leaves this collection unchanged. To use newer',
+          'output, rebuild this collection or make a new one.', '') AS text FROM n JOIN t USING (collection) JOIN v USING (collection) LEFT JOIN w USING (collection)),
+      manifest AS (SELECT n.collection, '{{"version":1,"collection":"' || n.collection || '","name":"' || title || '","description":' || coalesce('"' || about || '"', 'null') || ',"mode":"packs","built_at":"2026-01-01T00:00:00Z","video_count":' || videos || ',"total_duration_seconds":' || round_even(seconds, 3)::DOUBLE || ',"total_tokens_estimate":' || tokens
+        || ',"token_method":"characters/3.6 (English prose with structured fields)","token_method_version":1,"token_limit":5000,"reserve_tokens":1000,"usable_budget":4000,"allow_video_split":false,"packing_algorithm":"whole-video-first, split at section boundaries when permitted","packing_version":1,"pack_count":' || parts || ',"warning_count":' || coalesce(warned, 0) || ',' || chr(10)
+        || '"warnings":[' || coalesce(w.quoted, '') || '],' || chr(10) || '"sources":[' || v.quoted || '],' || chr(10) || '"output_checksums":{{' || sums || ',' || chr(10) || '"collection_readme.md":"' || sha256(text) || '"}}}}' || chr(10) AS text FROM n JOIN t USING (collection) JOIN v USING (collection) JOIN readme USING (collection) LEFT JOIN w USING (collection))
+    SELECT collection || '/' || filename AS name, sha256(text) AS sha256 FROM rendered UNION ALL SELECT collection || '/collection_readme.md', sha256(text) FROM readme UNION ALL SELECT collection || '/collection_manifest.json', sha256(text) FROM manifest""",
     "pk3_split": f"""WITH RECURSIVE c AS (
       SELECT doc_id, 0 AS piece, ''::VARCHAR AS chunk, text AS rest FROM documents
       UNION ALL

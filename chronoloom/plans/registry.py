@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import redact as X, text as T, timefmt as C
-from ..operators import citation, costs, enrich, jobplan, model_output, packing, rerun, sampling, silence, state, timeline
-from ..sources import readers, scratch, sinks, views as V
+from ..operators import builds, citation, costs, enrich, jobplan, model_output, packing, rerun, sampling, silence, state, timeline
+from ..sources import readers, scratch, sinks, text_files, views as V
 from ..streaming import events as streams
 from . import evidence_oracle, evidence_queries, job_oracle, job_queries, oracle
 
@@ -641,6 +641,20 @@ def k14_build(s, d):
     return packing.build_record(docs, parts, packing.part_warnings(pieces, 4000))
 
 
+@query
+def k14_files(s, d):
+    """The digest of every file of a build: parts, readme, and the manifest with its map of the others' digests."""
+    docs, pieces, parts = _built(s, d)
+    old = F.col("note").isNotNull()
+    docs = docs.withColumn("warning_label", F.when(old, F.col("note"))).withColumn("warning_detail", F.when(old, "described with older wording"))
+    odd = F.length("collection") % 2 == 1
+    about = docs.select("collection").distinct().select(
+        "collection", F.concat(F.lit("All of "), "collection").alias("title"), F.when(odd, F.lit("What it holds")).alias("description"), F.lit(5000).alias("token_limit"), F.lit(1000).alias("reserve_tokens"),
+        F.lit(False).alias("allow_split"), F.lit("2026-01-01T00:00:00Z").alias("built_at"),
+    )
+    return text_files.digests(builds.files(docs, parts, packing.part_warnings(pieces, 4000), about))
+
+
 @query
 def pk3_split(s, d):
     x = packing.split_sections(V.load(s, d, "documents").select(F.col("doc_id").alias("key"), "text"), 2000)
