@@ -305,6 +305,26 @@ def begin_stages(runs: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(last, ["video_id", "stage"], "left").select("video_id", "stage", (F.coalesce("m", F.lit(0)) + 1).alias("attempt"), F.lit("running").alias("status"))
 
 
+def finish_stages(runs: DataFrame, ended: DataFrame) -> DataFrame:
+    """runs with the stages that ended closed: status (completed where none is told), total, done (0 where none is told),
+    finished_at and error of the newest attempt of each (video_id, stage), if it is still running. runs: video_id,
+    stage, attempt, status, total, done, finished_at, error; ended: video_id, stage, status, total, done, finished_at, error, one row a stage."""
+    last = runs.groupBy("video_id", "stage").agg(F.max("attempt").alias("attempt"))
+    end = ended.select("video_id", "stage", F.struct(F.coalesce("status", F.lit("completed")).alias("status"), "total", F.coalesce("done", F.lit(0)).alias("done"), "finished_at", "error").alias("_end")).join(last, ["video_id", "stage"])
+    x = runs.join(end, ["video_id", "stage", "attempt"], "left")
+    closes = F.col("_end").isNotNull() & (F.col("status") == "running")
+    new = {c: F.when(closes, F.col(f"_end.{c}")).otherwise(F.col(c)) for c in ("total", "done", "finished_at", "error", "status")}
+    return x.withColumns(new).drop("_end")
+
+
+def available(assessed: DataFrame) -> DataFrame:
+    """Finished videos' sources, place 1 the one updated last; ties by job_id and sequence.
+    assessed: job_id, sequence, status, updated and what `assess` found."""
+    from . import ranks
+
+    return ranks.ranked(assessed.where(F.col("status").isin(*DONE)), F.desc_nulls_last("updated"), "job_id", "sequence", name="place")
+
+
 def delete_problem(status: Column, cited: Column) -> Column:
     return F.when(status.isin(*state.RUNNING), "in flight").when(cited, "cited by a collection")
 

@@ -135,6 +135,31 @@ def reconcile(runs: DataFrame) -> DataFrame:
     return runs.withColumn("status", F.when(F.col("status") == "running", "pending").otherwise(F.col("status")))
 
 
+#: What waits again after a crash, and as what: the states that count as interrupted, by kind.
+INTERRUPTED = {"batch": (("running",), "pending"), "run": (("running",), "pending"), "video": (RUNNING, "pending"), "job": (RUNNING, "ready")}
+RECOVERED = "Picked this back up after an interruption. Everything finished before the interruption was kept."
+
+
+def repairs(batches: DataFrame, runs: DataFrame, videos: DataFrame, jobs: DataFrame, registered: DataFrame, present: DataFrame) -> DataFrame:
+    """What a start after a crash changes: kind, id, was, now, event (jobs' only). The first four have id and status;
+    registered and present have path, and of what is registered and not present the row goes (`now` is null). What is finished is in no
+    row, so a second run over the result has none."""
+    out = None
+    for (kind, (states, now)), rows in zip(INTERRUPTED.items(), (batches, runs, videos, jobs), strict=True):
+        event = F.lit(RECOVERED if kind == "job" else None).cast("string")
+        x = rows.where(F.col("status").isin(*states)).select(F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"), F.col("status").alias("was"), F.lit(now).alias("now"), event.alias("event"))
+        out = x if out is None else out.unionByName(x)
+    gone = registered.select("path").distinct().join(present.select("path"), "path", "left_anti")
+    none = F.lit(None).cast("string")
+    return out.unionByName(gone.select(F.lit("file").alias("kind"), F.col("path").alias("id"), F.lit("registered").alias("was"), none.alias("now"), none.alias("event")))
+
+
+def repaired(rows: DataFrame, kind: str) -> DataFrame:
+    """The rows of one kind after `repairs`: status as it is then."""
+    states, now = INTERRUPTED[kind]
+    return rows.withColumn("status", F.when(F.col("status").isin(*states), now).otherwise(F.col("status")))
+
+
 def stale(heartbeat_age: Column) -> Column:
     return F.coalesce(heartbeat_age > STALE_SECONDS, F.lit(True))
 

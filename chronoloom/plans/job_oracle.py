@@ -135,3 +135,18 @@ _CUT = _CUT[: _CUT.rindex("SELECT doc_id AS key")]
 SQL["pk5_split_parts"] = f"""{_CUT} SELECT doc_id AS key, piece::INTEGER AS part, (count(*) OVER (PARTITION BY doc_id))::INTEGER AS of,
   sha256(rtrim(CASE WHEN tail = '' THEN chunk ELSE '  <continues_from_previous_part>' || chr(10) || tail || chr(10) || '  </continues_from_previous_part>' || chr(10) || chr(10) || chunk END, chr(10))) AS sha256, length(tail)::INTEGER AS overlap_characters
   FROM (SELECT *, coalesce(right(lag(chunk) OVER (PARTITION BY doc_id ORDER BY piece), 2000), '') AS tail FROM p)"""
+
+_HMS = "printf('%02d:%02d:%02d', trunc(start_seconds)::BIGINT // 3600, trunc(start_seconds)::BIGINT // 60 % 60, trunc(start_seconds)::BIGINT % 60)"
+_BY = "ORDER BY start_seconds, is_silence, line"
+SQL |= {
+    "k9_transcript_files": f"""WITH {T}, f AS (SELECT video_id, string_agg(chr(10) || '{{"start_seconds":' || start_seconds || ',"end_seconds":' || end_seconds || ',"timestamp":"' || {_HMS} || '","text":' || to_json(text) || ',"is_silence":' || is_silence || '}}', ',' {_BY}) AS segments, string_agg({_HMS} || '  ' || text || chr(10), '' {_BY}) AS text, count(*) AS n FROM t GROUP BY 1)
+      SELECT video_id || '/transcript.json' AS name, sha256('{{"version":1,"source_filename":"v' || video_id || '.mp4","provenance":{{' || CASE WHEN video_id % 3 = 0 THEN '"backend":"cpu"' ELSE '' END || '}},"segment_count":' || n || ',"segments":[' || segments || ']}}' || chr(10)) AS sha256 FROM f UNION ALL SELECT video_id || '/transcript.txt', sha256(text) FROM f""",
+    "k10_gap_texts": f"""WITH {Q}, {B}, s AS (SELECT video_id, batch_id * 37 % 2000000 AS i, CASE WHEN batch_id % 3 > 0 THEN 'refused after ' || pictures || ' tries' ELSE '' END AS reason FROM batches b JOIN vr USING (run_id) WHERE b.status = 'skipped')
+      SELECT video_id || '/gaps.txt' AS name, sha256(count(*) || ' picture(s) have no description.' || chr(10) || chr(10) || 'Everything else in this video was processed normally. You can ask for' || chr(10) || 'these to be described again later without redoing any other work.' || chr(10) || chr(10) || string_agg(printf('  picture %6d   %s', i + 1, reason) || chr(10), '' ORDER BY i, reason)) AS sha256 FROM s GROUP BY video_id""",
+    "m6_repairs": f"""WITH {W}, {V}, {R}, {PATHS} SELECT 'batch' AS kind, event_id::VARCHAR AS id, 'running' AS was, 'pending' AS now, NULL::VARCHAR AS event FROM events WHERE event_id % 4 = 0 UNION ALL SELECT 'run', run_id::VARCHAR, status, 'pending', NULL FROM runs WHERE status = 'running'
+      UNION ALL SELECT 'video', job_id || '/' || sequence, status, 'pending', NULL FROM videos JOIN work USING (job_id) WHERE active AND status IN {RUNNING} UNION ALL SELECT 'job', job_id::VARCHAR, status, 'ready', 'Picked this back up after an interruption. Everything finished before the interruption was kept.' FROM work WHERE status IN {RUNNING}
+      UNION ALL SELECT 'file', path, 'registered', NULL, NULL FROM files WHERE size % 30 = 0""",
+    "m17_stages_finished": f"""WITH {R}, x AS (SELECT *, video_id % 2 = 0 AND status = 'running' AND attempt = max(attempt) OVER (PARTITION BY video_id, stage) AS closes, video_id % 6 = 0 AS bad FROM runs)
+      SELECT video_id, stage, attempt, run_id, CASE WHEN closes THEN CASE WHEN bad THEN 'failed' ELSE 'completed' END ELSE status END AS status, CASE WHEN closes THEN 100 ELSE total END AS total, CASE WHEN closes THEN CASE WHEN bad THEN 0 ELSE 100 END ELSE done END AS done, CASE WHEN closes THEN 1000000000::BIGINT END AS finished_at, CASE WHEN closes AND bad THEN 'no room' END AS error FROM x""",
+    "s21_newest_first": f"WITH {ASSESS} SELECT row_number() OVER (ORDER BY created DESC NULLS LAST, job_id, sequence) AS place, job_id, sequence, state, detail, created AS updated FROM found WHERE status IN {DONE}",
+}

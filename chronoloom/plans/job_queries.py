@@ -7,8 +7,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F, types as T
 
 from ..functions import redact as X, text as X_TEXT
-from ..operators import citation, costs, jobplan as P, packing, state as state_ops
-from ..sources import readers, views as V
+from ..operators import citation, costs, jobplan as P, packing, state as state_ops, video_files
+from ..sources import readers, text_files, views as V
 
 QUERIES = {}
 NOW = 1_000_000_000
@@ -539,3 +539,50 @@ def t4_refresh(s, d):
     of = lambda jobs: state_ops.fingerprint(jobs, r, "worker 1", "job_id", "status", "created")
     later = w.withColumn("status", F.when(F.col("job_id") == 1, "cancelled").otherwise(F.col("status")))
     return P.moved(of(w), of(w)).select(F.lit("same").alias("what"), "refresh").unionAll(P.moved(of(w), of(later)).select(F.lit("moved"), "refresh"))
+
+
+@query
+def k9_transcript_files(s, d):
+    """The digests of each video's transcript files."""
+    t = V.transcript(s, d)
+    n = F.col("video_id")
+    videos = t.select("video_id").distinct().select("video_id", F.format_string("v%d.mp4", n).alias("filename"), F.when(n % 3 == 0, '{"backend":"cpu"}').alias("provenance"))
+    return text_files.digests(video_files.transcript_lines(t, videos))
+
+
+@query
+def k10_gap_texts(s, d):
+    """The digest of each gaps file: skipped batches' first pictures with their reasons."""
+    b = V.batches(s, d).join(V.runs_of_videos(s, d).select("run_id", "video_id"), "run_id").where("status = 'skipped'")
+    skips = b.select("video_id", (F.col("batch_id") * 37 % 2_000_000).alias("index"), F.when(F.col("batch_id") % 3 > 0, F.format_string("refused after %d tries", "pictures")).alias("reason"))
+    return text_files.digests(video_files.gap_lines(skips))
+
+
+@query
+def m6_repairs(s, d):
+    """Batches, runs, videos, jobs and files after a crash."""
+    from .registry import _paths
+
+    w, n = V.work(s, d), F.col("batch_id")
+    batches = V.batches(s, d).select(n.alias("id"), F.when(n % 4 == 0, "running").otherwise(F.col("status")).alias("status"))
+    videos = _videos(s, d).where("active").join(w.select("job_id", "status"), "job_id").select(F.concat_ws("/", F.col("job_id").cast("string"), F.col("sequence").cast("string")).alias("id"), "status")
+    paths = _paths(s, d)
+    return state_ops.repairs(batches, V.stage_runs(s, d).select(F.col("run_id").alias("id"), "status"), videos, w.select(F.col("job_id").alias("id"), "status"), paths, paths.where("size % 30 <> 0"))
+
+
+@query
+def m17_stages_finished(s, d):
+    """Every second stage of a video ends, some in trouble; only a newest attempt that still runs is closed."""
+    none = F.lit(None).cast("string")
+    r = V.stage_runs(s, d).select("video_id", "stage", "attempt", "run_id", "status", "total", "done", F.lit(None).cast("long").alias("finished_at"), none.alias("error"))
+    n = F.col("video_id")
+    ended = r.where("video_id % 2 = 0").select("video_id", "stage").distinct().select(
+        "video_id", "stage", F.when(n % 6 == 0, "failed").alias("status"), F.lit(100).alias("total"), F.when(n % 6 > 0, 100).alias("done"), F.lit(NOW).cast("long").alias("finished_at"), F.when(n % 6 == 0, "no room").alias("error")
+    )
+    return P.finish_stages(r, ended)
+
+
+@query
+def s21_newest_first(s, d):
+    x = _assessed(s, d).withColumnRenamed("created", "updated")
+    return P.available(x).select("place", "job_id", "sequence", "state", "detail", "updated")
