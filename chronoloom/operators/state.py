@@ -7,7 +7,7 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.timefmt import clock
+from ..functions.timefmt import clock, remaining
 from ..sources.scratch import written
 from . import ranks
 from .chains import starts
@@ -67,6 +67,29 @@ def progress(runs: DataFrame) -> DataFrame:
     return r.select("video_id", "stage", F.floor(percent(done, total, F.col("status"))).cast("int").alias("percent"), detail.alias("detail"), (~over & (total <= 0) & (F.col("status") == "running")).alias("indeterminate"))
 
 
+#: The stages' words on a screen, in their order.
+STAGE_LABELS = {"frames": "Pictures", "transcribe": "Transcript", "visual": "Descriptions", "assemble": "Put together"}
+
+
+def stage_screen(runs: DataFrame, videos: DataFrame) -> DataFrame:
+    """Four rows for each video, stages without a run too: video_id, place (from 1), label, percent, detail, state, eta,
+    indeterminate. runs: video_id, stage, attempt, status, total, done, skipped (taken over from an earlier attempt), age
+    (seconds since it began); videos: video_id, visual (false where descriptions were not asked for; null counts as asked).
+    Runs of other videos or stages are in no row."""
+    each = F.array(*[F.struct(F.lit(k).alias("place"), F.lit(s).alias("stage"), F.lit(label).alias("label")) for k, (s, label) in enumerate(STAGE_LABELS.items(), 1)])
+    wanted = videos.select("video_id", F.coalesce("visual", F.lit(True)).alias("_asked"), F.explode(each).alias("_s")).select("video_id", "_asked", "_s.*")
+    told = progress(runs).withColumnRenamed("stage", "_stage").withColumnRenamed("video_id", "_video")
+    last = latest(runs, "video_id", "stage").select(F.col("video_id").alias("_video"), F.col("stage").alias("_stage"), F.col("status").alias("_state"), "age", "done", "total", "skipped")
+    x = wanted.join(told.join(last, ["_video", "_stage"]), (F.col("video_id") == F.col("_video")) & (F.col("stage") == F.col("_stage")), "left")
+    none = F.col("_state").isNull()
+    waits = F.when((F.col("stage") == "visual") & ~F.col("_asked"), "Not run").otherwise("Waiting")
+    eta = F.when(F.col("_state") == "running", remaining("age", F.coalesce("done", F.lit(0)), "total", "skipped")).otherwise("")
+    return x.select(
+        "video_id", "place", "label", F.coalesce("percent", F.lit(0)).alias("percent"), F.when(none, waits).otherwise(F.col("detail")).alias("detail"), F.when(none, "ready").otherwise(F.col("_state")).alias("state"),
+        eta.alias("eta"), F.coalesce("indeterminate", F.lit(False)).alias("indeterminate"),
+    )
+
+
 def overall(runs: DataFrame) -> DataFrame:
     """Mean percent of each video's latest attempts, halves to even."""
     r = latest(runs, "video_id", "stage")

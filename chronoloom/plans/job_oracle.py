@@ -3,7 +3,7 @@ the code that it checks."""
 
 from __future__ import annotations
 
-from .oracle import FOLDING, PATHS, SQL as OTHERS, D, J, R, T, V
+from .oracle import FOLDING, PATHS, SQL as OTHERS, D, J, R, T, V, percent, span
 
 W = f"""{J}, work AS (SELECT job_id, 'Job ' || job_id AS name, ['draft','ready','preparing','transcribing','analyzing','waiting_retry','paused','needs_attention','completed','completed_with_gaps','cancelled','pending'][job_id % 12 + 1] AS status,
   priority, epoch_us(created_at) // 1000000 AS created, CASE WHEN job_id % 5 > 0 THEN epoch_us(created_at) // 1000000 + job_id % 100 END AS started, CASE WHEN job_id % 6 > 0 THEN epoch_us(created_at) // 1000000 + job_id % 5000 END AS completed,
@@ -150,3 +150,14 @@ SQL |= {
       SELECT video_id, stage, attempt, run_id, CASE WHEN closes THEN CASE WHEN bad THEN 'failed' ELSE 'completed' END ELSE status END AS status, CASE WHEN closes THEN 100 ELSE total END AS total, CASE WHEN closes THEN CASE WHEN bad THEN 0 ELSE 100 END ELSE done END AS done, CASE WHEN closes THEN 1000000000::BIGINT END AS finished_at, CASE WHEN closes AND bad THEN 'no room' END AS error FROM x""",
     "s21_newest_first": f"WITH {ASSESS} SELECT row_number() OVER (ORDER BY created DESC NULLS LAST, job_id, sequence) AS place, job_id, sequence, state, detail, created AS updated FROM found WHERE status IN {DONE}",
 }
+
+_LEFT = "(age / (done - skipped) * (total - done))"
+_AT = lambda x: f"CASE WHEN {x} <= 0 THEN '—' WHEN {x} >= 3600 THEN printf('%d:%02d:%02d', {x} // 3600, ({x} // 60) % 60, {x} % 60) ELSE printf('%d:%02d', {x} // 60, {x} % 60) END"
+SQL["f13_stage_screen"] = f"""WITH {Q}, r AS (SELECT video_id, stage, status, CASE WHEN run_id % 9 > 0 THEN total * 7 ELSE 0 END AS total, done, run_id % 4 * 5 AS skipped, (run_id % 3000)::DOUBLE AS age FROM vr WHERE NOT (video_id % 5 = 0 AND stage = 'visual') QUALIFY row_number() OVER (PARTITION BY video_id, stage ORDER BY run_id DESC) = 1),
+  k AS (SELECT DISTINCT video_id FROM vr WHERE NOT (video_id % 5 = 0 AND stage = 'visual')), v AS (SELECT video_id FROM k UNION ALL SELECT video_id + 1000000 FROM k),
+  s(place, stage, label) AS (VALUES (1, 'frames', 'Pictures'), (2, 'transcribe', 'Transcript'), (3, 'visual', 'Descriptions'), (4, 'assemble', 'Put together'))
+  SELECT video_id, place, label, coalesce(floor({percent()}), 0)::INTEGER AS percent,
+    CASE WHEN status IS NULL THEN CASE WHEN stage = 'visual' AND video_id % 3 > 0 AND video_id % 2 = 1 THEN 'Not run' ELSE 'Waiting' END WHEN status = 'completed' THEN 'Done' WHEN total > 0 AND stage = 'transcribe' THEN {_AT('done')} || ' of ' || {_AT('total')} WHEN total > 0 THEN format('{{:,}}', done) || ' of ' || format('{{:,}}', total)
+      WHEN status = 'running' THEN 'Working' ELSE 'Pending' END AS detail, coalesce(status, 'ready') AS state,
+    CASE WHEN coalesce(status, '') <> 'running' OR age < 45 OR total = 0 OR done <= 0 OR done >= total OR done <= skipped THEN '' WHEN {_LEFT} < 30 THEN 'nearly done' ELSE {span(_LEFT)} || ' left' END AS eta, coalesce(status = 'running' AND total <= 0, false) AS indeterminate
+  FROM v CROSS JOIN s LEFT JOIN r USING (video_id, stage)"""

@@ -586,3 +586,13 @@ def m17_stages_finished(s, d):
 def s21_newest_first(s, d):
     x = _assessed(s, d).withColumnRenamed("created", "updated")
     return P.available(x).select("place", "job_id", "sequence", "state", "detail", "updated")
+
+
+@query
+def f13_stage_screen(s, d):
+    """All four stages of videos with runs in all, in some and in none."""
+    r = V.runs_of_videos(s, d).where("not (video_id % 5 = 0 and stage = 'visual')")
+    n = F.col("run_id")
+    runs = r.select("video_id", "stage", n.alias("attempt"), "status", F.when(n % 9 > 0, F.col("total") * 7).alias("total"), "done", (n % 4 * 5).alias("skipped"), (n % 3000).cast("double").alias("age"))
+    known = r.select("video_id").distinct()
+    return state_ops.stage_screen(runs, known.unionByName(known.select((F.col("video_id") + 1_000_000).alias("video_id"))).select("video_id", F.when(F.col("video_id") % 3 > 0, F.col("video_id") % 2 == 0).alias("visual")))

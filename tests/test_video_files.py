@@ -72,3 +72,19 @@ def test_newest_updated_first(spark):
     x = jobplan.available(spark.createDataFrame(rows, "job_id long, sequence int, status string, updated long"))
     kept = sorted((r for r in rows if r[2] != "running"), key=lambda r: (r[3] is None, -(r[3] or 0), r[0], r[1]))
     assert [(r.job_id, r.sequence, r.status, r.updated) for r in x.orderBy("place").collect()] == kept
+
+
+def test_stage_screen(spark):
+    kind = "video_id long, stage string, attempt int, status string, total int, done int, skipped int, age double"
+    runs = [
+        (1, "frames", 1, "failed", 9, 9, 0, 1.0), (1, "frames", 2, "completed", None, None, None, None), (1, "visual", 1, "running", 1000, 600, 500, 3600.0), (1, "transcribe", 1, "running", None, 3, None, 99.0),
+        (2, "frames", 1, "waiting_retry", 0, 0, 0, None), (2, "transcribe", 1, "paused", 7200, 3661, 0, 500.0), (2, "other", 1, "running", 1, 0, 0, 9.0), (9, "frames", 1, "completed", 1, 1, 0, 1.0),
+    ]
+    videos = spark.createDataFrame([(1, None), (2, False), (3, True)], "video_id long, visual boolean")
+    rows = state.stage_screen(spark.createDataFrame(runs, kind), videos).orderBy("video_id", "place").collect()
+    assert [tuple(r)[2:] for r in rows if r.video_id == 1] == [
+        ("Pictures", 100, "Done", "completed", "", False), ("Transcript", 0, "Working", "running", "", True),
+        ("Descriptions", 60, "600 of 1,000", "running", "about 4 hours left", False), ("Put together", 0, "Waiting", "ready", "", False),
+    ]
+    assert [tuple(r)[2:7] for r in rows if r.video_id == 2] == [("Pictures", 0, "Waiting retry", "waiting_retry", ""), ("Transcript", 50, "1:01:01 of 2:00:00", "paused", ""), ("Descriptions", 0, "Not run", "ready", ""), ("Put together", 0, "Waiting", "ready", "")]
+    assert [(r.detail, r.state) for r in rows if r.video_id == 3] == [("Waiting", "ready")] * 4 and len(rows) == 12
