@@ -114,21 +114,36 @@ def _json(**fields: Column) -> Column:
     return F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]), {"ignoreNullFields": "false"})
 
 
+def _number(x: Column) -> Column:
+    """A double in JSON, in full where Spark writes 1.05E7 and other writers of JSON 10500000.0."""
+    size = F.abs(x)
+    full = F.regexp_replace(x.cast("decimal(38,21)").cast("string"), r"(\.\d+?)0*$", "$1")
+    return F.when(((size >= 1e7) & (size < 1e16)) | ((size >= 1e-4) & (size < 1e-3)), full).otherwise(F.regexp_replace(F.to_json(F.array(x)), r"^\[|\]$", ""))
+
+
+def _json_with(before: Column, name: str, number: Column, after: Column) -> Column:
+    """Two JSON objects as one, with a number between them; the first ends with a number or a null."""
+    return F.concat(F.rtrim(before, F.lit("}")), F.lit(f',"{name}":'), _number(number), F.lit(","), F.ltrim(after, F.lit("{")))
+
+
 def manifest_lines(documents: DataFrame, parts: DataFrame, warnings: DataFrame, about: DataFrame, checksums: DataFrame) -> DataFrame:
     """The lines are one JSON object: what was built, warnings, sources and, as output_checksums, a map of
     files' names to their SHA-256. checksums: name (as in lines), sha256."""
     d, told = _noted(documents), all_warnings(documents, warnings)
     total = _totals(d, parts, told, about).join(parts.groupBy("collection").agg(F.count("*").alias("_parts")), "collection")
     text = lambda x: F.lit(x)
-    head = _json(
-        version=text(1), collection=F.col("collection"), name=F.coalesce("title", "collection"), description=F.col("description"), mode=text("packs"), built_at=F.col("built_at"), video_count=F.col("_videos"),
-        total_duration_seconds=F.bround("_seconds", 3), total_tokens_estimate=F.col("_tokens"), token_method=text(METHODS["token_method"][0]), token_method_version=text(METHODS["token_method"][1]),
-        token_limit=F.col("token_limit"), reserve_tokens=F.col("reserve_tokens"), usable_budget=usable_budget("token_limit", F.coalesce("reserve_tokens", F.lit(0))), allow_video_split=F.col("allow_split"),
-        packing_algorithm=text(METHODS["packing"][0]), packing_version=text(METHODS["packing"][1]), pack_count=F.col("_parts"), warning_count=F.col("_warnings"),
+    head = _json_with(
+        _json(version=text(1), collection=F.col("collection"), name=F.coalesce("title", "collection"), description=F.col("description"), mode=text("packs"), built_at=F.col("built_at"), video_count=F.col("_videos")),
+        "total_duration_seconds", F.bround("_seconds", 3),
+        _json(
+            total_tokens_estimate=F.col("_tokens"), token_method=text(METHODS["token_method"][0]), token_method_version=text(METHODS["token_method"][1]),
+            token_limit=F.col("token_limit"), reserve_tokens=F.col("reserve_tokens"), usable_budget=usable_budget("token_limit", F.coalesce("reserve_tokens", F.lit(0))), allow_video_split=F.col("allow_split"),
+            packing_algorithm=text(METHODS["packing"][0]), packing_version=text(METHODS["packing"][1]), pack_count=F.col("_parts"), warning_count=F.col("_warnings"),
+        ),
     )
-    source = _json(
-        sequence=F.col("_place"), doc_id=F.col("doc_id"), display_name=F.col("name"), processed_version=F.col("version").cast("long"), duration_seconds=F.col("seconds"),
-        warning=F.coalesce("warning_label", F.lit("")), warning_detail=F.coalesce("warning_detail", F.lit("")),
+    source = _json_with(
+        _json(sequence=F.col("_place"), doc_id=F.col("doc_id"), display_name=F.col("name"), processed_version=F.col("version").cast("long")), "duration_seconds", F.col("seconds"),
+        _json(warning=F.coalesce("warning_label", F.lit("")), warning_detail=F.coalesce("warning_detail", F.lit(""))),
     )
     string = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
     sums = checksums.withColumn("collection", F.url_decode(F.substring_index("name", "/", 1))).withColumn("file", F.substring_index("name", "/", -1))

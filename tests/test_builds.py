@@ -79,3 +79,14 @@ def test_lines_of_one_name_in_order_and_no_rows(spark, tmp_path):
 def test_places_over_blocks(spark):
     d = spark.range(10000).selectExpr("'c' as collection", "id * 3 as sequence")
     assert builds.placed(d).where("_place <> sequence / 3 + 1").count() == 0
+
+
+def test_long_collections_have_their_length_in_full(spark):
+    rows = [("long", 1, 1, "one", 1, 10_400_000.25, "text"), ("long", 2, 2, "two", 1, 12_345_678.0, "text"), ("short", 1, 3, "three", 1, 0.0004, "text")]
+    docs = spark.createDataFrame(rows, "collection string, sequence int, doc_id long, name string, version int, seconds double, text string")
+    about = docs.select("collection").distinct().selectExpr("collection", "collection as title", "'{}' as description", "5000 as token_limit", "1000 as reserve_tokens", "false as allow_split", "'t0' as built_at")
+    pieces = packing.units(docs, 4000)
+    lines = builds.files(docs, packing.render_parts(pieces, 4000), packing.part_warnings(pieces, 4000), about).where("endswith(name, 'manifest.json')").collect()
+    text = {c: "".join(r.text for r in sorted(lines, key=lambda r: r[1:3]) if r.name.startswith(c)) for c in ("long", "short")}
+    assert '"total_duration_seconds":22745678.25,' in text["long"] and '"duration_seconds":10400000.25,' in text["long"] and '"duration_seconds":12345678.0,' in text["long"]
+    assert '"duration_seconds":0.0004,' in text["short"] and json.loads(text["long"])["description"] == "{}" and json.loads(text["short"])["sources"][0]["warning"] == ""
