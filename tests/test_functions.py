@@ -168,3 +168,22 @@ def test_model_output(spark):
     assert {r.request_id: (r.label, r.a, r.confidence) for r in rows} == {0: ("01", "Unknown", "High"), 1: ("02", "x; y", "Low"), 2: ("03", "k: v", "Medium"), 3: (None, "Unknown", "Low")}
     a = lambda *x: F.array(*map(F.lit, x))
     assert one(spark, model_output.alignment(a("1", "2"), a("1", "1")), model_output.alignment(a("1", "2"), a("1", "9")), model_output.alignment(a("1", "2"), a("1")), model_output.alignment(a("1", "2"), a("2", "1"))) == ("duplicate", "unexpected", "missing", None)
+
+
+def test_few_videos_are_dealt_out_before_their_pictures(spark):
+    v = spark.range(64).selectExpr("id % 32 as k", "id").groupBy("k").agg(F.min("id").alias("video_id")).selectExpr("video_id", "3600.0 as seconds")
+    p = sampling.plan(v, 2000)
+    assert p.count() == 32 * 1800
+    assert p.select(F.spark_partition_id()).distinct().count() > 4
+
+
+def test_names_and_times_of_pictures_of_any_number(spark):
+    rows = [(n, ms) for n in (0, 1, 9, 19, 20, 999_997, 999_998, 999_999, 1_234_567, 199_979, 199_980) for ms in (1, 333, 2000, 360_001)]
+    found = {}
+    for ms in (1, 333, 2000, 360_001):
+        v = spark.createDataFrame([(n, (n + 0.5) * ms / 1000) for n, m in rows if m == ms], "video_id int, seconds double")
+        for r in sampling.plan(v, ms).where("index = video_id").collect():
+            found[r.video_id, ms] = (r["at"], r.name, r.batch, r.batch_id)
+    for n, ms in rows:
+        t = n * ms // 1000
+        assert found[n, ms] == (round(n * ms / 1000, 3), f"{n + 1:06d}_t{t // 3600:02d}{t // 60 % 60:02d}{t % 60:02d}.jpg", n // 20, f"batch_{n // 20 + 1:04d}"), (n, ms)
