@@ -187,3 +187,15 @@ def test_names_and_times_of_pictures_of_any_number(spark):
     for n, ms in rows:
         t = n * ms // 1000
         assert found[n, ms] == (round(n * ms / 1000, 3), f"{n + 1:06d}_t{t // 3600:02d}{t // 60 % 60:02d}{t % 60:02d}.jpg", n // 20, f"batch_{n // 20 + 1:04d}"), (n, ms)
+
+
+def test_means_beside_a_half_in_any_order(spark):
+    """62.5 and 67.5, whose doubles add up to a hair less or more in some orders of the stages."""
+    from itertools import permutations
+
+    runs = []
+    for case, shares in enumerate([((1, 1), (11, 21), (1, 1), (11, 42), (19, 56)), ((1, 12), (5, 6), (11, 24), (1, 1), (1, 1))]):
+        for k, order in enumerate(permutations(shares)):
+            runs += [(f"{case}:{k}", f"s{j}", 1, t, d, "running") for j, (d, t) in enumerate(order)]
+    got = state.overall(spark.createDataFrame(runs, "video_id string, stage string, attempt int, total int, done int, status string")).collect()
+    assert len(got) == 240 and {(r.video_id[0], r.percent) for r in got} == {("0", 62), ("1", 68)}
