@@ -3,8 +3,8 @@
 A rolling hash over the text's bytes cuts it wherever the hash of the last
 `SIGHT` bytes ends in zeros, so equal passages give equal chunks whatever stands
 before them. A chunk's core (from its first to its last white space) is encoded
-once by a worker and kept in a bounded table; across tasks a chunk is encoded at
-most once for each worker and fill of the table. What lies between two cores is
+once by a worker and kept in a bounded table; a task encodes a chunk at most once
+for each fill of the table, and the table goes when the task ends. What lies between two cores is
 the join. It is re-encoded together with whole words from both sides, one more
 word at a time, until the tokens of those words agree exactly with their own
 encoding; then join and cores put together are the tokens of the whole text.
@@ -29,16 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import vocabulary
-from .common import bounded_batches, mix, powers, steps
+from .common import bounded_batches, lean, mix, powers, steps
 
 _U = np.uint64
 SIGHT = 16
 #: A cut about every so many bytes, a power of two.
 CHUNK = 1024
 #: Bytes of encoded pieces that a worker remembers; the older half goes when the newer is full.
-CACHE_BYTES = 32 << 20
+CACHE_BYTES = 16 << 20
 #: Pre-tokens that a worker remembers, likewise.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 _BASE = 0xD6E8FEB86659FD93
 _VALUE = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.int64).astype(_U)
 
@@ -68,7 +68,7 @@ class Piece:
 class Encoder:
     def __init__(self, path: str):
         self.library = vocabulary.library(path)
-        if vocabulary.load(path).get("decoder") is not None:
+        if vocabulary.stated(path).get("decoder") is not None:
             raise ValueError("only vocabularies without a decoder can be decoded piece by piece")
         self.special = vocabulary.specials(path)
         if any(any(c.isspace() for c in x) for x in self.special):
@@ -197,6 +197,24 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
+def forget(path: str) -> None:
+    """Empty the tables: a worker lives on after its task, and what other tasks do needs the memory."""
+    if encoder := _encoders.get(path):
+        encoder.words, encoder.old, encoder.known, encoder.older, encoder.held = {}, {}, {}, {}, 0
+
+
+def _forgetful(run, path: str):
+    """run, after which its worker keeps nothing but the vocabulary."""
+
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            forget(path)
+
+    return lean(inner)
+
+
 def encoded(path: str, texts: pa.Array):
     """For each text of a column its list of pieces, in steps of bounded bytes."""
     encoder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
@@ -239,7 +257,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             if ids:
                 yield flush()
 
-    return _source(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return _source(docs).mapInArrow(_forgetful(run, path), "doc_id long, ids array<int>, decoded string")
 
 
 def decode(encoded_docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -251,7 +269,7 @@ def decode(encoded_docs: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([library.decode(x or [], skip_special_tokens=False) for x in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "decoded"])
 
-    return encoded_docs.select("doc_id", F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, decoded string")
+    return encoded_docs.select("doc_id", F.col("ids").cast("array<int>").alias("ids")).mapInArrow(lean(run), "doc_id long, decoded string")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -276,4 +294,4 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 two.append(text.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return _source(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _source(docs).mapInArrow(_forgetful(run, path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

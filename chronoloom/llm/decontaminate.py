@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Words, bounded_batches, materialize, steps
+from .common import Words, bounded_batches, lean, materialize, steps
 from .fm_index import FMIndex
 
 #: Bytes of benchmark text in one block, apart from a single longer item.
@@ -148,7 +148,7 @@ def _scan(docs: DataFrame, row: list, benchmark: DataFrame, width: int, limit: i
     frame = docs.select(F.struct(*row).alias("_row"), docs["text"].alias("_text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<array<int>>").alias("hits"), F.array().cast("array<string>").alias("items"))
     schema = frame.schema
     for k, (ids, texts) in enumerate(_blocks(benchmark, limit)):
-        frame = (materialize(frame) if k else frame).mapInArrow(_pass(spark.sparkContext.broadcast(_Queries(ids, texts, width))), schema)
+        frame = (materialize(frame) if k else frame).mapInArrow(lean(_pass(spark.sparkContext.broadcast(_Queries(ids, texts, width)))), schema)
     # spans of several blocks may meet: merged from left to right
     merged = F.expr(
         "aggregate(array_sort(hits), cast(array() as array<array<int>>), (acc, x) -> if(size(acc) > 0 and element_at(acc, -1)[1] >= x[0],"

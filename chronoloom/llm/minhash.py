@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import Words, blob, bounded_batches, discard, join_by_weight, materialize, mix, parts, steps
+from .common import Words, blob, bounded_batches, discard, give_back, join_by_weight, lean, materialize, mix, parts, steps
 from .components import components
 
 _U = np.uint64
@@ -166,14 +166,15 @@ def _unpack(batches):
 def _meet(table: pa.Table) -> pa.Table:
     entries = np.concatenate([np.frombuffer(x.as_buffer(), dtype=_ENTRY) for x in table.column("entries")])
     _, pairs = _stars(entries)
+    give_back()
     return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
 
 def _star_pairs(signatures: DataFrame, half: int, rows: int) -> DataFrame:
     """Distinct candidate pairs (a, b), a > b, by the smallest member of each bucket."""
     buckets = parts(rows * half * half * _ENTRY.itemsize, 8 << 20)
-    dealt = materialize(signatures.select("doc", "keys").mapInArrow(_deal(half, buckets), "bucket int, entries binary"))
-    within = dealt.where("bucket < 0").select("entries").mapInArrow(_unpack, "a long, b long")
+    dealt = materialize(signatures.select("doc", "keys").mapInArrow(lean(_deal(half, buckets)), "bucket int, entries binary"))
+    within = dealt.where("bucket < 0").select("entries").mapInArrow(lean(_unpack), "a long, b long")
     across = dealt.where("bucket >= 0").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet, "a long, b long")
     out = materialize(within.unionAll(across).distinct())
     discard(dealt)
@@ -212,7 +213,7 @@ def _confirm(percent: int):
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = pairs.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("sa")), "a")
     both = left.join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long")
+    return both.select("a", "b", "sa", "sb").mapInArrow(lean(_confirm(percent)), "a long, b long")
 
 
 def _common(left: list[np.ndarray], right: list[np.ndarray], chunk: int = 2048) -> np.ndarray:
@@ -287,6 +288,7 @@ def _cell(percent: int):
                     good = first[_forest(ca[x[first]], cb[y[first]])]
                     out.append(np.stack([da[x[good]], db[y[good]]], axis=1))
         p = np.concatenate(out)
+        give_back()
         return pa.table({"a": pa.array(p[:, 0]), "b": pa.array(p[:, 1])})
 
     return run
@@ -339,7 +341,7 @@ def link(docs: DataFrame, shape: Shape, id_column: str = "doc_id") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
     bounded_batches(docs.sparkSession)
     source = docs.select(docs[id_column].cast("long").alias("doc"), docs["text"].alias("text"))
-    every = materialize(source.mapInArrow(_signatures(shape), "doc long, n long, digest binary, keys binary"))
+    every = materialize(source.mapInArrow(lean(_signatures(shape)), "doc long, n long, digest binary, keys binary"))
     rows = every.count()
     whole = _classes(every, rows)
     discard(every)
@@ -352,7 +354,7 @@ def link(docs: DataFrame, shape: Shape, id_column: str = "doc_id") -> DataFrame:
     discard(stars)
     active = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
     # always a merge join: the ids are a share of all documents and no table to broadcast
-    sets = materialize(source.join(active.hint("merge"), "doc", "left_semi").mapInArrow(_set_rows(shape), "doc long, shingles binary").dropDuplicates(["doc", "shingles"]))
+    sets = materialize(source.join(active.hint("merge"), "doc", "left_semi").mapInArrow(lean(_set_rows(shape)), "doc long, shingles binary").dropDuplicates(["doc", "shingles"]))
 
     first = pairs.where("fit").groupBy("a").agg(F.min("b").alias("b"))
     links = materialize(_verify(first, sets, shape.percent))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from .common import BLOCK_BYTES, Words, blob, bounded_batches, mix, parts, rolling, spread, steps, text_bytes
+from .common import BLOCK_BYTES, Words, blob, bounded_batches, give_back, mix, parts, rolling, spread, steps, text_bytes
 
 _U = np.uint64
 _B1, _B2 = 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
@@ -40,40 +40,41 @@ def _windows(texts: pa.Array, width: int, buckets: int):
         words = Words(texts.slice(at, to - at), "space", lower=False)
         if len(words.hash) < width:
             none = np.zeros(0, dtype=np.int64)
-            yield at, to, words, none, none.astype(_U), none
+            yield at, to, words, none, none.astype(_U), none.astype(np.int32)
             continue
         one, two = (rolling(words.hash, width, *b) for b in _BASES)
         whole = words.doc[: len(one)] == words.doc[width - 1 :]
         index = np.flatnonzero(whole)
-        yield at, to, words, index, mix(one[index]), (mix(two[index]) % _U(buckets)).astype(np.int64)
+        yield at, to, words, index, mix(one[index]), (mix(two[index]) % _U(buckets)).astype(np.int32)
 
 
-def _distinct(hashes: np.ndarray, bucket: np.ndarray):
-    """Order by (bucket, hash), the distinct entries' places in it, and each window's entry."""
-    order = np.lexsort((hashes, bucket)) if len(hashes) else np.zeros(0, dtype=np.int64)
-    h, b = hashes[order], bucket[order]
+def _block_hashes(texts: pa.Array, width: int, buckets: int):
+    """The distinct (bucket, hash) entries in order, and each window's entry. A block has a million
+    windows or more, so nothing is held longer than it is needed."""
+    found = [(h, b) for *_, h, b in _windows(texts, width, buckets)]
+    h = np.concatenate([h for h, _ in found]) if found else np.zeros(0, dtype=_U)
+    b = np.concatenate([b for _, b in found]) if found else np.zeros(0, dtype=np.int32)
+    del found
+    order = np.lexsort((h, b)) if len(h) else np.zeros(0, dtype=np.int64)
+    h = h[order]
+    b = b[order]
     new = np.ones(len(h), dtype=bool)
     new[1:] = (h[1:] != h[:-1]) | (b[1:] != b[:-1])
-    entry = np.empty(len(h), dtype=np.int64)
-    entry[order] = np.cumsum(new) - 1
+    entry = np.empty(len(h), dtype=np.int32)
+    entry[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
     return h[new], b[new], entry
 
 
-def _block_hashes(table: pa.Table, width: int, buckets: int):
-    texts = table.column("text").combine_chunks()
-    found = [(h, b) for *_, h, b in _windows(texts, width, buckets)]
-    hashes = np.concatenate([h for h, _ in found]) if found else np.zeros(0, dtype=_U)
-    bucket = np.concatenate([b for _, b in found]) if found else np.zeros(0, dtype=np.int64)
-    return _distinct(hashes, bucket)
-
-
 def _questions(width: int, buckets: int):
     def ask(table: pa.Table) -> pa.Table:
         block = table.column("_block")[0].as_py() if table.num_rows else 0
-        h, b, entry = _block_hashes(table, width, buckets)
+        h, b, entry = _block_hashes(table.column("text").combine_chunks(), width, buckets)
         twice = np.bincount(entry, minlength=len(h)) > 1
+        del entry
         cut = np.searchsorted(b, np.arange(buckets + 1))
         some = np.flatnonzero(np.diff(cut))
+        del b
+        give_back()
         return pa.table({
             "_block": pa.array(np.full(len(some), block, dtype=np.int32)),
             "bucket": pa.array(some.astype(np.int32)),
@@ -98,6 +99,8 @@ def _answers(table: pa.Table) -> pa.Table:
     repeated = np.empty(len(h), dtype=bool)
     repeated[order] = hot[entry]
     ends = np.cumsum(sizes)
+    del every, order, h, new, entry, hot
+    give_back()
     return pa.table({
         "_block": table.column("_block"),
         "bucket": table.column("bucket"),
@@ -107,14 +110,17 @@ def _answers(table: pa.Table) -> pa.Table:
 
 def _covered(table: pa.Table, answers: pa.Table, width: int, buckets: int):
     """For each document of the block: number of words and a mask of the removed ones."""
-    h, b, entry = _block_hashes(table, width, buckets)
+    texts = table.column("text").combine_chunks()
+    h, b, entry = _block_hashes(texts, width, buckets)
     cut = np.searchsorted(b, np.arange(buckets + 1))
     repeated = np.zeros(len(h), dtype=bool)
     for k, bits in zip(answers.column("bucket").to_pylist(), answers.column("bits"), strict=True):
         n = cut[k + 1] - cut[k]
         repeated[cut[k] : cut[k + 1]] = np.unpackbits(np.frombuffer(bits.as_buffer(), dtype=np.uint8), count=n)
+    del h, b
+    give_back()
     seen = 0
-    for at, to, words, index, _, _ in _windows(table.column("text").combine_chunks(), width, buckets):
+    for at, to, words, index, _, _ in _windows(texts, width, buckets):
         hit = index[repeated[entry[seen : seen + len(index)]]]
         seen += len(index)
         edge = np.zeros(len(words.hash) + 1, dtype=np.int64)
@@ -141,7 +147,9 @@ def _run(docs: DataFrame, keep: list[str], width: int, emit, schema) -> DataFram
     answer = ask.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answers, "_block int, bucket int, bits binary")
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        return emit(left, _covered(left, right, width, buckets))
+        out = emit(left, _covered(left, right, width, buckets))
+        give_back()
+        return out
 
     return dealt.groupBy("_block").cogroup(answer.repartition(blocks, "_block").groupBy("_block")).applyInArrow(finish, schema)
 

@@ -29,6 +29,8 @@ null doc_id is scored and not held out.
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import Words, ascii_lower, bounded_batches, materialize, steps
+from .common import Words, ascii_lower, bounded_batches, give_back, lean, materialize, steps
 
 LENGTH = 3
 DECAY = 0.7
@@ -51,6 +53,8 @@ FOLDS = 5
 VARIANTS = 8
 #: Cost of a row inside the margin.
 COST = 3.0
+#: Words of one length that are read at a time.
+ROWS = 512
 #: Words that a document is judged by, and the least value that one counts with.
 TOP, FLOOR = 3, -3.0
 _ALPHABET = 64
@@ -110,7 +114,10 @@ def _self_kernel(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 def features(words: list[list[int]]) -> list[dict[int, float]]:
     """Normalised subsequence weights of words."""
-    out = []
+    return list(_features(words))
+
+
+def _features(words: Iterable[list[int]]) -> Iterator[dict[int, float]]:
     for w in words:
         t, weight = _triples(len(w))
         row: dict[int, float] = {}
@@ -118,20 +125,27 @@ def features(words: list[list[int]]) -> list[dict[int, float]]:
             for c, x in zip(_codes(np.array([w]), t)[0].tolist(), weight.tolist(), strict=True):
                 row[c] = row.get(c, 0.0) + x
         norm = sum(x * x for x in row.values()) ** 0.5
-        out.append({c: x / norm for c, x in row.items()} if norm else row)
-    return out
+        yield {c: x / norm for c, x in row.items()} if norm else row
 
 
 class Rows:
-    """Words' features one after the other: subsequences, weights, and where each word's begin."""
-
-    def __init__(self, rows: list[dict[int, float]]):
-        self.size = np.array([len(r) for r in rows], dtype=np.int64)
-        self.codes = np.fromiter((c for r in rows for c in r), dtype=np.int64, count=int(self.size.sum()))
-        self.values = np.fromiter((x for r in rows for x in r.values()), dtype=np.float64, count=int(self.size.sum()))
-        self.owner = np.repeat(np.arange(len(rows)), self.size)
+    """Words' features one after the other, in flat arrays: subsequences, weights, and where each word's begin."""
+
+    def __init__(self, rows: Iterable[dict[int, float]]):
+        size, codes, values = array("q"), array("q"), array("d")
+        for r in rows:
+            size.append(len(r))
+            codes.extend(r)
+            values.extend(r.values())
+        self.size, self.codes, self.values = np.array(size, dtype=np.int64), np.array(codes, dtype=np.int64), np.array(values, dtype=np.float64)
+        self.first = np.concatenate([[0], np.cumsum(self.size)]).astype(np.int64)
+        self.owner = np.repeat(np.arange(len(size), dtype=np.int32), self.size)
         self._table = np.zeros(_ALPHABET**LENGTH)
 
+    def row(self, k: int) -> dict[int, float]:
+        own = slice(self.first[k], self.first[k + 1])
+        return dict(zip(self.codes[own].tolist(), self.values[own].tolist(), strict=True))
+
     def against(self, row: dict[int, float]) -> np.ndarray:
         """Every word's kernel to one word."""
         codes = np.fromiter(row, dtype=np.int64, count=len(row))
@@ -141,9 +155,12 @@ class Rows:
         return out
 
 
-def kernel(a: list[dict[int, float]], b: list[dict[int, float]]) -> np.ndarray:
-    rows = Rows(a)
-    return np.stack([rows.against(row) for row in b], axis=1) if b else np.zeros((len(a), 0))
+def kernel(a: Iterable[dict[int, float]] | Rows, b: list[dict[int, float]]) -> np.ndarray:
+    rows = a if isinstance(a, Rows) else Rows(a)
+    out = np.zeros((len(rows.size), len(b)))
+    for k, row in enumerate(b):
+        out[:, k] = rows.against(row)
+    return out
 
 
 class Model:
@@ -187,8 +204,8 @@ class Model:
         for n in range(LENGTH, PIECE + 1):
             t, weight = _triples(n)
             own = np.flatnonzero(length == n)
-            for k in range(0, len(own), 4096):
-                part = own[k : k + 4096]
+            for k in range(0, len(own), ROWS):
+                part = own[k : k + ROWS]
                 codes = _codes(kept[at[part, None] + np.arange(n)], t)
                 value = self.bias + (self.weights[codes] @ weight) / np.sqrt(np.maximum(_self_kernel(codes, weight), 1e-12))
                 np.maximum.at(out, word[part], value)
@@ -269,8 +286,7 @@ def highest(model: Model, texts: pa.Array, seen: Seen | None = None):
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Linear SVM (squared hinge loss, bias as the last feature) by Newton steps over the rows inside the margin."""
-    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    """Linear SVM (squared hinge loss) by Newton steps over the rows inside the margin; the last feature, 1, is for the bias."""
     w, eye = np.zeros(x.shape[1]), np.eye(x.shape[1])
 
     def loss(w):
@@ -280,8 +296,10 @@ def fit_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 60) ->
     for _ in range(rounds):
         short = 1.0 - y * (x @ w)
         part = np.flatnonzero(short > 0)
-        side = x[part] * cost[part, None]
-        step = np.linalg.solve(eye + 2.0 * side.T @ x[part], w - 2.0 * side.T @ (y[part] * short[part]))
+        inside = x[part]
+        side = inside * cost[part, None]
+        step = np.linalg.solve(eye + 2.0 * side.T @ inside, w - 2.0 * side.T @ (y[part] * short[part]))
+        del inside, side
         size = 1.0
         while (after := loss(w - size * step)) > now and size > 1e-4:
             size /= 2
@@ -291,16 +309,15 @@ def fit_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 60) ->
     return w
 
 
-def landmarks(rows: list[dict[int, float]], most: int) -> list[int]:
+def landmarks(every: Rows, most: int) -> list[int]:
     """Pivots of an incomplete Cholesky factorisation of the rows' kernel."""
-    if not rows:
-        return []
-    every, left, steps_, picked = Rows(rows), np.ones(len(rows)), [], []
-    for _ in range(min(most, len(rows))):
+    n = len(every.size)
+    left, steps_, picked = np.ones(n), [], []
+    for _ in range(min(most, n)):
         i = int(np.argmax(left))
         if left[i] < 0.05:
             break
-        col = every.against(rows[i])
+        col = every.against(every.row(i))
         for s in steps_:
             col -= s * s[i]
         col /= np.sqrt(left[i])
@@ -325,18 +342,27 @@ def inserted(words: list[bytes], copies: int = VARIANTS) -> list[bytes]:
 def fit_words(positive: list[bytes], negative: list[bytes]) -> tuple[np.ndarray, float]:
     """Weights of subsequences and bias from example words."""
     def read(words):
-        return [f for f in features([p for w in words for p in pieces(letters(w))]) if f]
+        return (f for f in _features(p for w in words for p in pieces(letters(w))) if f)
 
-    pos, neg = read([*positive, *inserted(positive)]), read(negative)
-    contrast = [neg[i] for i in sorted(np.random.default_rng(5).permutation(len(neg))[:CONTRAST].tolist())]
-    marks = [pos[i] for i in landmarks(pos, LANDMARKS * 3 // 4)] + [contrast[i] for i in landmarks(contrast, LANDMARKS // 4)]
+    # flat from the start: as dictionaries the features of all words would be most of the driver's memory
+    pos, neg = Rows(read([*positive, *inserted(positive)])), Rows(read(negative))
+    contrast = Rows(neg.row(i) for i in sorted(np.random.default_rng(5).permutation(len(neg.size))[:CONTRAST].tolist()))
+    marks = [pos.row(i) for i in landmarks(pos, LANDMARKS * 3 // 4)] + [contrast.row(i) for i in landmarks(contrast, LANDMARKS // 4)]
     k = kernel(marks, marks)
     value, vector = np.linalg.eigh(k)
     keep = value > 1e-6
     root = vector[:, keep] / np.sqrt(value[keep])
-    x = kernel([*pos, *neg], marks) @ root
-    y = np.concatenate([np.ones(len(pos)), -np.ones(len(neg))])
-    w = fit_svm(x, y, np.where(y > 0, COST * max(1.0, len(neg) / max(1, len(pos))) ** 0.5, COST))
+    n_pos, n_neg = len(pos.size), len(neg.size)
+    every = np.zeros((n_pos + n_neg, len(marks)))
+    every[:n_pos], every[n_pos:] = kernel(pos, marks), kernel(neg, marks)
+    del pos, neg
+    x = np.ones((len(every), root.shape[1] + 1))
+    x[:, :-1] = every @ root
+    del every
+    y = np.concatenate([np.ones(n_pos), -np.ones(n_neg)])
+    w = fit_svm(x, y, np.where(y > 0, COST * max(1.0, n_neg / max(1, n_pos)) ** 0.5, COST))
+    del x
+    give_back()
     weights = np.zeros(_ALPHABET**LENGTH)
     for m, a in zip(marks, root @ w[:-1], strict=True):
         for c, v in m.items():
@@ -392,14 +418,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model | Non
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).join(F.broadcast(marks), "doc_id").where("text is not null")
     sample = materialize(source)
     # copies speak once: of equal label and equal set of words, one document counts
-    sketch = sample.select("doc_id", "toxic", "text").mapInArrow(_sketches, "doc_id long, toxic int, low long, high long")
+    sketch = sample.select("doc_id", "toxic", "text").mapInArrow(lean(_sketches), "doc_id long, toxic int, low long, high long")
     once = sketch.groupBy("toxic", "low", "high").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     single = materialize(sample.join(once, "doc_id", "left_semi"))
     n = {r["toxic"]: r["n"] for r in single.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         return None
     rate = n[1] / (n[0] + n[1])
-    counts = materialize(single.select("text", "toxic").mapInArrow(_word_rows, "word binary, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
+    counts = materialize(single.select("text", "toxic").mapInArrow(lean(_word_rows), "word binary, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
     # far more often toxic than chance allows for so many words: the log-likelihood gain over the base rate
     gain = F.col("toxic") * F.log((F.col("toxic") + 0.01) / (F.col("toxic") + F.col("clean") + 0.02) / rate) + F.col("clean") * F.log((F.col("clean") + 0.01) / (F.col("toxic") + F.col("clean") + 0.02) / (1 - rate))
     scored = counts.withColumn("gain", gain)
@@ -431,7 +457,7 @@ def _nearest(model: Model, words: DataFrame) -> list[bytes]:
             data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.words(data, bounds[:-1], bounds[1:]))], names=["word", "value"])
 
-    valued = words.select("word").mapInArrow(run, "word binary, value double")
+    valued = words.select("word").mapInArrow(lean(run), "word binary, value double")
     rows = valued.orderBy(F.desc("value"), "word").limit(WORDS // 4).collect()
     return [w for w in (bytes(r["word"]) for r in rows) if len(letters(w)) >= LENGTH]
 
@@ -446,7 +472,7 @@ def _curve(model: Model, sample: DataFrame) -> np.ndarray:
             best = np.concatenate([np.zeros((0, TOP)), *highest(shared.value, batch.column(0), seen)])
             yield pa.RecordBatch.from_arrays([pa.array(best.tolist(), pa.list_(pa.float64())), batch.column(1)], names=["best", "toxic"])
 
-    rows = sample.select("text", "toxic").mapInArrow(run, "best array<double>, toxic int").collect()
+    rows = sample.select("text", "toxic").mapInArrow(lean(run), "best array<double>, toxic int").collect()
     x = np.array([[*r["best"], 1.0] for r in rows])
     y = np.array([r["toxic"] for r in rows], dtype=float)
     w = np.zeros(TOP + 1)
@@ -476,7 +502,7 @@ def _scored(docs: DataFrame, row: list, model: Model | None) -> DataFrame:
             best = np.concatenate([np.zeros((0, TOP)), *highest(shared.value, batch.column(1), seen)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.probability(best))], names=["_row", "score"])
 
-    return frame.mapInArrow(run, StructType([frame.schema["_row"], StructField("score", DoubleType())]))
+    return frame.mapInArrow(lean(run), StructType([frame.schema["_row"], StructField("score", DoubleType())]))
 
 
 def clean(docs: DataFrame, labels: DataFrame, limit: float = 0.5, rows: int = SAMPLE) -> DataFrame:

@@ -21,12 +21,17 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-@lru_cache(maxsize=2)
 def load(path: str) -> dict:
     with open(path, encoding="utf-8") as file:
         return json.load(file)
 
 
+@lru_cache(maxsize=2)
+def stated(path: str) -> dict:
+    """What the file says besides the model: that one has a hundred thousand strings, and stays in the library alone."""
+    return {key: x for key, x in load(path).items() if key != "model"}
+
+
 @lru_cache(maxsize=2)
 def library(path: str):
     """The tokenizers library's own tokenizer, without truncation and padding."""
@@ -40,7 +45,7 @@ def library(path: str):
 
 def specials(path: str) -> list[str]:
     """Added tokens, which the library cuts out of a text before all else."""
-    return [x["content"] for x in load(path)["added_tokens"]]
+    return [x["content"] for x in stated(path)["added_tokens"]]
 
 
 @lru_cache(maxsize=1)
@@ -105,7 +110,7 @@ def _letter_bytes() -> dict[str, int]:
 def splitter(path: str, ascii_only: bool):
     """The pattern of the vocabulary's pre-tokeniser; for lower-case ASCII texts without Unicode
     classes, which the standard library's engine runs faster."""
-    steps = load(path)["pre_tokenizer"]["pretokenizers"]
+    steps = stated(path)["pre_tokenizer"]["pretokenizers"]
     pattern = next(x["pattern"]["Regex"] for x in steps if x["type"] == "Split")
     if not ascii_only:
         return regex.compile(pattern)

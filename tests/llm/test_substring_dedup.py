@@ -1,6 +1,10 @@
 import collections
 import hashlib
 import re
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 
 from chronoloom.llm import substring_dedup
 
@@ -50,3 +54,21 @@ def test_empty_and_repeated_rows(docs, none):
     assert substring_dedup.dedup_texts(none, 35).count() == 0
     twice = docs.where("doc_id = 20").unionAll(docs.where("doc_id = 20"))
     assert {(r.n_words, r.n_removed) for r in substring_dedup.removals(twice, 35).collect()} == {(130, 130)}
+
+
+def test_a_block_is_asked_about_in_little_memory():
+    """Beside the step of texts at work, a window takes 60 bytes at the most."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(map(str, rng.integers(0, 100_000, 1000).tolist())) for _ in range(1500)]
+    table = pa.table({"_block": pa.array([0] * len(texts), pa.int32()), "text": pa.array(texts)})
+    ask = substring_dedup._questions(35, 8)
+    ask(table.slice(0, 10))
+    tracemalloc.start()
+    try:
+        out = ask(table)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    windows = 1500 * (1000 - 35 + 1)
+    assert sum(len(x) // 8 for x in out.column("hashes").to_pylist()) == windows
+    assert peak < 60 * windows

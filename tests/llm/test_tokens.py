@@ -2,6 +2,7 @@ import hashlib
 import random
 import struct
 
+import pyarrow as pa
 import pytest
 
 from chronoloom.llm import bpe, token_counts, vocabulary
@@ -45,3 +46,16 @@ def test_round_trip_equals_the_library(spark, docs, none, texts, hard, library):
     assert bpe.encode(none).count() == 0 and bpe.digests(none).count() == 0
     again = {r.doc_id: r.decoded for r in bpe.decode(bpe.encode(frame(spark, hard))).collect()}
     assert again == {k: library.decode(library.encode(t, add_special_tokens=False).ids, skip_special_tokens=False) for k, t in enumerate(hard)}
+
+
+def test_a_worker_keeps_no_table_after_its_task(spark, docs):
+    """Workers live on between tasks, and the next stages need the memory."""
+    bpe.encode(docs).write.format("noop").mode("overwrite").save()
+    bpe.digests(docs).write.format("noop").mode("overwrite").save()
+
+    def held(batches):
+        for batch in batches:
+            n = sum(len(t) for e in bpe._encoders.values() for t in (e.words, e.old, e.known, e.older))
+            yield pa.RecordBatch.from_arrays([pa.array([n] * len(batch))], names=["n"])
+
+    assert {r.n for r in spark.range(0, 64, 1, 64).mapInArrow(held, "n long").collect()} == {0}

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -150,3 +151,17 @@ def test_inserted_letters_are_learnt():
     new = [w[:k] + bytes([c]) + w[k:] for w in words for k in range(1, len(w)) for c in b"xqoe"]
     value = lambda ws: model.words(np.frombuffer(b"".join(ws), dtype=np.uint8), np.cumsum([0, *map(len, ws)])[:-1], np.cumsum([*map(len, ws)]))
     assert (value(new) > 0).mean() > 0.9 and (value(clean) > 0).mean() < 0.01
+
+
+def test_training_keeps_features_flat():
+    """The driver fits with its words' features in arrays: as dictionaries they took most of its memory."""
+    rng = random.Random(6)
+    word = lambda: bytes(rng.randrange(97, 123) for _ in range(11))
+    positive, negative = [word() for _ in range(6)], [word() for _ in range(1500)]
+    tracemalloc.start()
+    try:
+        toxicity.fit_words(positive, negative)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 30e6
