@@ -199,3 +199,16 @@ def test_means_beside_a_half_in_any_order(spark):
             runs += [(f"{case}:{k}", f"s{j}", 1, t, d, "running") for j, (d, t) in enumerate(order)]
     got = state.overall(spark.createDataFrame(runs, "video_id string, stage string, attempt int, total int, done int, status string")).collect()
     assert len(got) == 240 and {(r.video_id[0], r.percent) for r in got} == {("0", 62), ("1", 68)}
+
+
+def test_pictures_of_shared_batches_and_those_after_them(spark):
+    """Videos that end before, at and after the last shared place: every picture once, the shared ones worked out once for all videos."""
+    last = sampling.SHARED * 3
+    lengths = {1: 0.5, 2: 3.0, 3: 4.0, 4: last - 1.0, 5: float(last), 6: last + 0.5, 7: last + 7.0}
+    p = sampling.plan(spark.createDataFrame(list(lengths.items()), "video_id int, seconds double"), 1000, 3)
+    assert p.columns == ["video_id", "index", "at", "name", "batch", "batch_id"]
+    want = {(v, k, float(k), f"{k + 1:06d}_t{k // 3600:02d}{k // 60 % 60:02d}{k % 60:02d}.jpg", k // 3, f"batch_{k // 3 + 1:04d}") for v, n in lengths.items() for k in range(max(1, -int(-n // 1)))}
+    got = [tuple(r) for r in p.collect()]
+    assert len(got) == len(want) and set(got) == want
+    few = sampling.plan(spark.createDataFrame([(1, 9.0)], "video_id int, seconds double"), 1000, 3, columns=("at",))
+    assert few.columns == ["video_id", "at"] and sorted(r["at"] for r in few.collect()) == [float(k) for k in range(9)]
