@@ -73,3 +73,9 @@ def test_every_active_video_has_a_plan(spark, tmp_path):
     found = registry.queries()
     assert sorted(tuple(r) for r in found["f30_every_picture"](spark, str(tmp_path)).collect()) == want
     assert sorted(tuple(r) for r in found["s10_every_picture_name"](spark, str(tmp_path)).collect()) == names
+
+
+def test_a_name_is_read_once_for_all_videos(spark):
+    """Names of the shared places are read below the join with the videos' batches, not in each of their rows."""
+    tree = registry.queries()["s10_every_picture_name"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in tree and tree.index("Join Inner") < tree.index("substring_index")
